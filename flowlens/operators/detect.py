@@ -181,3 +181,31 @@ def packet_patterns(packets: DataFrame, limits: Mapping[str, float] = PATTERN_LI
     }
     found = F.array_compact(F.array(*[F.when(c, p) for p, c in tests.items()]))
     return packets.withColumn("pattern", F.explode(found)).select("packet_id", "pattern")
+
+
+def detect_batch(features: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+    """Scores a whole file under the threshold of its most frequent protocol."""
+    protocol = column_mode(features, "protocol").scalar() if "protocol" in features.columns else F.lit(6)
+    return detect(features.withColumn("protocol", protocol), cfg)
+
+
+def route(features: DataFrame, models: Mapping[int, object], fallback=None) -> DataFrame:
+    """Scores each row with the model of its protocol; rows without one take the fallback.
+
+    ``models`` maps a protocol to a fitted pipeline that yields a ``probability`` vector.
+    There are few protocols, so this is a handful of narrow branches over one scan.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    def scored(rows: DataFrame, model) -> DataFrame:
+        if model is None:
+            return rows.withColumn("model_score", F.lit(None).cast("double"))
+        out = model.transform(rows).withColumn("model_score", vector_to_array("probability")[1])
+        return out.select(*rows.columns, "model_score")
+
+    known = list(models)
+    rest = features.where(~F.col("protocol").isin(known) | F.col("protocol").isNull())
+    result = scored(rest, fallback)
+    for protocol, model in models.items():
+        result = result.unionByName(scored(features.where(F.col("protocol") == protocol), model))
+    return result

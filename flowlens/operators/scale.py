@@ -70,6 +70,75 @@ def hashed_row_number(
     return running_totals(ranked, keys, "__c", ["__h", id_col], {name: F.lit(1)}).drop("__h", "__c")
 
 
+def hashed_head(
+    df: DataFrame, keys: Sequence[str], id_col: str, seed: int, quotas: DataFrame, name: str = "taken"
+) -> DataFrame:
+    """Marks the first ``quota`` rows of each key in md5 order.
+
+    Counts per hash prefix tell where the quota ends, so only the rows of that one prefix
+    are ranked; all others are decided by comparing prefixes and are never shuffled.
+    ``quotas`` holds (keys, quota); without keys it has one row.
+    """
+    hashed = df.withColumn("__h", hash_order(id_col, seed)).withColumn(
+        "__c", F.substring("__h", 1, HASH_PREFIX)
+    )
+    upto = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, 0)
+    per_chunk = hashed.groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__upto", F.sum("__n").over(upto)
+    )
+    limited = per_chunk.join(quotas, list(keys)) if keys else per_chunk.withColumn("quota", quotas.scalar())
+    ends = limited.where(
+        (F.col("__upto") - F.col("__n") < F.col("quota")) & (F.col("quota") <= F.col("__upto"))
+    ).select(*keys, F.col("__c").alias("__cut"), (F.col("quota") - F.col("__upto") + F.col("__n")).alias("__need"))
+    if keys:
+        joined = join_small(hashed, ends, list(keys), "left")
+    else:
+        end = ends.agg(F.first(F.struct("__cut", "__need")).alias("e")).scalar()
+        joined = hashed.withColumn("__e", end).select("*", "__e.__cut", "__e.__need").drop("__e")
+    border = F.coalesce(F.col("__c") == F.col("__cut"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(*keys, "__c").orderBy("__h", id_col))
+    ranked = joined.where(border).withColumn(name, rank <= F.col("__need"))
+    decided = joined.where(~border).withColumn(
+        name, F.coalesce(F.col("__c") < F.col("__cut"), F.lit(False))
+    )
+    return ranked.unionByName(decided).drop("__h", "__c", "__cut", "__need")
+
+
+def join_small(
+    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = 100_000
+) -> DataFrame:
+    """Broadcast join behind a size check.
+
+    At most ``max_rows + 1`` rows of the small side are fetched. If it is larger, the join is
+    left to shuffle, where adaptive execution splits skewed keys.
+    """
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return big.join(small, list(keys), how)
+    local = big.sparkSession.createDataFrame(rows, small.schema)
+    return big.join(F.broadcast(local), list(keys), how)
+
+
+def salted_join(
+    facts: DataFrame,
+    dimension: DataFrame,
+    keys: Sequence[str],
+    salt_by: str,
+    how: str = "inner",
+    salts: int = 16,
+) -> DataFrame:
+    """Join in which a hot key of ``facts`` is spread over ``salts`` tasks.
+
+    Only dimension rows that any fact refers to are copied; ``salt_by`` identifies a fact.
+    """
+    used = facts.groupBy(*keys).agg(F.lit(1).alias("__used")).drop("__used")
+    copies = dimension.join(used, list(keys), "left_semi").withColumn(
+        "__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)]))
+    )
+    salted = facts.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
 def score_cell(score: str | Column, cells: int = 1 << 20) -> Column:
     """Monotone cell of a score; out-of-range scores fall into the outer cells."""
     s = F.col(score) if isinstance(score, str) else score

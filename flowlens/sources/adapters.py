@@ -149,3 +149,99 @@ raw AS (
   FROM packets
 )"""
 )
+
+
+def scored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` as flow feature rows with a model score."""
+    p = packets(spark, sf_dir)
+    many = (F.col("k") * 2).cast("double")
+    return p.select(
+        F.concat(F.lit("f"), F.col("packet_id").cast("string")).alias("session_id"),
+        "packet_id", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "user_id", "k",
+        many.alias("packet_count"),
+        F.when(F.col("packet_id") % 3 == 0, many).otherwise(F.col("k").cast("double")).alias("tcp_syn_count"),
+        (F.col("length") * 10.0).alias("avg_packet_size"),
+        ((F.col("k") % 81) / F.lit(10.0)).alias("payload_entropy"),
+        F.when(F.col("k") != 50, (F.col("k") * 37 % 101) / F.lit(100.0)).alias("model_score"),
+    )
+
+
+SCORED_SQL = (
+    PACKETS_SQL
+    + """,
+scored AS (
+  SELECT 'f' || packet_id AS session_id, packet_id, ts_us, src_ip, dst_ip, src_port, dst_port, protocol, user_id, k,
+    k * 2.0::DOUBLE AS packet_count, CASE WHEN packet_id % 3 = 0 THEN k * 2.0 ELSE k END::DOUBLE AS tcp_syn_count,
+    length * 10.0::DOUBLE AS avg_packet_size, CAST(k % 81 AS DOUBLE) / 10.0 AS payload_entropy,
+    CASE WHEN k <> 50 THEN CAST(k * 37 % 101 AS DOUBLE) / 100.0 END AS model_score
+  FROM packets
+),
+ruled AS (
+  SELECT *, avg_packet_size > 1500 AS r1, payload_entropy > 7.0 AS r2,
+    packet_count >= 100 AND tcp_syn_count / greatest(packet_count, 1) > 0.9 AS r3,
+    CASE protocol WHEN 6 THEN 0.6 WHEN 17 THEN 0.8 WHEN 1 THEN 0.9 ELSE 0.7 END AS limit_used,
+    CASE WHEN protocol = 6 AND packet_count > 50 AND tcp_syn_count / packet_count > 0.8 THEN 'syn_flood'
+      WHEN payload_entropy > 7.5 THEN 'high_entropy' WHEN avg_packet_size > 1400 THEN 'large_payload'
+      ELSE 'generic_anomaly' END AS model_type
+  FROM scored
+),
+rules AS (
+  SELECT *, CASE WHEN NOT (r1 OR r2 OR r3) THEN 0.1 ELSE greatest(CASE WHEN r1 THEN 0.8 ELSE 0 END,
+      CASE WHEN r2 THEN least(payload_entropy / 10.0, 1.0) ELSE 0 END, CASE WHEN r3 THEN 0.9 ELSE 0 END) END AS rule_score,
+    CASE WHEN r1 THEN 'large_packet' WHEN r2 THEN 'high_entropy' WHEN r3 THEN 'syn_flood' ELSE 'normal' END AS rule_type,
+    concat_ws('|', CASE WHEN r1 THEN '大数据包' END, CASE WHEN r2 THEN '高熵' END, CASE WHEN r3 THEN 'SYN Flood' END) AS reasons,
+    coalesce(model_score >= limit_used, false) AS hit
+  FROM ruled
+),
+detections AS (
+  SELECT *, greatest(coalesce(model_score, 0), rule_score) AS anomaly_score, hit OR rule_score >= 0.7 AS is_anomaly,
+    CASE WHEN hit THEN model_type ELSE rule_type END AS anomaly_type,
+    CASE WHEN hit THEN 'model_model' ELSE 'rule_based' END AS detection_method,
+    CASE WHEN hit THEN limit_used ELSE 0.7 END AS threshold_used,
+    session_id || '_' || (ts_us // 1000000) AS anomaly_id
+  FROM rules
+)"""
+)
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid detections over the scored flows."""
+    from flowlens.operators.alerts import with_anomaly_id
+    from flowlens.operators.detect import detect
+
+    return with_anomaly_id(detect(scored_flows(spark, sf_dir)))
+
+
+def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` as analyst feedback; signup events judge anomalies that do not exist."""
+    p = packets(spark, sf_dir)
+    known = F.concat(F.lit("f"), F.col("packet_id").cast("string"), F.lit("_"), F.expr("cast(ts_us DIV 1000000 AS string)"))
+    return p.select(
+        F.col("packet_id").alias("feedback_id"),
+        F.when(F.col("protocol") == 17, F.concat(F.lit("x"), F.col("user_id").cast("string")))
+        .otherwise(known).alias("anomaly_id"),
+        (F.col("k") % 3 != 0).alias("is_correct"),
+        F.map_from_entries(F.array_compact(F.array(
+            F.struct(F.lit("packet_count").alias("key"), F.col("k").cast("double").alias("value")),
+            F.when(F.col("k") % 2 == 0, F.struct(F.lit("byte_count").alias("key"), F.col("length").cast("double").alias("value"))),
+            F.when(F.col("k") < 30, F.struct(F.lit("payload_entropy").alias("key"), F.lit(3.0).alias("value"))),
+            F.struct(F.lit("timestamp").alias("key"), F.lit(0.0).alias("value")),
+        ))).alias("features"),
+        F.col("ts_us").alias("feedback_us"),
+    )
+
+
+FEEDBACK_SQL = (
+    SCORED_SQL
+    + """,
+feedback AS (
+  SELECT packet_id AS feedback_id, CASE WHEN protocol = 17 THEN 'x' || user_id
+      ELSE 'f' || packet_id || '_' || (ts_us // 1000000) END AS anomaly_id, k % 3 <> 0 AS is_correct,
+    k AS fk, ts_us AS feedback_us FROM packets
+),
+judged AS (
+  SELECT f.feedback_id, f.anomaly_id, f.fk, d.protocol, d.anomaly_score, d.is_anomaly, f.is_correct,
+    CASE WHEN d.is_anomaly AND f.is_correct THEN 'tp' WHEN d.is_anomaly THEN 'fp' WHEN f.is_correct THEN 'tn' ELSE 'fn' END AS outcome
+  FROM feedback f JOIN detections d USING (anomaly_id)
+)"""
+)
