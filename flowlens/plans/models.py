@@ -1 +1,154 @@
-"""Queries to come."""
+"""Model training, voting and importances on rows of the feed."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens.functions.scalars import raw_to_features
+from flowlens.operators import models as J
+from flowlens.plans.registry import query, rd, rounded
+from flowlens.sources.adapters import PACKETS_SQL, PREDICTIONS_SQL, packets, predictions, raw_samples
+from flowlens.schemas import MODEL_FEATURES
+
+# Small learners: the queries show the flow, the defaults are for real training sets.
+SMALL = {
+    "xgboost": {"maxIter": 8}, "random_forest": {"numTrees": 10, "maxDepth": 5},
+    "logistic_regression": {"maxIter": 20}, "mlp": {"hidden": [16], "maxIter": 20},
+}
+
+
+def training_rows(spark, d):
+    return raw_to_features(raw_samples(spark, d), ["id", "protocol"]).select("id", "protocol", *MODEL_FEATURES, "label")
+
+
+def _trained(model_type):
+    def build(spark, d):
+        model, test_metrics, _ = J.train(training_rows(spark, d), "id", model_type, **SMALL[model_type])
+        return rounded(test_metrics.withColumn("model_type", F.lit(model_type)))
+    return build
+
+
+for _t in SMALL:
+    query(f"train_{_t}")(_trained(_t))
+
+
+@query("cross_validation")
+def _cv(spark, d):
+    _, _, folds = J.train(training_rows(spark, d), "id", "logistic_regression", folds=3, maxIter=10)
+    return rounded(J.cross_validation_summary(folds))
+
+
+@query("models_per_protocol")
+def _per_protocol(spark, d):
+    from flowlens.operators.detect import route
+
+    rows = training_rows(spark, d)
+    models = J.train_per_protocol(rows, "logistic_regression", maxIter=10)
+    general = models.pop(None)
+    scored = route(rows, models, general)
+    return rounded(scored.groupBy("protocol").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("model_score").alias("mean_score"),
+        F.avg(((F.col("model_score") >= 0.5).cast("int") == F.col("label")).cast("double")).alias("accuracy"),
+    ))
+
+
+@query("native_importance")
+def _native(spark, d):
+    model = J.fit(training_rows(spark, d), "random_forest", **SMALL["random_forest"])
+    return rounded(J.native_importance(spark, model))
+
+
+@query("windowed_refit")
+def _refit(spark, d):
+    rows = training_rows(spark, d).join(packets(spark, d).select(F.col("packet_id").alias("id"), "ts_us"), "id")
+    model = J.partial_refit(rows, 1_706_600_000_000_000, 10, maxIter=10)
+    return rounded(J.evaluate(J.score(model, rows)))
+
+
+@query("saved_model")
+def _saved(spark, d):
+    from flowlens.plans.registry import scratch
+    from flowlens.sources import storage as A
+
+    base = scratch(spark, "models")
+    rows = training_rows(spark, d)
+    for version, iterations in ((1, 2), (2, 10)):
+        model = J.fit(rows, "logistic_regression", maxIter=iterations)
+        A.save_model(model, f"{base}/lr-{version}", f"{base}/registry", "logistic_regression", version, 0.5, version)
+    newest = A.load_latest_model(spark, f"{base}/registry", "logistic_regression")
+    return rounded(J.score(newest, rows).groupBy("label", "pred").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")))
+
+
+@query("decision_threshold", f"WITH {PREDICTIONS_SQL} SELECT id, CASE WHEN score >= 0.35 THEN 1 ELSE 0 END AS pred FROM predictions")
+def _threshold(spark, d):
+    return predictions(spark, d).select("id", J.decide("score", 0.35).alias("pred"))
+
+
+_FACTORS = {"xgboost": 37, "random_forest": 53, "mlp": 71}
+_WEIGHTS = {"xgboost": 0.5, "random_forest": 0.4, "mlp": 0.3}
+_SCORES = f"""{PACKETS_SQL}, s AS ({' UNION ALL '.join(
+    f"SELECT packet_id AS id, '{m}' AS model, CAST(k * {f} % 101 AS DOUBLE) / 100 AS score, {w} AS w FROM packets"
+    for (m, f), w in zip(_FACTORS.items(), _WEIGHTS.values()))})"""
+
+
+def model_scores(spark, d):
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), (F.col("k") * f % 101 / F.lit(100.0)).alias("score")) for m, f in _FACTORS.items()])
+    out = packets(spark, d).select(F.col("packet_id").alias("id"), F.explode(rows).alias("s")).select("id", "s.*")
+    return out.withColumn("pred", J.decide("score"))
+
+
+@query("soft_vote", f"""WITH {_SCORES}, v AS (SELECT id, least(greatest(sum(score * w), 0), 1) AS score FROM s GROUP BY id)
+SELECT id, {rd('score', 'score')}, CASE WHEN v.score >= 0.52 THEN 1 ELSE 0 END AS pred FROM v""")
+def _soft(spark, d):
+    # The weighted sums have steps of 0.001, so a threshold between steps is not at a rounding edge.
+    return rounded(J.soft_vote(model_scores(spark, d), "id", _WEIGHTS, 0.52))
+
+
+@query("soft_vote_equal", f"WITH {_SCORES} SELECT id, {rd('avg(score)', 'score')}, CASE WHEN avg(s.score) >= 0.505 THEN 1 ELSE 0 END AS pred FROM s GROUP BY id")
+def _soft_equal(spark, d):
+    return rounded(J.soft_vote(model_scores(spark, d), "id", threshold=0.505))
+
+
+@query("hard_vote", f"""WITH {_SCORES} SELECT id, {rd('avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0 END)', 'share')},
+  CASE WHEN count(*) FILTER (WHERE score >= 0.5) >= 2 THEN 1 ELSE 0 END AS pred FROM s GROUP BY id""")
+def _hard(spark, d):
+    return rounded(J.hard_vote(model_scores(spark, d), "id"))
+
+
+@query("combined_importance", f"""WITH {PACKETS_SQL},
+i AS (SELECT 'f' || (k % 9) AS feature, CASE user_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.4 ELSE 0.3 END AS w, avg(length) AS importance
+  FROM packets GROUP BY 1, 2)
+SELECT feature, {rd('sum(importance * w) / sum(w)', 'importance')} FROM i GROUP BY feature""")
+def _combined(spark, d):
+    model = F.when(F.col("user_id") % 3 == 0, "xgboost").when(F.col("user_id") % 3 == 1, "random_forest").otherwise("mlp")
+    rows = packets(spark, d).groupBy(F.concat(F.lit("f"), (F.col("k") % 9).cast("string")).alias("feature"), model.alias("model"))
+    return rounded(J.combined_importance(rows.agg(F.avg("length").alias("importance")), _WEIGHTS))
+
+
+def _shuffled_sql(seed: int, feature: str) -> str:
+    other = "length" if feature == "k" else "k"
+    return f"""SELECT '{feature}' AS feature, avg(CASE WHEN label = CASE WHEN k * 2 + length > 150 THEN 1 ELSE 0 END THEN 1.0 ELSE 0 END) AS acc
+  FROM (SELECT label, {other}, row_number() OVER (ORDER BY md5('42:' || id), id) AS rn FROM p) a
+  JOIN (SELECT {feature}, row_number() OVER (ORDER BY md5('{seed}:' || id), id) AS rn FROM p) b USING (rn)"""
+
+
+@query("permutation_importance", f"""WITH {PACKETS_SQL},
+p AS (SELECT packet_id AS id, k, length, CASE WHEN k + length > 130 THEN 1 ELSE 0 END AS label FROM packets),
+base AS (SELECT avg(CASE WHEN label = CASE WHEN k * 2 + length > 150 THEN 1 ELSE 0 END THEN 1.0 ELSE 0 END) AS acc FROM p),
+s AS ({_shuffled_sql(43, 'k')} UNION ALL {_shuffled_sql(44, 'length')}),
+x AS (SELECT feature, abs((SELECT acc FROM base) - acc) AS drop FROM s)
+SELECT feature, {rd('drop', 'drop')}, {rd('drop / sum(drop) OVER ()', 'importance')} FROM x""")
+def _permutation(spark, d):
+    rows = packets(spark, d).select(
+        F.col("packet_id").alias("id"), "k", "length", (F.col("k") + F.col("length") > 130).cast("int").alias("label")
+    )
+    predict = lambda df: df.withColumn("pred", (F.col("k") * 2 + F.col("length") > 150).cast("int"))
+    return rounded(J.permutation_importance(rows, "id", ["k", "length"], predict))
+
+
+@query("predictions_with_labels", f"""WITH {PREDICTIONS_SQL}, l AS (SELECT user_id, max(label) AS truth FROM predictions GROUP BY 1)
+SELECT id, user_id, pred, truth FROM predictions JOIN l USING (user_id)""")
+def _labels(spark, d):
+    p = predictions(spark, d).select("id", "user_id", "pred", "label")
+    labels = p.groupBy("user_id").agg(F.max("label").alias("truth"))
+    return J.join_labels(p.drop("label"), labels, "user_id", "id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,10 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.operators.scale import checkpoint_dir
+
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the session's checkpoints, which all executors share."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class Query:
     build: Callable[[SparkSession, str], DataFrame]

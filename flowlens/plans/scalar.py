@@ -250,3 +250,11 @@ def _rules(spark, d):
     hits = detect.configured_rules(p, cfg)
     return hits.where(F.size("reasons") > 0).select("packet_id", F.array_join("reasons", "|").alias("reasons"))
 
+
+
+@query("json_rows", f"WITH {PACKETS_SQL} SELECT packet_id, src_ip, dst_port, k FROM packets")
+def _json(spark, d):
+    p = packets(spark, d).select("packet_id", "src_ip", "dst_port", F.struct("k").alias("extra"))
+    rows = X.to_json_rows(p, ["packet_id"])
+    back = F.from_json("json", "src_ip STRING, dst_port INT, extra STRUCT<k: INT>").alias("r")
+    return rows.select("packet_id", back).select("packet_id", "r.src_ip", "r.dst_port", "r.extra.k")

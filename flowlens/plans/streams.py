@@ -1 +1,94 @@
-"""Queries to come."""
+"""Streaming operators, run to the end of the events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens.operators import alerts as L
+from flowlens.operators.detect import detect
+from flowlens.plans.alerts import _greedy_sql
+from flowlens.plans.flows import SESSION_SQL, TIMEOUT, flow_sql
+from flowlens.plans.registry import DAY, HOUR, query, rd, rounded, scratch
+from flowlens.sources.adapters import FEEDBACK_SQL, PACKETS_SQL, packets_of, scored_of, table
+from flowlens.streaming import streams as M
+
+
+def event_stream(spark, d):
+    schema = table(spark, d, "events").schema
+    return M.packet_stream(spark, d, schema, glob="events.parquet")
+
+
+def finished(spark, stream, name):
+    base = scratch(spark, name)
+    M.run_to_end(stream, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+# A session is closed once the watermark (newest event minus the delay) passes its end plus the timeout.
+_CLOSED = f"end_us + {TIMEOUT} <= (SELECT max(ts_us) FROM packets) - {HOUR}"
+
+
+@query("streamed_sessions", f"""WITH {flow_sql()}, {SESSION_SQL} SELECT session_key, protocol_name, total_packets, total_bytes, start_us, end_us,
+  {rd('duration', 'duration')}, tcp_syn_count, tcp_ack_count, tcp_fin_count, tcp_rst_count FROM session WHERE {_CLOSED}""")
+def _sessions(spark, d):
+    stream = M.stream_sessions(packets_of(event_stream(spark, d)), "12 hours", "1 hour")
+    rows = finished(spark, stream, "sessions")
+    return rounded(rows.select("session_key", "protocol_name", "total_packets", "total_bytes", "start_us", "end_us", "duration",
+                               "tcp_syn_count", "tcp_ack_count", "tcp_fin_count", "tcp_rst_count"))
+
+
+@query("streamed_windows", f"""WITH {PACKETS_SQL},
+c AS (SELECT *, unnest(range(ts_us // {4 * HOUR} - 5, ts_us // {4 * HOUR} + 1)) AS w FROM packets)
+SELECT src_ip, w * {4 * HOUR} AS window_start_us, count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS byte_count,
+  count(*) FILTER (WHERE protocol = 6 AND flags & 2 <> 0) AS syn_count FROM c GROUP BY src_ip, w
+HAVING w * {4 * HOUR} + {DAY} <= (SELECT max(ts_us) FROM packets) - {HOUR}""")
+def _windows(spark, d):
+    stream = M.stream_windows(packets_of(event_stream(spark, d)), "24 hours", "4 hours", "1 hour")
+    return finished(spark, stream, "windows").select("src_ip", "window_start_us", "packet_count", "byte_count", "syn_count")
+
+
+@query("streamed_tumbling_windows", f"""WITH {PACKETS_SQL}
+SELECT src_ip, ts_us // {DAY} * {DAY} AS window_start_us, count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS byte_count FROM packets
+GROUP BY 1, 2 HAVING window_start_us + {DAY} <= (SELECT max(ts_us) FROM packets) - {HOUR}""")
+def _tumbling(spark, d):
+    stream = M.stream_windows(packets_of(event_stream(spark, d)), "24 hours", None, "1 hour")
+    return finished(spark, stream, "tumbling").select("src_ip", "window_start_us", "packet_count", "byte_count")
+
+
+@query("streamed_detections", f"""WITH {flow_sql()}, {SESSION_SQL},
+x AS (SELECT session_key, start_us, total_bytes / total_packets > 100 AS r1,
+  total_packets >= 2 AND tcp_syn_count / total_packets > 0.4 AS r3 FROM session WHERE {_CLOSED})
+SELECT session_key, start_us, {rd('CASE WHEN r3 THEN 0.9 WHEN r1 THEN 0.8 ELSE 0.1 END', 'anomaly_score')}, r1 OR r3 AS is_anomaly,
+  CASE WHEN r1 THEN 'large_packet' WHEN r3 THEN 'syn_flood' ELSE 'normal' END AS anomaly_type FROM x""")
+def _detections(spark, d):
+    from flowlens.config import DetectionConfig, RuleConfig
+
+    cfg = DetectionConfig(mode="rule_only", rules=RuleConfig(large_packet=100, syn_ratio=0.4, syn_min_packets=2))
+    stream = M.stream_detections(M.stream_sessions(packets_of(event_stream(spark, d)), "12 hours", "1 hour"), cfg)
+    rows = finished(spark, stream.drop("reasons"), "verdicts")
+    return rounded(rows.select("session_key", "start_us", "anomaly_score", "is_anomaly", "anomaly_type"))
+
+
+@query("streamed_throttle", _greedy_sql(6 * HOUR))
+def _throttle(spark, d):
+    base = scratch(spark, "throttle")
+    found = L.alert_candidates(detect(scored_of(packets_of(event_stream(spark, d)))))
+    M.run_throttle(found, base, f"{base}/checkpoint", 6 * HOUR)
+    return spark.read.parquet(f"{base}/sent").select("anomaly_type", "ts_us", "anomaly_id")
+
+
+@query("streamed_feedback_counts", f"""WITH {FEEDBACK_SQL} SELECT CAST(protocol AS VARCHAR) AS protocol,
+  count(*) FILTER (WHERE outcome = 'tp') AS tp, count(*) FILTER (WHERE outcome = 'fp') AS fp,
+  count(*) FILTER (WHERE outcome = 'tn') AS tn, count(*) FILTER (WHERE outcome = 'fn') AS fn FROM judged GROUP BY 1""")
+def _counts(spark, d):
+    from flowlens.operators.alerts import with_anomaly_id
+
+    # Every verdict arrives twice, as through a queue and a direct call, and counts once.
+    rows = with_anomaly_id(detect(scored_of(packets_of(event_stream(spark, d))))).where("protocol <> 17")
+    twice = rows.select(
+        "anomaly_id", F.col("protocol").cast("string").alias("protocol"), "is_anomaly", (F.col("k") % 3 != 0).alias("is_correct"),
+        F.timestamp_micros("ts_us").alias("event_time"), F.explode(F.array(F.lit(1), F.lit(2))).alias("way"),
+    )
+    base = scratch(spark, "counters")
+    M.run_counters(M.stream_feedback_counts(twice), f"{base}/out", f"{base}/checkpoint")
+    return M.latest_counters(spark, f"{base}/out").select("protocol", "tp", "fp", "tn", "fn")

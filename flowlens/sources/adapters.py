@@ -20,8 +20,12 @@ def micros(df: DataFrame, name: str) -> Column:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`events` as a packet feed; odd event ids travel in the reverse direction."""
-    events = table(spark, sf_dir, "events")
+    """`events` as a packet feed."""
+    return packets_of(table(spark, sf_dir, "events"))
+
+
+def packets_of(events: DataFrame) -> DataFrame:
+    """Packets of a static or streaming `events`; odd event ids travel in the reverse direction."""
     k = F.get_json_object("props", "$.k").cast("int")
     client_ip = F.concat(F.lit("10.0.0."), (F.col("user_id") % 50).cast("string"))
     server_ip = F.concat(F.lit("10.0.1."), (F.col("user_id") % 3).cast("string"))
@@ -153,7 +157,10 @@ raw AS (
 
 def scored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as flow feature rows with a model score."""
-    p = packets(spark, sf_dir)
+    return scored_of(packets(spark, sf_dir))
+
+
+def scored_of(p: DataFrame) -> DataFrame:
     many = (F.col("k") * 2).cast("double")
     return p.select(
         F.concat(F.lit("f"), F.col("packet_id").cast("string")).alias("session_id"),
@@ -245,3 +252,27 @@ judged AS (
   FROM feedback f JOIN detections d USING (anomaly_id)
 )"""
 )
+
+
+def _hex(value: Column, digits: int) -> Column:
+    return F.lpad(F.hex(value.cast("bigint")), digits, "0")
+
+
+def _ip_hex(ip: str) -> Column:
+    return F.array_join(F.transform(F.split(ip, "\\."), lambda o: _hex(o.cast("int"), 2)), "")
+
+
+def frames_of(p: DataFrame) -> DataFrame:
+    """Ethernet frames (packet_id, ts_us, frame) that carry the given packets."""
+    body = F.hex("payload")
+    zero = F.lit("0000")
+    tcp = F.concat(_hex(F.col("src_port"), 4), _hex(F.col("dst_port"), 4), _hex(F.col("seq"), 8), F.lit("00000000"),
+                   F.lit("50"), _hex(F.col("flags"), 2), _hex(F.col("winsize"), 4), zero, zero)
+    udp = F.concat(_hex(F.col("src_port"), 4), _hex(F.col("dst_port"), 4), _hex(F.octet_length("payload") + 8, 4), zero)
+    icmp = F.concat(_hex(F.col("icmp_type"), 2), _hex(F.col("icmp_code"), 2), zero)
+    segment = F.concat(F.when(F.col("protocol") == 6, tcp).when(F.col("protocol") == 17, udp).otherwise(icmp), body)
+    ip_len = F.length(segment) / 2 + 20
+    ip = F.concat(F.lit("4500"), _hex(ip_len, 4), zero, zero, F.lit("40"), _hex(F.col("protocol"), 2), zero,
+                  _ip_hex("src_ip"), _ip_hex("dst_ip"))
+    ethernet = F.lit("02000000000102000000000208" + "00")
+    return p.select("packet_id", "ts_us", F.unhex(F.concat(ethernet, ip, segment)).alias("frame"))
