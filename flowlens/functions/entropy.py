@@ -51,8 +51,11 @@ def byte_entropy(payload: str | Column) -> Column:
     return _byte_entropy(F.col(payload) if isinstance(payload, str) else payload)
 
 
-def byte_histogram(df: DataFrame, keys: Sequence[str], payload: str) -> DataFrame:
-    """Byte counts per key: (keys, byte, c). Batches are counted before the shuffle."""
+def byte_counts(df: DataFrame, keys: Sequence[str], payload: str) -> DataFrame:
+    """Partial byte counts: (keys, symbols, counts), at most one row per key and Arrow batch.
+
+    A key may occur in several rows, so the counts are summed after exploding the two arrays.
+    """
     names = list(keys)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
 
@@ -63,24 +66,28 @@ def byte_histogram(df: DataFrame, keys: Sequence[str], payload: str) -> DataFram
                 [("__i", "min"), ("__i", "list")]
             )
             code = np.empty(len(batch), dtype=np.int64)
-            lists = groups["__i_list"].combine_chunks()
-            code[lists.flatten().to_numpy()] = np.repeat(
-                np.arange(len(groups)), np.diff(lists.offsets.to_numpy())
+            members = groups["__i_list"].combine_chunks()
+            code[members.flatten().to_numpy()] = np.repeat(
+                np.arange(len(groups)), np.diff(members.offsets.to_numpy())
             )
             first = groups["__i_min"].to_numpy()
             for lo, sizes, data in _blocks(batch[payload].to_pylist()):
-                row_code = np.repeat(code[lo : lo + len(sizes)], sizes)
-                cell, c = np.unique(row_code * 256 + data, return_counts=True)
-                if len(cell) == 0:
+                if len(data) == 0:
                     continue
-                keys_out = table.take(pa.array(first[cell // 256])).combine_chunks()
-                columns = [keys_out[n].combine_chunks() for n in names]
+                cell, c = np.unique(np.repeat(code[lo : lo + len(sizes)], sizes) * 256 + data, return_counts=True)
+                group = cell // 256
+                starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+                offsets = pa.array(np.r_[starts, len(cell)].astype(np.int32))
+                owners = table.take(pa.array(first[group[starts]]))
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array((cell % 256).astype(np.int32)), pa.array(c.astype(np.int64))],
-                    names=[*names, "byte", "c"],
+                    [
+                        *[owners[n].combine_chunks() for n in names],
+                        pa.ListArray.from_arrays(offsets, pa.array((cell % 256).astype(np.int32))),
+                        pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int64))),
+                    ],
+                    names=[*names, "symbols", "counts"],
                 )
 
-    counted = df.select(*names, payload).where(F.octet_length(payload) > 0).mapInArrow(
-        count, f"{key_schema}, byte int, c bigint"
+    return df.select(*names, payload).where(F.octet_length(payload) > 0).mapInArrow(
+        count, f"{key_schema}, symbols array<int>, counts array<bigint>"
     )
-    return counted.groupBy(*names, "byte").agg(F.sum("c").alias("c"))

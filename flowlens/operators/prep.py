@@ -71,7 +71,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
     )
     values = df.select(pairs.alias("p")).select("p.feature", "p.v").where("v IS NOT NULL").withColumn(
-        "cell", value_cell("v")
+        "cell", value_cell("v", 1 << 14)
     )
     upto = Window.partitionBy("feature").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("feature")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.config import SessionConfig
-from flowlens.functions.entropy import byte_histogram
+from flowlens.functions.entropy import byte_counts
 from flowlens.functions.scalars import enabled_features
 from flowlens.operators import sessions as S
 from flowlens.schemas import STAT_FEATURES
@@ -68,36 +68,51 @@ def entropy_of_counts(count: str = "c") -> Column:
     return F.when(F.count(c) <= 1, 0.0).otherwise(F.log2(total) - F.sum(c * F.log2(c)) / total)
 
 
-def _histogram_entropy(hist: DataFrame, symbol: str, numbered: DataFrame, name: str) -> DataFrame:
-    """Entropy per session of a (key, chunk, symbol, c) histogram."""
-    per_session = (
-        hist.join(numbered, ["session_key", "chunk"]).groupBy(*KEY, symbol).agg(F.sum("c").alias("c"))
-    )
-    return per_session.groupBy(*KEY).agg(entropy_of_counts().alias(name))
-
-
 def numbering(packets: DataFrame, cfg: SessionConfig) -> DataFrame:
     chunks = S.session_chunks(packets, cfg, {"first_ts": F.min("ts_us"), "last_ts": F.max("ts_us")})
     return chunks.select("session_key", "chunk", "session_seq")
 
 
-def payload_entropy(packets: DataFrame, cfg: SessionConfig = SessionConfig()) -> DataFrame:
-    """Entropy over all payload bytes of a session, from byte counts; payloads are never joined up."""
-    hist = byte_histogram(S.keyed(packets, cfg), ["session_key", "chunk"], "payload")
-    return _histogram_entropy(hist, "byte", numbering(packets, cfg), "payload_entropy")
+ENTROPIES = {"payload_entropy": "payload", "src_port_entropy": "src_port", "dst_port_entropy": "dst_port"}
 
 
-def port_entropy(
-    packets: DataFrame, port: str, cfg: SessionConfig = SessionConfig()
+def session_entropies(
+    packets: DataFrame, cfg: SessionConfig = SessionConfig(), names: Sequence[str] = tuple(ENTROPIES)
 ) -> DataFrame:
-    """Entropy of ``src_port`` or ``dst_port`` over the packets of a session."""
-    hist = (
-        S.keyed(packets, cfg)
-        .where(F.col(port).isNotNull())
-        .groupBy("session_key", "chunk", port)
-        .agg(F.count(F.lit(1)).alias("c"))
+    """Entropy of payload bytes and of ports over the packets of each session.
+
+    Symbols are counted per (key, chunk) before anything is joined, and payloads are never
+    put together. All kinds share one join and one aggregation.
+    """
+    keyed = S.keyed(packets, cfg)
+    parts = []
+    ports = [n for n in names if n != "payload_entropy"]
+    if ports:
+        sides = F.explode(
+            F.array(*[F.struct(F.lit(n).alias("kind"), F.col(ENTROPIES[n]).alias("symbol")) for n in ports])
+        )
+        parts.append(
+            keyed.select("session_key", "chunk", sides.alias("s")).select("session_key", "chunk", "s.*")
+            .where("symbol IS NOT NULL").groupBy("session_key", "chunk", "kind", "symbol")
+            .agg(F.count(F.lit(1)).alias("c"))
+            .select("session_key", "chunk", "kind", F.array("symbol").alias("symbols"), F.array("c").alias("counts"))
+        )
+    if "payload_entropy" in names:
+        parts.append(
+            byte_counts(keyed, ["session_key", "chunk"], "payload").withColumn("kind", F.lit("payload_entropy"))
+            .select("session_key", "chunk", "kind", "symbols", "counts")
+        )
+    counted = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    symbols = F.explode(F.arrays_zip("symbols", "counts")).alias("z")
+    per_symbol = (
+        counted.join(numbering(packets, cfg), ["session_key", "chunk"])
+        .select(*KEY, "kind", symbols).select(*KEY, "kind", "z.*")
+        .groupBy(*KEY, "kind", "symbols").agg(F.sum("counts").alias("c"))
+    )
+    per_kind = per_symbol.groupBy(*KEY, "kind").agg(entropy_of_counts().alias("h"))
+    return per_kind.groupBy(*KEY).agg(
+        *[F.coalesce(F.max(F.when(F.col("kind") == n, F.col("h"))), F.lit(0.0)).alias(n) for n in names]
     )
-    return _histogram_entropy(hist, port, numbering(packets, cfg), f"{port}_entropy")
 
 
 def stat_features(
@@ -108,20 +123,15 @@ def stat_features(
 ) -> DataFrame:
     """The 24 statistical features (or the enabled ones) per session.
 
-    An entropy feature that is not enabled is not computed: its join is left out.
+    Entropy features that are not enabled are not computed.
     """
     names = enabled_features(STAT_FEATURES, enabled, disabled)
     out = S.session_aggregates(packets, cfg)
     columns = aggregate_features()
-    extras = {
-        "payload_entropy": lambda: payload_entropy(packets, cfg),
-        "src_port_entropy": lambda: port_entropy(packets, "src_port", cfg),
-        "dst_port_entropy": lambda: port_entropy(packets, "dst_port", cfg),
-    }
-    for name, build in extras.items():
-        if name in names:
-            out = out.join(build(), KEY, "left")
-            columns[name] = F.coalesce(F.col(name), F.lit(0.0))
+    wanted = [n for n in ENTROPIES if n in names]
+    if wanted:
+        out = out.join(session_entropies(packets, cfg, wanted), KEY, "left")
+        columns |= {n: F.coalesce(F.col(n), F.lit(0.0)) for n in wanted}
     return out.select(
         S.session_id().alias("session_id"), *KEY, "protocol", "first_ts", "last_ts",
         *[columns[n].alias(n) for n in names],

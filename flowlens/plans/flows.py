@@ -176,10 +176,11 @@ def _enabled(spark, d):
 
 @query("session_payload_entropy", f"WITH {flow_sql()}, {STAT_SQL}, {ENTROPY_SQL} SELECT session_key, session_seq, {rd('h', 'payload_entropy')} FROM payload_h")
 def _payload_entropy(spark, d):
-    return rounded(stat.payload_entropy(packets(spark, d), CFG))
+    rows = stat.session_entropies(packets(spark, d), CFG, ["payload_entropy"])
+    return rounded(rows)
 
 
 @query("session_port_entropy", f"WITH {flow_sql()}, {STAT_SQL}, {ENTROPY_SQL} SELECT session_key, session_seq, {rd('h', 'src_port_entropy')} FROM src_h")
 def _port_entropy(spark, d):
-    return rounded(stat.port_entropy(packets(spark, d), "src_port", CFG))
+    return rounded(stat.session_entropies(packets(spark, d), CFG, ["src_port_entropy"]))
 

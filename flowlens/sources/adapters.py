@@ -26,7 +26,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packets_of(events: DataFrame) -> DataFrame:
     """Packets of a static or streaming `events`; odd event ids travel in the reverse direction."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     client_ip = F.concat(F.lit("10.0.0."), (F.col("user_id") % 50).cast("string"))
     server_ip = F.concat(F.lit("10.0.1."), (F.col("user_id") % 3).cast("string"))
     icmp = F.col("protocol") == 1
@@ -39,7 +39,8 @@ def packets_of(events: DataFrame) -> DataFrame:
     base = events.select(
         F.col("event_id").alias("packet_id"),
         micros(events, "ts").alias("ts_us"),
-        "user_id", "event_id", "event_type", "value", "props",
+        "user_id", "event_id", "value", "props",
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.when(F.col("event_type") == "error", 1)
         .when(F.col("event_type") == "signup", 17)
         .otherwise(6)
@@ -56,7 +57,7 @@ def packets_of(events: DataFrame) -> DataFrame:
         (F.floor("value") + 40).cast("int").alias("length"),
         F.when(F.col("protocol") == 6, flags).alias("flags"),
         F.encode("props", "UTF-8").alias("payload"),
-        k.alias("k"),
+        "k",
         "user_id",
         F.floor("value").cast("int").alias("seq"),
         (k * 600).alias("winsize"),
