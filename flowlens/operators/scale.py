@@ -19,15 +19,24 @@ HASH_PREFIX = 4  # hex digits: 65,536 evenly filled chunks per key
 
 
 def chunk_totals(
-    df: DataFrame, keys: Sequence[str], chunk: str, values: Mapping[str, Column]
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: str,
+    sums: Mapping[str, Column],
+    maxima: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Totals of all *earlier* chunks of the key, one row per ``(keys, chunk)``."""
-    per_chunk = df.groupBy(*keys, chunk).agg(*[F.sum(v).alias(n) for n, v in values.items()])
+    """Totals (and maxima) of all *earlier* chunks of the key, one row per ``(keys, chunk)``."""
+    tops = maxima or {}
+    per_chunk = df.groupBy(*keys, chunk).agg(
+        *[F.sum(v).alias(n) for n, v in sums.items()], *[F.max(v).alias(n) for n, v in tops.items()]
+    )
     earlier = (
         Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     )
     return per_chunk.select(
-        *keys, chunk, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in values]
+        *keys, chunk,
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums],
+        *[F.max(n).over(earlier).alias(n) for n in tops],
     )
 
 
@@ -36,23 +45,32 @@ def running_totals(
     keys: Sequence[str],
     chunk: str,
     order: Sequence[str | Column],
-    values: Mapping[str, Column],
+    sums: Mapping[str, Column],
+    maxima: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums per key along ``(chunk, order)``.
+    """Inclusive running sums (and maxima) per key along ``(chunk, order)``.
 
     ``chunk`` must not decrease along ``order`` and the key columns must not be null.
     """
+    tops = maxima or {}
     inside = (
         Window.partitionBy(*keys, chunk)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    carried = chunk_totals(df, keys, chunk, {f"__before_{n}": v for n, v in values.items()})
-    local = df.withColumns({f"__in_{n}": F.sum(v).over(inside) for n, v in values.items()})
-    joined = local.join(carried, [*keys, chunk])
-    return joined.withColumns(
-        {n: F.col(f"__in_{n}") + F.col(f"__before_{n}") for n in values}
-    ).drop(*[f"__in_{n}" for n in values], *[f"__before_{n}" for n in values])
+    carried = chunk_totals(
+        df, keys, chunk, {f"__before_{n}": v for n, v in sums.items()}, {f"__before_{n}": v for n, v in tops.items()}
+    )
+    local = df.withColumns(
+        {f"__in_{n}": F.sum(v).over(inside) for n, v in sums.items()}
+        | {f"__in_{n}": F.max(v).over(inside) for n, v in tops.items()}
+    )
+    both = lambda n: (F.col(f"__in_{n}"), F.col(f"__before_{n}"))
+    joined = local.join(carried, [*keys, chunk]).withColumns(
+        {n: both(n)[0] + both(n)[1] for n in sums} | {n: F.greatest(*both(n)) for n in tops}
+    )
+    names = [*sums, *tops]
+    return joined.drop(*[f"__in_{n}" for n in names], *[f"__before_{n}" for n in names])
 
 
 def hash_order(id_col: str | Column, seed: int) -> Column:
@@ -151,15 +169,6 @@ def value_cell(value: str | Column, resolution: int = 1 << 20) -> Column:
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * resolution).cast("bigint")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a private folder only for a local master."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -180,18 +180,12 @@ def trailing_windows(
             "w_bytes": F.col("sign") * F.col("bytes"),
             "w_sumsq": (F.col("sign") * F.col("sumsq")).cast("decimal(20,0)"),
         },
+        {"oldest_left": F.col("oldest")},
     )
-    inside = Window.partitionBy(*KEY, "slice").orderBy("at", "sign").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    carried = sweep.groupBy(*KEY, "slice").agg(F.max("oldest").alias("__o"))
-    before = Window.partitionBy(*KEY).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = carried.select(*KEY, "slice", F.max("__o").over(before).alias("__carried"))
-    state = totals.withColumn("__start", F.max("oldest").over(inside)).join(carried, [*KEY, "slice"])
-    start = F.coalesce(F.greatest("__start", "__carried"), F.col("session_first"))
+    start = F.coalesce("oldest_left", "session_first")
     span = (F.col("at") - start) / 1e6
     duration = F.when(F.col("w_n") < 2, size_us / 1e6).otherwise(F.greatest(span, F.lit(FLOOR_S)))
-    return state.where(F.col("sign") == 1).select(
+    return totals.where(F.col("sign") == 1).select(
         S.session_id().alias("session_id"), *KEY, F.col("at").alias("ts_us"),
         F.col("w_n").alias("window_packets"),
         F.col("w_bytes").alias("window_bytes"),
@@ -224,34 +218,36 @@ def sliding_features(
         F.sum(F.when(F.col("icmp_type") == 0, 1).otherwise(0)).alias("echo_reply"),
         F.max(length).alias("max_len"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),
     )
+    counts = ("n", "bytes", "syn", "icmp", "echo_request", "echo_reply")
     copied = small.withColumn(
         "__w", F.explode(F.sequence(F.col("__step") - (steps - 1), F.col("__step")))
     )
-    # Two levels: counts per endpoint first, so a hot window is a merge of endpoints, not of packets.
-    per_port = copied.groupBy(*keys, "__w", "dst_ip", "dst_port").agg(
-        *[F.sum(c).alias(c) for c in ("n", "bytes", "syn", "icmp", "echo_request", "echo_reply")],
-        F.max("max_len").alias("max_len"), F.min("first_ts").alias("first_ts"),
-        F.max("last_ts").alias("last_ts"),
-    )
-    partial = per_port.groupBy(*keys, "__w", "dst_port").agg(
-        *[F.sum(c).alias(c) for c in ("n", "bytes", "syn", "icmp", "echo_request", "echo_reply")],
-        F.max("max_len").alias("max_len"), F.min("first_ts").alias("first_ts"),
-        F.max("last_ts").alias("last_ts"),
-    )
-    whole = partial.groupBy(*keys, "__w").agg(
-        F.sum("n").alias("packet_count"), F.sum("bytes").alias("byte_count"),
-        F.sum("syn").alias("syn_count"), F.sum("icmp").alias("icmp_count"),
-        F.sum("echo_request").alias("echo_request_count"), F.sum("echo_reply").alias("echo_reply_count"),
-        F.max("max_len").alias("max_packet_size"),
-        F.count("dst_port").alias("unique_dest_ports"),
-        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
-    )
-    hosts = per_port.groupBy(*keys, "__w", "dst_ip").agg(F.lit(1).alias("one")).groupBy(*keys, "__w").agg(
-        F.count("dst_ip").alias("unique_dest_hosts")
-    )
+    # Every endpoint row stands once for its port, with the measures, and once for its host.
+    # Counting distinct values is then counting groups, and no window collects raw endpoints.
+    nothing = [F.lit(None).cast("bigint").alias(c) for c in (*counts, "max_len", "first_ts", "last_ts")]
+    as_port = F.struct(F.lit("port").alias("kind"), F.col("dst_port").cast("string").alias("value"),
+                       *[F.col(c) for c in (*counts, "max_len", "first_ts", "last_ts")])
+    as_host = F.struct(F.lit("host").alias("kind"), F.col("dst_ip").alias("value"), *nothing)
+    sides = copied.select(*keys, "__w", F.explode(F.array(as_port, as_host)).alias("s")).select(*keys, "__w", "s.*")
+
+    def merge(rows: DataFrame, by: Sequence[str], *more: Column) -> DataFrame:
+        return rows.groupBy(*by).agg(
+            *[F.sum(c).alias(c) for c in counts], F.max("max_len").alias("max_len"),
+            F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), *more,
+        )
+
+    distinct = merge(sides, [*keys, "__w", "kind", "value"])
+    seen = lambda kind: F.count_if((F.col("kind") == kind) & F.col("value").isNotNull())
+    whole = merge(
+        distinct, [*keys, "__w"],
+        seen("port").alias("unique_dest_ports"), seen("host").alias("unique_dest_hosts"),
+    ).withColumnsRenamed({
+        "n": "packet_count", "bytes": "byte_count", "syn": "syn_count", "icmp": "icmp_count",
+        "echo_request": "echo_request_count", "echo_reply": "echo_reply_count", "max_len": "max_packet_size",
+    })
     span = (F.col("last_ts") - F.col("first_ts")) / 1e6
     duration = F.when(F.col("packet_count") < 2, size_us / 1e6).otherwise(F.greatest(span, F.lit(FLOOR_S)))
-    return whole.join(hosts, [*keys, "__w"]).select(
+    return whole.select(
         *keys,
         (F.col("__w") * step_us).alias("window_start_us"),
         "packet_count", "byte_count", "syn_count", "icmp_count", "echo_request_count",

@@ -86,7 +86,7 @@ g AS (SELECT src_ip, w, count(*) AS n, sum(length) AS b, max(length) AS mx,
   count(DISTINCT dst_port) AS ports, count(DISTINCT dst_ip) AS hosts,
   CASE WHEN count(*) < 2 THEN {DAY / 1e6} ELSE greatest((max(ts_us) - min(ts_us)) / 1e6, 0.001) END AS dur FROM c GROUP BY ALL)
 SELECT src_ip, w * {4 * HOUR} AS window_start_us, n AS packet_count, CAST(b AS BIGINT) AS byte_count, syn AS syn_count,
-  icmp AS icmp_count, req AS echo_request_count, rep AS echo_reply_count, mx AS max_packet_size,
+  icmp AS icmp_count, req AS echo_request_count, rep AS echo_reply_count, mx::BIGINT AS max_packet_size,
   ports AS unique_dest_ports, hosts AS unique_dest_hosts, {rd('n / dur', 'packets_per_second')},
   {rd('CASE WHEN rep > 0 THEN req / rep ELSE 0 END', 'request_response_ratio')} FROM g""")
 def _sliding(spark, d):
@@ -105,7 +105,7 @@ def _fan_out_approx(spark, d):
 
 
 @query("protocol_spec_features", f"""WITH {flow_sql()}
-SELECT session_key || '#' || session_seq AS session_id, max(length) AS packet_size_max,
+SELECT session_key || '#' || session_seq AS session_id, max(length)::BIGINT AS packet_size_max,
   {rd('coalesce(avg(winsize) FILTER (WHERE protocol = 6), 0)', 'window_size_mean')},
   {rd('coalesce(stddev_pop(winsize) FILTER (WHERE protocol = 6), 0)', 'window_size_std')},
   (count(*) FILTER (WHERE protocol = 6)) - (count(DISTINCT (src_ip, seq)) FILTER (WHERE protocol = 6)) AS retransmission_count,
