@@ -85,11 +85,12 @@ def session_entropies(
     put together. All kinds share one join and one aggregation.
     """
     keyed = S.keyed(packets, cfg)
+    code = {n: i for i, n in enumerate(ENTROPIES)}  # a number keeps the many symbol rows short
     parts = []
     ports = [n for n in names if n != "payload_entropy"]
     if ports:
         sides = F.explode(
-            F.array(*[F.struct(F.lit(n).alias("kind"), F.col(ENTROPIES[n]).alias("symbol")) for n in ports])
+            F.array(*[F.struct(F.lit(code[n]).alias("kind"), F.col(ENTROPIES[n]).alias("symbol")) for n in ports])
         )
         parts.append(
             keyed.select("session_key", "chunk", sides.alias("s")).select("session_key", "chunk", "s.*")
@@ -99,7 +100,7 @@ def session_entropies(
         )
     if "payload_entropy" in names:
         parts.append(
-            byte_counts(keyed, ["session_key", "chunk"], "payload").withColumn("kind", F.lit("payload_entropy"))
+            byte_counts(keyed, ["session_key", "chunk"], "payload").withColumn("kind", F.lit(code["payload_entropy"]))
             .select("session_key", "chunk", "kind", "symbols", "counts")
         )
     counted = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -111,7 +112,7 @@ def session_entropies(
     )
     per_kind = per_symbol.groupBy(*KEY, "kind").agg(entropy_of_counts().alias("h"))
     return per_kind.groupBy(*KEY).agg(
-        *[F.coalesce(F.max(F.when(F.col("kind") == n, F.col("h"))), F.lit(0.0)).alias(n) for n in names]
+        *[F.coalesce(F.max(F.when(F.col("kind") == code[n], F.col("h"))), F.lit(0.0)).alias(n) for n in names]
     )
 
 
