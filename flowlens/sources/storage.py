@@ -153,9 +153,8 @@ def recent_reports(reports: DataFrame, now_us: int, hours: int = 24, limit: int
 
 
 def write_feedback(feedback: DataFrame, path: str) -> None:
-    feedback.withColumn("dt", F.date_format(F.timestamp_seconds("timestamp"), "yyyyMMdd")).write.mode(
-        "append"
-    ).partitionBy("dt").json(path)
+    day = timestamp_text((F.col("timestamp") * 1e6).cast("bigint"), "yyyyMMdd")
+    feedback.withColumn("dt", day).write.mode("append").partitionBy("dt").json(path)
 
 
 def read_feedback(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

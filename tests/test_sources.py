@@ -85,6 +85,8 @@ def test_feedback_quarantine(spark, tmp_path):
     (tmp_path / "f.json").write_text("\n".join([good, '{"anomaly_id": "b', '{"anomaly_id":"c_1"}']))
     ok, bad = A.read_feedback(spark, str(tmp_path), FEEDBACK)
     assert [r.anomaly_id for r in ok.collect()] == ["a_1"]
+    A.write_feedback(ok, str(tmp_path / "again"))
+    assert [r.dt for r in spark.read.json(str(tmp_path / "again")).collect()] == [19700101]
     assert bad.count() == 2
 
 

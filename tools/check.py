@@ -23,7 +23,7 @@ def session(cores: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName("check")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
-        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", os.environ.get("CHECK_TZ", "UTC"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
