@@ -18,6 +18,9 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from flowlens.session import ship_package
+
+    ship_package(session)
     yield session
     session.stop()
 

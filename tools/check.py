@@ -27,6 +27,9 @@ def session(cores: int = 8) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    from flowlens.session import ship_package
+
+    ship_package(spark)
     return spark
 
 
