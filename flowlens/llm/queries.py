@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, pieces, secrets, token_counts, toxicity, urls
+from flowlens.llm import decontaminate, html_text, pieces, secrets, token_counts, toxicity, urls, vectors
 from flowlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,17 @@ def piece_digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+@register("op7_html_text")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@register("op8_vector_duplicates")
+def vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @register("op9_decontamination")
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
