@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, html_text, pieces, secrets, suffixes, token_counts, toxicity, urls, vectors
+from flowlens.llm import decontaminate, html_text, pieces, secrets, shingle_join, suffixes, token_counts, toxicity, urls, vectors
 from flowlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@register("op2_shingle_join")
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join_similar(table(spark, sf_dir, "documents"))
+
+
 @register("op3_repeated_strings")
 def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
