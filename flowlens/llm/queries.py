@@ -57,7 +57,7 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op2_shingle_join")
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join.join_similar(table(spark, sf_dir, "documents"))
+    return shingle_join.join_similar(table(spark, sf_dir, "documents")).drop("key", "root")
 
 
 @register("op3_repeated_strings")

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.arrays import NOT_SPACE, flat, mix, word_hashes, words
@@ -81,21 +81,21 @@ def prefix_size(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
-SIGNED = "id long, n int, h long, gram long, c int"
+SIGNED = "id long, key long, n int, h long, gram long, c int"
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Class and size of each document, and the grams that are frequent among a task's classes."""
 
-    def rows(ids: pa.Array, n: list[int], h: list[int], gram: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    def rows(ids: pa.Array, keys: pa.Array, n: list[int], h: list[int], gram: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         m, k = len(n), len(gram)
         return pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(k, pa.int64())]), pa.array([*n, *[None] * k], pa.int32()),
+                *[pa.concat_arrays([x.cast(pa.int64()), pa.nulls(k, pa.int64())]) for x in (ids, keys)], pa.array([*n, *[None] * k], pa.int32()),
                 pa.array([*h, *[None] * k], pa.int64()), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(gram.view(np.int64))]),
                 pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array(c.astype(np.int32))]),
             ],
-            names=["id", "n", "h", "gram", "c"],
+            names=["id", "key", "n", "h", "gram", "c"],
         )
 
     none = np.zeros(0, np.uint64)
@@ -108,7 +108,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = c >= HOT_HERE
         held.clear()
         seen.clear()
-        return rows(pa.array([], pa.int64()), [], [], grams[keep], c[keep])
+        return rows(pa.array([], pa.int64()), pa.array([], pa.int64()), [], [], grams[keep], c[keep])
 
     for batch in slices(batches, 2048, 1 << 20):
         sets = gram_sets(batch.column("text"))
@@ -118,7 +118,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(h)
                 held.append(s)
                 size += len(s)
-        yield rows(batch.column("id"), [len(s) for s in sets], names, none, np.zeros(0))
+        yield rows(batch.column("id"), batch.column("key"), [len(s) for s in sets], names, none, np.zeros(0))
         if size >= CHUNK:
             yield frequent()
             size = 0
@@ -257,8 +257,15 @@ def hot_map(slots: list[int]) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Tells rows apart that share an id but not the text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links).
+    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links), key and root.
+
+    ``key`` is the row's ``row_key`` and ``root`` names its component (null without shingles).
 
     A-Z is lowered and words are cut at ASCII white space. Null texts and texts without words have no
     shingles and are linked with nothing, so they are their own component. Rows that repeat an id are
@@ -266,9 +273,11 @@ def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id of its component, or null. Other columns are ignored. The set names are 64-bit hashes, as the grams are.
     """
     spark = df.sparkSession
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = df.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("key")
+    )
     told = saved(texts.mapInArrow(signed, SIGNED), "grams-signed")
-    documents = told.where("n IS NOT NULL").select("id", "n", "h")
+    documents = told.where("n IS NOT NULL").select("id", "key", "n", "h")
     classes = saved(documents.where("n > 0").groupBy("h").agg(F.min("id").alias("id"), F.max("n").alias("n")), "gram-classes")
     slot = F.shiftrightunsigned("gram", 64 - HOT_BITS).cast("int")
     frequent = (
@@ -289,13 +298,27 @@ def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "root", F.coalesce("component_id", "h")
     )
     smallest = saved(named.groupBy("root").agg(F.min("least").alias("component_id")), "gram-components")
-    of_class = saved(named.select("h", "root").join(smallest, "root").select("h", F.col("component_id").alias("found")), "gram-roots")
+    of_class = saved(named.select("h", "root").join(smallest, "root").select("h", "root", F.col("component_id").alias("found")), "gram-roots")
     return documents.join(of_class, "h", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id"), "key", "root",
     )
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay when one document of each component does: the one with the smallest id.
+
+    Texts without shingles stay. Of wholly equal rows (id and text) one stays.
+    """
+    found = join_similar(df, id_col, text_col)
+    best = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), "key")).alias("b")).select("b.key")
+    keys = saved(best.unionByName(found.where("n_shingles = 0").select("key")).distinct(), "gram-kept")
+    name = "__row_key"
+    rows = df.withColumn(name, row_key(id_col, text_col)).join(keys.withColumnRenamed("key", name), name, "left_semi")
+    # The join has dealt rows by their key already, so this moves nothing. Equal rows without shingles fold, too.
+    return rows.dropDuplicates([name]).drop(name)
+
+
 def linked(texts: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:
     """Links between classes that connect whatever is connected by similar sets (not all links)."""
     keys = saved(

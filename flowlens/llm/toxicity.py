@@ -118,14 +118,19 @@ def fit_on(
 SCHEMA = "score double, offending array<struct<start:int,end:int,score:double>>"
 
 
-def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(
+    df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", whole_row: bool = False
+) -> DataFrame:
     """One row per input row: id, score (0 to 1) and the sentences whose own score is 0.5 or more.
 
+    With ``whole_row`` a column ``row`` holds all columns of the input row.
+
     Sentences are given as byte ranges of the UTF-8 text, in order. Null and empty texts, and texts
     without words, score 0. Only the text is looked at. Repeated rows are scored one by one. No shuffle.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
+    rows = [F.struct(*[df[c] for c in df.columns]).alias("row")] if whole_row else []
+    kept = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"), *rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = shared.value
@@ -141,9 +146,10 @@ def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_co
                 names=["start", "end", "score"],
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), spans)],
-                names=["id", "score", "offending"],
+                [batch.column("id"), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), spans), *batch.columns[2:]],
+                names=["id", "score", "offending", *batch.schema.names[2:]],
             )
 
-    kind = kept.schema["id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
+    row = f", row {kinds['row']}" if whole_row else ""
+    return kept.mapInArrow(run, f"id {kinds['id']}, {SCHEMA}{row}").withColumnRenamed("id", id_col)
