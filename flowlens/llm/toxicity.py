@@ -19,7 +19,7 @@ from flowlens.llm.arrays import LETTERS, LOWER, flat, word_hashes, words
 from flowlens.llm.tables import slices
 
 SLOT_BITS = 20
-SAMPLE = 12_000  # bound on the labelled documents that a model is fitted on
+SAMPLE = 10_000  # bound on the labelled documents that a model is fitted on
 LEAST_DOCS = 4  # a word in fewer sampled documents has no weight
 
 ENDS = np.zeros(256, bool)  # bytes that end a sentence
@@ -55,18 +55,42 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 250, rate: float = 0.1, shrink: float = 2e-4) -> Model:
-    """Noisy-or model of one weight per word slot, by proximal Adam steps over the whole sample.
+FEATURES = "id long, toxic int, slots array<int>, sizes array<int>"
+
+
+def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word slots of each text, and how many of them each sentence has."""
+    for batch in slices(batches, 1024, 1 << 20):
+        slots, sentence, row, _, _ = instances(batch.column("text"))
+        sizes = np.bincount(sentence, minlength=len(row))
+        listed = lambda values, n: pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values.astype(np.int32))
+        )
+        sentences = np.bincount(row, minlength=batch.num_rows)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(sentences)])]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("toxic"), listed(slots, np.diff(ends)), listed(sizes, sentences)],
+            names=["id", "toxic", "slots", "sizes"],
+        )
+
+
+def fit(sample: pa.Table, steps: int = 250, rate: float = 0.1, shrink: float = 2e-4) -> Model:
+    """Noisy-or model of one weight per word slot, by proximal Adam steps over the whole sample of ``features``.
 
     ``shrink`` pulls weights to zero, so words that do not help keep none. Without both classes, or
     without words, every score is 0.
     """
     weights = np.zeros(1 << SLOT_BITS, np.float32)
-    slots, sentence, row, _, _ = instances(texts)
-    n = len(texts)
-    if not len(slots) or not 0 < toxic.sum() < n:
+    n, toxic = sample.num_rows, np.asarray(sample.column("toxic")) > 0
+    if not 0 < toxic.sum() < n:
+        return Model(weights, -50.0)
+    slots, sizes = (sample.column(c).combine_chunks() for c in ("slots", "sizes"))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(sizes.offsets.to_numpy()))
+    sentence = np.repeat(np.arange(len(row), dtype=np.int32), sizes.flatten().to_numpy())
+    slots = slots.flatten().to_numpy()
+    if not len(slots):
         return Model(weights, -50.0)
-    pairs = np.unique(row[sentence] * (1 << SLOT_BITS) + slots)
+    pairs = np.unique(row[sentence].astype(np.int64) << SLOT_BITS | slots)
     often = np.bincount(pairs & ((1 << SLOT_BITS) - 1), minlength=1 << SLOT_BITS)
     used = np.flatnonzero(often >= LEAST_DOCS)
     code = np.full(1 << SLOT_BITS, -1, np.int32)
@@ -74,6 +98,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 250, rate: float = 0.1,
     x = code[slots]
     keep = x >= 0
     x, where, m = x[keep], sentence[keep], len(row)
+    del pairs, slots, sentence, keep
     y = toxic.astype(np.float64)
     w, b = np.zeros(len(used)), -np.log(m / max(1.0, y.sum()))
     mw = vw = np.zeros(len(used))
@@ -109,10 +134,9 @@ def fit_on(
     )
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # The chosen ids are bounded by SAMPLE, so they may be sent to all tasks.
-    sample = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id", "text")).limit(SAMPLE).toArrow().combine_chunks()
-    if not sample.num_rows:
-        return Model(np.zeros(1 << SLOT_BITS, np.float32), -50.0)
-    return fit(sample.column("text").combine_chunks(), np.asarray(sample.column("toxic")) > 0)
+    sample = texts.join(F.broadcast(chosen), "id").select(F.col("id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"), "text")
+    found = sample.mapInArrow(features, FEATURES).orderBy(F.xxhash64("id", "slots")).limit(SAMPLE)
+    return fit(found.select("toxic", "slots", "sizes").toArrow())
 
 
 SCHEMA = "score double, offending array<struct<start:int,end:int,score:double>>"
