@@ -78,7 +78,7 @@ def _alphabet(body: Column) -> Column:
 def randomness_p(token: Column) -> Column:
     """Smallest p-value of the battery, times the number of tests: small if ``token`` is not random.
 
-    A token whose runs or correlation cannot be measured (all symbols on one side, or all equal) has 0.
+    A token whose runs or correlation cannot be measured (all symbols on one side, or all equal) has the least, 1e-300.
     """
     body = F.rtrim(token, F.lit("="))
     alphabet = _alphabet(body)
@@ -105,7 +105,7 @@ def randomness_p(token: Column) -> Column:
         p_counts = upper_tail(z_counts)
         p_runs = F.when(var_runs > 0, 2 * upper_tail(F.abs((runs - mean_runs) / F.sqrt(var_runs)))).otherwise(0.0)
         p_serial = F.when(spread > 0, 2 * upper_tail(F.abs((serial / spread + 1 / n) * F.sqrt(n)))).otherwise(0.0)
-        return F.least(F.lit(1.0), 3 * F.least(p_counts, p_runs, p_serial))
+        return F.greatest(F.lit(1e-300), F.least(F.lit(1.0), 3 * F.least(p_counts, p_runs, p_serial)))
 
     return F.element_at(F.transform(state, measured), 1)
 
