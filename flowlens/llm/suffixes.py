@@ -35,7 +35,7 @@ from flowlens.llm.tables import saved, slices
 GRAM = 100
 HOT = 400  # occurrences of a gram beyond which it is spread by hashes
 STEP = 16  # stretches in a block of the hashed comparison
-RUN_BYTES = 16 << 20  # suffix bytes sorted at a time
+RUN_BYTES = 6 << 20  # suffix bytes sorted at a time
 RANGE_ANCHORS = 8_000  # anchors aimed at per range of the exchange
 
 ANCHORS = "id long, h long, gram long, x int, first int, last int"
@@ -268,7 +268,7 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int) ->
             names=["bucket", "run", "blob", "seqs", "ids", "hs", "xs"],
         )
 
-    for batch in slices(batches, 256):
+    for batch in slices(batches, 256, 1 << 20):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         ids, hs, marks = (batch.column(c).to_pylist() for c in ("id", "h", "marks"))
         for text, i, h, places in zip(texts, ids, hs, marks):
@@ -294,7 +294,7 @@ def hashed_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
     ``core`` hashes the bytes that all stretches of the block hold, whether they exist in this text or
     not; ``wide`` hashes all bytes of the block (null if it is cut off); ``hashes`` has each stretch.
     """
-    for batch in slices(batches, 256, 1 << 20):
+    for batch in slices(batches, 256, 1 << 19):
         data, borders = flat(batch.column("text"))
         sums = prefix_hashes(data)
         marks = batch.column("marks")
@@ -358,7 +358,7 @@ SPANS = "id long, h long, start int, stop int"
 
 def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covered range of each place whose suffix holds a repeated stretch."""
-    for batch in batches:
+    for batch in slices(batches, 64, 1 << 19):
         out: tuple[list, ...] = ([], [], [], [])
         for row in batch.to_pylist():
             reached = dict(zip(row["told"], zip(row["lefts"], row["rights"])))
@@ -377,7 +377,7 @@ KEPT = "id long, n_bytes long, kept binary, spans array<struct<start:int,stop:in
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins the covered ranges of each text and takes them out."""
-    for batch in slices(batches, 512):
+    for batch in slices(batches, 512, 1 << 20):
         kept, spans, sizes = [], [], []
         for text, covered in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("covered").to_pylist()):
             runs: list[dict[str, int]] = []
@@ -412,7 +412,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     safe = texts.withColumn("id", F.coalesce("id", F.lit(-(1 << 63))))  # joins leave null out
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024, 1 << 20):
+        for batch in slices(batches, 1024, 1 << 19):
             rows, gram, x, first, last = anchors_of(*flat(batch.column("text")), length)
             ids, hs = (batch.column(c).to_numpy() for c in ("id", "h"))
             yield pa.RecordBatch.from_arrays(
