@@ -29,7 +29,7 @@ from flowlens.llm.tables import components, saved, slices
 WORDS = 5
 HOT_BITS = 23  # frequent grams are kept in a bit map of fixed size; clashes only change the order
 HOT_HERE, HOT = 4, 64  # a gram counts as frequent from so many documents per chunk of a task, and in total
-CHUNK = 3_000_000  # grams that a task holds at a time
+CHUNK = 1_500_000  # grams that a task holds at a time
 BUCKET = 1_000_000  # prefix grams per bucket aimed at
 KEYS = 2  # groups that a class is dealt into in the first step
 GROUP = 64  # classes per group of the matrix
@@ -110,7 +110,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.clear()
         return rows(pa.array([], pa.int64()), pa.array([], pa.int64()), [], [], grams[keep], c[keep])
 
-    for batch in slices(batches, 2048, 1 << 20):
+    for batch in slices(batches, 2048, 1 << 19):
         sets = gram_sets(batch.column("text"))
         names = [class_of(s) if len(s) else None for s in sets]
         for s, h in zip(sets, names):
@@ -158,7 +158,7 @@ def prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) -
             [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["bucket", "frequent", "grams", "owner", "classes"]
         )
 
-    for batch in slices(batches, 2048, 1 << 20):
+    for batch in slices(batches, 2048, 1 << 19):
         for s in gram_sets(batch.column("text")):
             if not len(s) or (h := class_of(s)) in seen:
                 continue
@@ -200,7 +200,7 @@ def shared_grams(group: pa.Table) -> pa.Table:
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All grams of the texts that stand for a class."""
-    for batch in slices(batches, 2048, 1 << 20):
+    for batch in slices(batches, 2048, 1 << 19):
         sets = gram_sets(batch.column("text"))
         wanted = batch.column("h").to_pylist()
         told = [(h, len(s), s.tobytes()) for s, h in zip(sets, wanted) if len(s) and class_of(s) == h]
@@ -319,18 +319,34 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return rows.dropDuplicates([name]).drop(name)
 
 
+def likely(common: Column, a: Column, b: Column) -> Column:
+    """Whether sets of sizes a and b that share so many prefix grams can be similar.
+
+    The set whose prefix ends first shares nothing else before that end, so at most what it has behind
+    its prefix comes on top; that is three quarters of the larger set at most.
+    """
+    behind = F.floor((3 * F.greatest(a, b) + 3) / 4) - 1
+    return (7 * (common + behind) >= 3 * (a + b)) & (4 * F.least(a, b) >= 3 * F.greatest(a, b))
+
+
+def grams_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """All grams of the classes in ``wanted`` (h), read again from a text that stands for each."""
+    needed = saved(classes.join(wanted.distinct(), "h").select("id", "h"), f"{name}-wanted")
+    found = texts.select("id", "text").join(needed, texts["id"].eqNullSafe(needed["id"])).select("h", "text")
+    # Rows that share the id but not the grams are left out on reading; of equal texts one is enough.
+    return saved(
+        found.mapInArrow(full_sets, "h long, n int, grams binary").groupBy("h").agg(F.max("n").alias("n"), F.max("grams").alias("grams")), name
+    )
+
+
 def linked(texts: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:
     """Links between classes that connect whatever is connected by similar sets (not all links)."""
     keys = saved(
-        postings.groupBy("h").agg(*[F.min(F.xxhash64("gram", F.lit(i))).alias(f"k{i}") for i in range(KEYS)]).join(classes, "h"),
+        postings.groupBy("h").agg(
+            *[F.min(F.xxhash64("gram", F.lit(i))).alias(f"k{i}") for i in range(KEYS)], F.collect_list("gram").alias("shared")
+        ).join(classes, "h"),
         "gram-keys",
     )
-    # The text that stands for a class: rows that share its id but not its grams are left out on reading.
-    sets = saved(
-        texts.join(keys.select("id", "h"), texts["id"].eqNullSafe(keys["id"])).select("h", "text").mapInArrow(full_sets, "h long, n int, grams binary")
-        .groupBy("h").agg(F.max("n").alias("n"), F.max("grams").alias("grams")),
-        "gram-sets",
-    )
     # First step: everyone with one representative of like size for each of its keys.
     sized = lambda i: F.floor(F.log("n") / math.log(4 / 3) + i / KEYS).cast("int")
     dealt = saved(
@@ -341,9 +357,16 @@ def linked(texts: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFra
     )
     pivots = saved(dealt.groupBy("i", "k", "size").agg(F.min("h").alias("pivot")), "gram-pivots")
     pairs = saved(dealt.join(pivots, ["i", "k", "size"]).where("h <> pivot").select("h", "pivot").distinct(), "gram-pairs")
+    one = keys.select("h", F.col("shared").alias("x"), F.col("n").alias("a"))
+    two = keys.select(F.col("h").alias("pivot"), F.col("shared").alias("y"), F.col("n").alias("b"))
+    near = saved(
+        pairs.join(one, "h").join(two, "pivot").where(likely(F.size(F.array_intersect("x", "y")), F.col("a"), F.col("b"))).select("h", "pivot"),
+        "gram-near",
+    )
+    sets = grams_of(texts, classes, near.select("h").unionByName(near.select(F.col("pivot").alias("h"))), "gram-sets")
     other = sets.select(F.col("h").alias("pivot"), F.col("grams").alias("other"))
     first = saved(
-        pairs.join(sets.select("h", "grams"), "h").join(other, "pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b"), "grams", "other")
+        near.join(sets.select("h", "grams"), "h").join(other, "pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b"), "grams", "other")
         .mapInArrow(compare, "a long, b long"),
         "gram-links",
     )
@@ -355,38 +378,45 @@ def linked(texts: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFra
     weight = saved(placed.groupBy("part").agg(F.count(F.lit(1)).alias("size")), "gram-weights")
     grouped = saved(
         placed.join(weight, "part").withColumn("key", F.when(F.col("size") > 1, F.col("part")).otherwise(F.col("k0")))
-        .select("h", "n", "part", "size", "key", (F.col("size") > 1).alias("joined")),
+        .select("h", "n", "part", "size", "key", (F.col("size") > 1).alias("joined"), F.floor(F.log("n") / math.log(8 / 7)).alias("step")),
         "gram-grouped",
     )
-    blocks = saved(grouped.groupBy("joined", "key").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("blocks")), "gram-blocks")
+    alike = ["joined", "key", "step"]  # classes of a group are of like size, which sharpens the bound
+    blocks = saved(grouped.groupBy(*alike).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("blocks")), "gram-blocks")
     members = saved(
-        grouped.join(blocks, ["joined", "key"]).select(
-            "h", "n", "part", F.struct("size", "part").alias("rank"),
-            F.xxhash64("joined", "key", F.pmod(F.xxhash64("h"), F.col("blocks"))).alias("g"),
+        grouped.join(blocks, alike).select(
+            "h", "n", "part", F.struct("size", "part").alias("rank"), F.xxhash64(*alike, F.pmod(F.xxhash64("h"), F.col("blocks"))).alias("g"),
         ),
         "gram-members",
     )
+    sizes = saved(members.groupBy(F.col("g").alias("into")).agg(F.min("n").alias("least"), F.max("n").alias("most")), "gram-sizes")
     # Only grams that stand in more than one component need a look.
     known = saved(postings.join(members, "h"), "gram-known")
     open_ = saved(
         known.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("gram"), "gram-open"
     )
     contested = saved(known.join(open_, "gram"), "gram-contested")
-    matrix = saved(
-        contested.groupBy("gram", "g").agg(F.max("rank").alias("top"), F.min("n").alias("least"), F.max("n").alias("most")), "gram-matrix"
+    matrix = saved(contested.groupBy("gram", F.col("g").alias("into")).agg(F.max("rank").alias("top")), "gram-matrix")
+    # The first bound counts the prefix grams that a class shares with a group's union.
+    counted = (
+        contested.select("gram", "h", "n", "part", "rank").join(matrix, "gram").where(F.col("rank") < F.col("top"))
+        .groupBy("h", "n", "part", "into").agg(F.count(F.lit(1)).alias("common"))
     )
+    n = F.col("n")
+    low, high = F.greatest("least", F.ceil(3 * n / 4)), F.least("most", F.floor(4 * n / 3))
     queries = saved(
-        contested.select("gram", "h", "n", "part", "rank").join(matrix.select("gram", F.col("g").alias("into"), "top", "least", "most"), "gram")
-        .where((F.col("rank") < F.col("top")) & (4 * F.col("n") >= 3 * F.col("least")) & (4 * F.col("most") >= 3 * F.col("n")))
-        .select("h", "part", "into").distinct(),
+        counted.join(sizes, "into").where((low <= high) & (likely(F.col("common"), n, low) | likely(F.col("common"), n, high)))
+        .select("h", "part", "into"),
         "gram-queries",
     )
     salts = saved(queries.groupBy("into").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts")), "gram-salts")
     asked = queries.join(salts, "into").withColumn("salt", F.pmod(F.xxhash64("h"), F.col("salts")).cast("int")).drop("salts")
-    answering = members.join(salts.withColumnRenamed("into", "g"), "g").withColumn(
+    answering = saved(members.join(salts.withColumnRenamed("into", "g"), "g"), "gram-answering").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     ).select(F.col("g").alias("into"), "salt", "h", "part")
-    with_sets = lambda rows: rows.join(sets.select("h", "grams"), "h").select(
+    opened = grams_of(texts, classes, queries.select("h").unionByName(answering.select("h")), "gram-opened")
+    # The second bound, and the comparison, are made where a group's classes and its queries meet.
+    with_sets = lambda rows: rows.join(opened.select("h", "grams"), "h").select(
         *[F.col(c).alias(c) for c in ("into", "salt", "h", "part", "grams")]  # new names, as the tables stand on both sides
     )
     second = with_sets(answering).groupBy("into", "salt").cogroup(with_sets(asked).groupBy("into", "salt")).applyInArrow(
