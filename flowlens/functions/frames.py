@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Fixed values of the wire formats.
 ETHERNET_LEN = 14
 ETHERTYPE_IPV4 = 0x0800
+TAG_TYPES = (0x8100, 0x88A8, 0x9100)
+MAX_TAGS = 2
 MIN_HEADER = {6: 20, 17: 8, 1: 4}
 
 
@@ -21,41 +23,55 @@ def _mac(data: Column, at: int) -> Column:
     return F.lower(F.concat_ws(":", *[F.hex(F.substring(data, at + i + 1, 1)) for i in range(6)]))
 
 
-def _ipv4(data: Column, at: int) -> Column:
+def _ipv4(data: Column, at: Column | int) -> Column:
     return F.concat_ws(".", *[_number(data, at + i, 1).cast("string") for i in range(4)])
 
 
+def _network_offset(raw: Column) -> tuple[Column, Column]:
+    """Where the network header starts behind up to MAX_TAGS tags, and its type."""
+    kind, at = _number(raw, 12, 2), F.lit(ETHERNET_LEN)
+    for _ in range(MAX_TAGS):
+        tagged = F.coalesce(kind.isin(list(TAG_TYPES)), F.lit(False))
+        kind, at = F.when(tagged, _number(raw, at + 2, 2)).otherwise(kind), F.when(tagged, at + 4).otherwise(at)
+    return at, kind
+
+
 def decode(frames: DataFrame, keep: tuple[str, ...] = ("packet_id", "ts_us")) -> DataFrame:
     """Flat packets from ``frame`` bytes.
 
-    Frames that are not whole IPv4 frames are dropped. A transport header that is cut off
-    leaves its fields null.
+    Frames that are not whole IPv4 frames are dropped; up to two VLAN tags are skipped. An IP length of
+    0 (left to the network card) means all captured bytes. A transport header that is cut off leaves
+    its fields null; so does a fragment that is not the first, whose payload is all of its data.
     """
     raw = F.col("frame")
-    head = frames.where(
-        (F.octet_length(raw) >= ETHERNET_LEN + 20) & (_number(raw, 12, 2) == ETHERTYPE_IPV4)
-    ).select(
-        *keep, "frame",
-        _number(raw, ETHERNET_LEN, 1).alias("vhl"),
-        _number(raw, ETHERNET_LEN + 2, 2).cast("int").alias("ip_len"),
-        _number(raw, ETHERNET_LEN + 8, 1).cast("int").alias("ttl"),
-        _number(raw, ETHERNET_LEN + 9, 1).cast("int").alias("protocol"),
-        F.octet_length(raw).alias("length"),
-        _mac(raw, 6).alias("eth_src"), _mac(raw, 0).alias("eth_dst"),
-        _ipv4(raw, ETHERNET_LEN + 12).alias("src_ip"), _ipv4(raw, ETHERNET_LEN + 16).alias("dst_ip"),
+    net, kind = _network_offset(raw)
+    placed = frames.select(*keep, "frame", net.alias("net"), kind.alias("kind"), F.octet_length(raw).alias("length")).where(
+        (F.col("kind") == ETHERTYPE_IPV4) & (F.col("length") >= F.col("net") + 20)
     )
+    net = F.col("net")
+    head = placed.select(
+        *keep, "frame", "net", "length",
+        _number(raw, net, 1).alias("vhl"),
+        _number(raw, net + 2, 2).cast("int").alias("told_len"),
+        (_number(raw, net + 6, 2).bitwiseAND(0x1FFF) > 0).alias("rest"),
+        _number(raw, net + 8, 1).cast("int").alias("ttl"),
+        _number(raw, net + 9, 1).cast("int").alias("protocol"),
+        _mac(raw, 6).alias("eth_src"), _mac(raw, 0).alias("eth_dst"),
+        _ipv4(raw, net + 12).alias("src_ip"), _ipv4(raw, net + 16).alias("dst_ip"),
+    ).withColumn("ip_len", F.when(F.col("told_len") == 0, F.col("length") - net).otherwise(F.col("told_len")))
     header = F.col("vhl").bitwiseAND(15).cast("int") * 4
     valid = (F.shiftright("vhl", 4) == 4) & (header >= 20) & (F.col("ip_len") >= header)
     # Bytes after the IP length are Ethernet padding.
-    end = F.least(F.col("length"), F.col("ip_len") + ETHERNET_LEN)
-    placed = head.where(valid).withColumns({"at": header + ETHERNET_LEN, "end": end})
+    end = F.least(F.col("length"), F.col("ip_len") + net)
+    placed = head.where(valid).withColumns({"at": header + net, "end": end})
     at, size = F.col("at"), F.col("end") - F.col("at")
-    tcp = (F.col("protocol") == 6) & (size >= MIN_HEADER[6])
-    udp = (F.col("protocol") == 17) & (size >= MIN_HEADER[17])
-    icmp = (F.col("protocol") == 1) & (size >= MIN_HEADER[1])
+    whole = ~F.col("rest")
+    tcp = whole & (F.col("protocol") == 6) & (size >= MIN_HEADER[6])
+    udp = whole & (F.col("protocol") == 17) & (size >= MIN_HEADER[17])
+    icmp = whole & (F.col("protocol") == 1) & (size >= MIN_HEADER[1])
     field = lambda when, off, n: F.when(when, _number(raw, at + off, n))
     tcp_header = F.shiftright(_number(raw, at + 12, 1), 4).cast("int") * 4
-    skip = F.when(tcp, F.greatest(tcp_header, F.lit(20))).when(udp, F.lit(8)).when(icmp, F.lit(4))
+    skip = F.when(tcp, F.greatest(tcp_header, F.lit(20))).when(udp, F.lit(8)).when(icmp, F.lit(4)).when(F.col("rest"), F.lit(0))
     return placed.select(
         *keep, "eth_src", "eth_dst", "src_ip", "dst_ip",
         field(tcp | udp, 0, 2).cast("int").alias("src_port"),

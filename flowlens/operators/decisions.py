@@ -61,10 +61,14 @@ def select_models(protocols: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def full_retrain(increments: DataFrame, now_us: int, cfg: RetrainConfig = CFG) -> DataFrame:
-    """Full retrain per model: the interval is over, or two of its last three drops are large."""
-    w = Window.partitionBy("model_type").orderBy(F.desc("ts_us"))
+    """Full retrain per protocol and model: the interval is over, or two of its last three drops are large.
+
+    Runs of a model that is not kept per protocol have no protocol column.
+    """
+    keys = [k for k in ("protocol", "model_type") if k in increments.columns]
+    w = Window.partitionBy(*keys).orderBy(F.desc("ts_us"))
     recent = increments.withColumn("rn", F.row_number().over(w)).where("rn <= 3")
-    state = recent.groupBy("model_type").agg(
+    state = recent.groupBy(*keys).agg(
         F.count_if(F.col("performance_drop") > cfg.drop_threshold).alias("large_drops"),
         F.max("last_full_us").alias("last_full_us"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.config import DetectionConfig, FilterRuleConfig, RuleConfig
@@ -40,8 +40,8 @@ def rule_columns(rules: RuleConfig = RuleConfig(), threshold: float = 0.7) -> di
     }
 
 
-def protocol_threshold(cfg: DetectionConfig = DetectionConfig()) -> Column:
-    return case_of(F.col("protocol"), cfg.protocol_thresholds, F.lit(cfg.threshold))
+def protocol_threshold(cfg: DetectionConfig = DetectionConfig(), protocol: str = "protocol") -> Column:
+    return case_of(F.col(protocol), cfg.protocol_thresholds, F.lit(cfg.threshold))
 
 
 def anomaly_type() -> Column:
@@ -56,8 +56,10 @@ def anomaly_type() -> Column:
     )
 
 
-def detect(features: DataFrame, cfg: DetectionConfig = DetectionConfig(), model_name: str = "model") -> DataFrame:
-    """Decision per row in the configured mode.
+def detect(
+    features: DataFrame, cfg: DetectionConfig = DetectionConfig(), model_name: str = "model", threshold_by: str = "protocol"
+) -> DataFrame:
+    """Decision per row in the configured mode, with the threshold of the protocol in ``threshold_by``.
 
     ``model_score`` is the anomaly probability; without the column, or with NULL in it, only
     the rules speak.
@@ -67,7 +69,7 @@ def detect(features: DataFrame, cfg: DetectionConfig = DetectionConfig(), model_
     rows = features.withColumns(
         {
             **rule_columns(cfg.rules, cfg.threshold),
-            "threshold_used": protocol_threshold(cfg),
+            "threshold_used": protocol_threshold(cfg, threshold_by),
             "model_type": anomaly_type(),
         }
     )
@@ -184,9 +186,25 @@ def packet_patterns(packets: DataFrame, limits: Mapping[str, float] = PATTERN_LI
 
 
 def detect_batch(features: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
-    """Scores a whole file under the threshold of its most frequent protocol."""
-    protocol = column_mode(features, "protocol").scalar() if "protocol" in features.columns else F.lit(6)
-    return detect(features.withColumn("protocol", protocol), cfg)
+    """Decides a whole file under the threshold of its most frequent protocol, added as ``threshold_protocol``.
+
+    Typing still goes by each row's own protocol; rows of a file without that column count as TCP.
+    """
+    if "protocol" not in features.columns:
+        features = features.withColumn("protocol", F.lit(6))
+    most = column_mode(features, "protocol").scalar()
+    return detect(features.withColumn("threshold_protocol", most), cfg, threshold_by="threshold_protocol")
+
+
+def detect_file(
+    spark: SparkSession, path: str, out: str, cfg: DetectionConfig = DetectionConfig(), fmt: str = "parquet",
+    models: Mapping[int, object] | None = None, fallback=None,
+) -> DataFrame:
+    """Reads a feature file, scores it with the models of its protocols if there are any, decides, and writes the rows."""
+    features = (spark.read.option("header", "true").option("inferSchema", "true") if fmt == "csv" else spark.read).format(fmt).load(path)
+    scored = route(features, models or {}, fallback) if models or fallback else features
+    detect_batch(scored, cfg).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
 
 
 def route(features: DataFrame, models: Mapping[int, object], fallback=None) -> DataFrame:

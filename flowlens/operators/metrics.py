@@ -209,7 +209,7 @@ def metrics_long(wide: DataFrame, keys: Sequence[str], names: Sequence[str]) ->
     return wide.unpivot(list(keys), list(names), "metric", "value")
 
 
-def improvements(reports: DataFrame, model: str = "model_type") -> DataFrame:
+def improvements(reports: DataFrame, model: str | list[str] = "model_type") -> DataFrame:
     """F1 gain of each report over the model's previous one. Reports are one row per training run."""
     w = Window.partitionBy(model).orderBy("ts_us")
     return reports.withColumn("gain", F.col("f1") - F.lag("f1").over(w))

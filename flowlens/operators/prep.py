@@ -170,7 +170,8 @@ def one_hot(df: DataFrame, column: str, categories: Sequence) -> DataFrame:
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per class. Rows without a label are no class."""
+    return df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _taken(df: DataFrame, label: str, id_col: str, seed: int, quota: Column) -> DataFrame:
@@ -189,11 +190,19 @@ def _taken(df: DataFrame, label: str, id_col: str, seed: int, quota: Column) ->
 def downsample_majority(
     df: DataFrame, id_col: str, label: str = "label", ratio: float = 5.0, seed: int = SEED
 ) -> DataFrame:
-    """Cuts the largest class to the smallest class's size if it is over ``ratio`` times larger."""
+    """Cuts the largest class to the smallest class's size if it is over ``ratio`` times larger.
+
+    Like all sampling here it looks at labelled rows only and returns only these; see ``unlabelled``.
+    """
     cut = (F.col("k") > 1) & (F.col("hi") / F.col("lo") > ratio) & (F.col(label) == F.col("hi_class"))
     return _taken(df, label, id_col, seed, F.when(cut, F.col("lo")).otherwise(F.col("n")))
 
 
+def unlabelled(df: DataFrame, label: str = "label") -> DataFrame:
+    """The rows that sampling leaves aside because they have no label."""
+    return df.where(F.col(label).isNull())
+
+
 def undersample(df: DataFrame, id_col: str, label: str = "label", seed: int = SEED) -> DataFrame:
     return _taken(df, label, id_col, seed, F.col("lo"))
 
@@ -215,7 +224,7 @@ def oversample(df: DataFrame, id_col: str, label: str = "label", seed: int = SEE
 def stratified_split(
     df: DataFrame, id_col: str, label: str = "label", test_percent: int = 20, seed: int = SEED
 ) -> DataFrame:
-    """Adds ``is_train``; the first rows of each class in hash order are the training part."""
+    """Adds ``is_train``; the first rows of each class in hash order are the training part. Unlabelled rows are left aside."""
     quotas = class_counts(df, label).select(label, F.expr(f"n * {100 - test_percent} DIV 100").alias("quota"))
     return hashed_head(df, [label], id_col, seed, quotas, "is_train")
 
@@ -235,19 +244,19 @@ def holdout(df: DataFrame, id_col: str, percent: int = 10, at_most: int = 1000,
 def stratified_folds(
     df: DataFrame, id_col: str, label: str = "label", folds: int = 5, seed: int = SEED
 ) -> DataFrame:
-    """Adds ``fold`` 0..k-1, spread evenly over each class."""
+    """Adds ``fold`` 0..k-1, spread evenly over each class; rows without a label are spread as a class of their own."""
     numbered = hashed_row_number(df, [label], id_col, seed, "__rn")
     return numbered.withColumn("fold", ((F.col("__rn") - 1) % folds).cast("int")).drop("__rn")
 
 
 def class_weights(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
-    """Balanced weight n / (classes * n_class) per row."""
+    """Balanced weight n / (classes * n_class) per labelled row; rows without a label have a null weight."""
     counts = class_counts(df, label)
     total = counts.agg(F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
     weights = counts.withColumn("__t", total).select(
         label, (F.col("__t")["n"] / (F.col("__t")["k"] * F.col("n"))).alias(name)
     )
-    return join_small(df, weights, [label])
+    return join_small(df, weights, [label], "left")
 
 
 def large_groups(df: DataFrame, key: str = "protocol", minimum: int = 100) -> DataFrame:

@@ -50,7 +50,7 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums (and maxima) per key along ``(chunk, order)``.
 
-    ``chunk`` must not decrease along ``order`` and the key columns must not be null.
+    ``chunk`` must not decrease along ``order``. Rows with null in a key form a group of their own.
     """
     tops = maxima or {}
     inside = (
@@ -66,7 +66,9 @@ def running_totals(
         | {f"__in_{n}": F.max(v).over(inside) for n, v in tops.items()}
     )
     both = lambda n: (F.col(f"__in_{n}"), F.col(f"__before_{n}"))
-    joined = local.join(carried, [*keys, chunk]).withColumns(
+    named = carried.select(*[F.col(k).alias(f"__key_{k}") for k in (*keys, chunk)], *[f"__before_{n}" for n in (*sums, *tops)])
+    same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in (*keys, chunk)]
+    joined = local.join(named, same).drop(*[f"__key_{k}" for k in (*keys, chunk)]).withColumns(
         {n: both(n)[0] + both(n)[1] for n in sums} | {n: F.greatest(*both(n)) for n in tops}
     )
     names = [*sums, *tops]

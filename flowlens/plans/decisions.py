@@ -71,31 +71,31 @@ def _select(spark, d):
     return rounded(K.select_models(protocols, history))
 
 
-_INCREMENTS = f"""{_RUNS}, inc AS (SELECT model_type, ts_us, coalesce(lag(f1) OVER w, f1) AS initial_f1, f1 AS final_f1 FROM runs
-  WHERE protocol = 'TCP' WINDOW w AS (PARTITION BY model_type ORDER BY ts_us)),
+_INCREMENTS = f"""{_RUNS}, inc AS (SELECT protocol, model_type, ts_us, coalesce(lag(f1) OVER w, f1) AS initial_f1, f1 AS final_f1 FROM runs
+  WINDOW w AS (PARTITION BY protocol, model_type ORDER BY ts_us)),
 drops AS (SELECT *, initial_f1 - final_f1 AS performance_drop FROM inc)"""
 
 
 def increments(spark, d):
-    gains = M.improvements(runs(spark, d).where("protocol = 'TCP'"))
+    gains = M.improvements(runs(spark, d), ["protocol", "model_type"])
     return gains.select(
-        "model_type", "ts_us", (F.col("f1") - F.coalesce("gain", F.lit(0.0))).alias("initial_f1"), F.col("f1").alias("final_f1")
+        "protocol", "model_type", "ts_us", (F.col("f1") - F.coalesce("gain", F.lit(0.0))).alias("initial_f1"), F.col("f1").alias("final_f1")
     )
 
 
-@query("performance_drops", f"WITH {_INCREMENTS} SELECT model_type, ts_us, {rd('performance_drop', 'performance_drop')}, performance_drop > 0.1 AS dropped FROM drops")
+@query("performance_drops", f"WITH {_INCREMENTS} SELECT protocol, model_type, ts_us, {rd('performance_drop', 'performance_drop')}, performance_drop > 0.1 AS dropped FROM drops")
 def _drops(spark, d):
-    return rounded(K.performance_drops(increments(spark, d)).select("model_type", "ts_us", "performance_drop", "dropped"))
+    return rounded(K.performance_drops(increments(spark, d)).select("protocol", "model_type", "ts_us", "performance_drop", "dropped"))
 
 
-@query("full_retrain", f"""WITH {_INCREMENTS}, r AS (SELECT * FROM drops QUALIFY row_number() OVER (PARTITION BY model_type ORDER BY ts_us DESC) <= 3)
-SELECT model_type, count(*) FILTER (WHERE performance_drop > 0.1) AS large_drops,
-  count(*) FILTER (WHERE performance_drop > 0.1) >= 2 OR model_type = 'lstm' AS retrain FROM r GROUP BY 1""")
+@query("full_retrain", f"""WITH {_INCREMENTS}, r AS (SELECT * FROM drops QUALIFY row_number() OVER (PARTITION BY protocol, model_type ORDER BY ts_us DESC) <= 3)
+SELECT protocol, model_type, count(*) FILTER (WHERE performance_drop > 0.1) AS large_drops,
+  count(*) FILTER (WHERE performance_drop > 0.1) >= 2 OR model_type = 'lstm' AS retrain FROM r GROUP BY 1, 2""")
 def _retrain(spark, d):
     rows = K.performance_drops(increments(spark, d)).withColumn(
         "last_full_us", F.when(F.col("model_type") == "lstm", NOW - 8 * DAY).otherwise(NOW - 2 * DAY)
     )
-    return K.full_retrain(rows, NOW).select("model_type", "large_drops", "retrain")
+    return K.full_retrain(rows, NOW).select("protocol", "model_type", "large_drops", "retrain")
 
 
 _IMPORTANCE = f"""{PACKETS_SQL}, i AS (SELECT protocol, 'f' || (k % 12) AS feature, (avg(length) - 70) / 100 AS importance FROM packets GROUP BY 1, 2)"""

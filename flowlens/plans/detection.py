@@ -9,7 +9,7 @@ from flowlens.operators import detect as D
 from flowlens.operators import temporal as E
 from flowlens.operators.stat import stat_features
 from flowlens.plans.flows import CFG, ENTROPY_SQL, STAT_SQL, flow_sql
-from flowlens.plans.registry import DAY, HOUR, query, rd, rounded
+from flowlens.plans.registry import DAY, HOUR, query, rd, rounded, scratch
 from flowlens.sources.adapters import PACKETS_SQL, SCORED_SQL, packets, scored_flows
 
 # The feed's sessions are small; these limits make each rule fire on some of them.
@@ -92,13 +92,16 @@ def _mode(spark, d):
 
 
 @query("batch_detection", f"""WITH {SCORED_SQL},
-m AS (SELECT protocol AS p FROM packets GROUP BY protocol ORDER BY count(*) DESC, protocol LIMIT 1)
-SELECT count(*) AS flows, count(*) FILTER (WHERE coalesce(model_score >= lim, false) OR rule_score >= 0.7) AS anomalies
-FROM rules, (SELECT CASE p WHEN 6 THEN 0.6 WHEN 17 THEN 0.8 WHEN 1 THEN 0.9 ELSE 0.7 END AS lim FROM m)""")
+m AS (SELECT protocol AS p FROM packets GROUP BY protocol ORDER BY count(*) DESC, protocol LIMIT 1),
+b AS (SELECT *, p AS threshold_protocol, coalesce(model_score >= CASE p WHEN 6 THEN 0.6 WHEN 17 THEN 0.8 WHEN 1 THEN 0.9 ELSE 0.7 END, false) AS over
+  FROM rules, m)
+SELECT session_id, protocol, threshold_protocol, {rd('greatest(coalesce(model_score, 0), rule_score)', 'anomaly_score')},
+  over OR rule_score >= 0.7 AS is_anomaly, CASE WHEN over THEN model_type ELSE rule_type END AS anomaly_type FROM b""")
 def _batch(spark, d):
-    flows = scored_flows(spark, d)
-    v = D.detect_batch(flows)
-    return v.agg(F.count(F.lit(1)).alias("flows"), F.count_if("is_anomaly").alias("anomalies"))
+    path = scratch(spark, "flows")
+    scored_flows(spark, d).write.parquet(f"{path}/in")
+    rows = D.detect_file(spark, f"{path}/in", f"{path}/out")
+    return rounded(rows.select("session_id", "protocol", "threshold_protocol", "anomaly_score", "is_anomaly", "anomaly_type"))
 
 
 _PATTERNS = {"syn_packets": 2, "syn_ratio": 0.3, "scan_ports": 3, "icmp_rate": 1e-5, "packet_rate": 2e-4, "payload_bytes": 300}

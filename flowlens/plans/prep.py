@@ -97,6 +97,16 @@ def _under(spark, d):
     return H.undersample(rows(spark, d), "id").select("id", "label")
 
 
+# Every seventh row has lost its label: the quota is that of the labelled rows.
+@query("undersample_unlabelled", f"""WITH {_ROWS}, l AS (SELECT id, label FROM r WHERE id % 7 <> 0),
+q AS (SELECT min(c) AS c FROM (SELECT count(*) AS c FROM l GROUP BY label))
+SELECT id, label FROM l QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_PICK}, id) <= (SELECT c FROM q)
+UNION ALL SELECT id, NULL FROM r WHERE id % 7 = 0""")
+def _under_unlabelled(spark, d):
+    known = rows(spark, d).select("id", F.when(F.col("id") % 7 != 0, F.col("label")).alias("label"))
+    return H.undersample(known, "id").unionByName(H.unlabelled(known)).select("id", "label")
+
+
 @query("oversample", f"""WITH {_RANKED}, t AS (SELECT max(c) AS top FROM n)
 SELECT id, label, unnest(range(1, CAST(top // c + CASE WHEN rn <= top % c THEN 1 ELSE 0 END + 1 AS BIGINT))) AS copy FROM n, t""")
 def _over(spark, d):

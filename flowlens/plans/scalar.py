@@ -207,11 +207,12 @@ def _required(spark, d):
 
 
 @query("text_entropy", """
-SELECT doc_id, """ + rd("CASE WHEN count(*) <= 1 THEN 0 ELSE log2(sum(c)) - sum(c * log2(c)) / sum(c) END", "entropy") + """
+SELECT doc_id, """ + rd("coalesce(h, 0)", "entropy") + """ FROM documents LEFT JOIN (
+SELECT doc_id, CASE WHEN count(*) <= 1 THEN 0 ELSE log2(sum(c)) - sum(c * log2(c)) / sum(c) END AS h
 FROM (SELECT doc_id, b, count(*) AS c FROM (
-  SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents) GROUP BY ALL) GROUP BY doc_id""")
+  SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents) GROUP BY ALL) GROUP BY doc_id) USING (doc_id)""")
 def _entropy(spark, d):
-    docs = table(spark, d, "documents").where(F.length("text") > 0)
+    docs = table(spark, d, "documents")
     return rounded(docs.select("doc_id", byte_entropy(F.encode("text", "UTF-8")).alias("entropy")))
 
 

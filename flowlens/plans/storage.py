@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.functions import frames as X
-from flowlens.operators import stat
 from flowlens.plans.flows import CFG
 from flowlens.plans.registry import DAY, HOUR, query, rd, rounded, scratch
-from flowlens.schemas import FEEDBACK, MODEL_FEATURES
+from flowlens.schemas import ALL_FEATURES, FEEDBACK
 from flowlens.sources import adapters, pcap
 from flowlens.sources import storage as A
 from flowlens.sources.adapters import FEEDBACK_SQL, PACKETS_SQL, SCORED_SQL, detections, micros, packets, table
@@ -66,9 +65,18 @@ def _expired(spark, d):
     return A.expired_months(rows, 836_000_000_000_000, 20)
 
 
-@query("storage_stats")
+# One file per event type: the text of props and a line end for each event.
+@query("storage_stats", """WITH f AS (SELECT event_type, CAST(sum(length(props) + 1) AS BIGINT) AS b FROM events GROUP BY 1),
+s AS (SELECT coalesce(event_type, 'total') AS area, count(*) AS file_count, CAST(sum(b) AS BIGINT) AS size_bytes FROM f GROUP BY ROLLUP (event_type))
+SELECT area, file_count, size_bytes, CASE WHEN size_bytes < 1024 THEN printf('%.2f B', size_bytes::DOUBLE)
+  WHEN size_bytes < 1048576 THEN printf('%.2f KB', size_bytes / 1024) WHEN size_bytes < 1073741824 THEN printf('%.2f MB', size_bytes / 1048576)
+  ELSE printf('%.2f GB', size_bytes / 1073741824) END AS size_human FROM s""")
 def _stats(spark, d):
-    return A.storage_stats(spark, {"tables": f"{d}/events.parquet", "volume": f"{d}/lineitem.parquet"})
+    path = scratch(spark, "areas")
+    rows = table(spark, d, "events").select("event_type", "props").repartition("event_type")
+    rows.write.partitionBy("event_type").text(path)
+    kinds = [r[0] for r in spark.read.text(path).select("event_type").distinct().collect()]
+    return A.storage_stats(spark, {k: f"{path}/event_type={k}" for k in kinds})
 
 
 @query("readable_sizes", """SELECT event_id, CASE WHEN s < 1024 THEN printf('%.2f B', s) WHEN s < 1048576 THEN printf('%.2f KB', s / 1024)
@@ -151,21 +159,27 @@ def _newest(spark, d):
     return A.newest_report(_registry(spark, d), _NOW - 20 * DAY, _NOW).select("model_type", "version", "ts_us")
 
 
-_DECODED = """SELECT {id} AS packet_id, ts_us, src_ip, dst_ip, src_port, dst_port, protocol, flags,
-  CASE WHEN protocol = 6 THEN seq::BIGINT END AS seq, CASE WHEN protocol = 6 THEN winsize END AS winsize, icmp_type, icmp_code,
-  CAST(34 + CASE protocol WHEN 6 THEN 20 WHEN 17 THEN 8 ELSE 4 END + length(payload) AS INT) AS length, payload FROM packets"""
+# Later fragments have no transport fields; their payload starts with bytes of a cut header and is left out.
+_DECODED = """SELECT {id} AS packet_id, ts_us, src_ip, dst_ip, CASE WHEN {odd} <> 9 THEN src_port END AS src_port,
+  CASE WHEN {odd} <> 9 THEN dst_port END AS dst_port, protocol, CASE WHEN {odd} <> 9 THEN flags END AS flags,
+  CASE WHEN protocol = 6 AND {odd} <> 9 THEN seq::BIGINT END AS seq, CASE WHEN protocol = 6 AND {odd} <> 9 THEN winsize END AS winsize,
+  CASE WHEN {odd} <> 9 THEN icmp_type END AS icmp_type, CASE WHEN {odd} <> 9 THEN icmp_code END AS icmp_code,
+  CAST(34 + CASE {odd} WHEN 3 THEN 4 WHEN 5 THEN 8 ELSE 0 END + CASE protocol WHEN 6 THEN 20 WHEN 17 THEN 8 ELSE 4 END
+    + length(payload) AS INT) AS length, CASE WHEN {odd} <> 9 THEN payload END AS payload FROM packets"""
 
 
 def _decoded(rows):
+    """A later fragment shows by its missing type or ports."""
+    whole = F.coalesce("src_port", "icmp_type").isNotNull()
     return rows.select(
         "packet_id", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "flags", "seq", "winsize",
-        "icmp_type", "icmp_code", "length", F.decode("payload", "UTF-8").alias("payload"),
+        "icmp_type", "icmp_code", "length", F.when(whole, F.decode("payload", "UTF-8")).alias("payload"),
     )
 
 
-@query("frame_decoding", f"WITH {PACKETS_SQL} {_DECODED.format(id='packet_id')}")
+@query("frame_decoding", f"WITH {PACKETS_SQL} {_DECODED.format(id='packet_id', odd='packet_id % 16')}")
 def _frames(spark, d):
-    return _decoded(X.decode(adapters.frames_of(packets(spark, d))))
+    return _decoded(X.decode(adapters.frames_of(packets(spark, d), odd=True)))
 
 
 @query("layered_packets", f"""WITH {PACKETS_SQL} SELECT packet_id, ts_us, src_ip, dst_ip, protocol, src_port FROM packets""")
@@ -201,36 +215,41 @@ def write_pcap(frames, path: str) -> None:
     frames.foreachPartition(write)
 
 
-@query("pcap_packets", f"WITH {PACKETS_SQL} {_DECODED.format(id='0::BIGINT')}")
+@query("pcap_packets", f"WITH {PACKETS_SQL} {_DECODED.format(id='0::BIGINT', odd='packet_id % 16')}")
 def _pcap(spark, d):
     path = scratch(spark, "pcap")
-    write_pcap(adapters.frames_of(packets(spark, d)).repartition(4, "packet_id"), path)
+    write_pcap(adapters.frames_of(packets(spark, d), odd=True).repartition(4, "packet_id"), path)
     return _decoded(pcap.pcap_packets(spark, path, split_bytes=64 << 10)).withColumn("packet_id", F.lit(0).cast("bigint"))
 
 
-@query("pcap_to_features", f"""WITH {PACKETS_SQL.replace('CAST(floor(value) AS INT) + 40 AS length', '''34 + CASE WHEN event_type = 'error' THEN 4
-  WHEN event_type = 'signup' THEN 8 ELSE 20 END + length(props) AS length''')},
-SESSIONS SELECT session_key, {', '.join(rd(f, f) for f in MODEL_FEATURES)}, 0 AS label FROM full_stat""")
-def _pcap_features(spark, d):
+@query("pcap_rejects", "SELECT DISTINCT n_regionkey, 'unknown format' AS reason FROM nation")
+def _rejects(spark, d):
     path = scratch(spark, "pcap")
-    write_pcap(adapters.frames_of(packets(spark, d)).repartition(4, "packet_id"), path)
-    rows = stat.stat_features(pcap.pcap_packets(spark, path), CFG)
-    out = f"{path}-features"
-    rows.select("session_key", *MODEL_FEATURES, F.lit(0).alias("label")).write.parquet(out)
-    return rounded(spark.read.parquet(out))
+    write_pcap(adapters.frames_of(packets(spark, d)).repartition(2, "packet_id"), f"{path}/frames")
+    nations = table(spark, d, "nation").select(F.col("n_regionkey").cast("int").alias("n_regionkey"), "n_name")
+    nations.repartition(1).write.partitionBy("n_regionkey").text(f"{path}/notes")
+    key = F.regexp_extract("path", "n_regionkey=([0-9]+)", 1).cast("int")
+    return pcap.pcap_rejects(spark, path).where("path LIKE '%/part-%'").select(key.alias("n_regionkey"), "reason").distinct()
+
+
+_FRAME_LENGTH = """34 + CASE WHEN event_type = 'error' THEN 4 WHEN event_type = 'signup' THEN 8 ELSE 20 END + length(props) AS length"""
 
 
-def _finish_pcap_sql() -> None:
-    """The feature oracle is the session SQL over captured frame lengths."""
+def _pcap_features_sql() -> str:
+    """The feature SQL over captured frame lengths."""
     from flowlens.plans.flows import ENTROPY_SQL, STAT_SQL, flow_sql
-    from flowlens.plans.registry import REGISTRY, Query
+    from flowlens.plans.temporal import _temporal_sql
+
+    flows = flow_sql().replace("CAST(floor(value) AS INT) + 40 AS length", _FRAME_LENGTH)
+    return f"""WITH {flows}, {STAT_SQL}, {ENTROPY_SQL}, {_temporal_sql()} SELECT {', '.join(rd(f, f) for f in ALL_FEATURES)}, 0 AS label
+FROM full_stat JOIN temporal USING (session_key, session_seq)"""
 
-    head = REGISTRY["pcap_to_features"].sql
-    own, tail = head.split("\nSESSIONS ")
-    rest = flow_sql().removeprefix(PACKETS_SQL + ",")
-    REGISTRY["pcap_to_features"] = Query(
-        REGISTRY["pcap_to_features"].build, f"{own}\n{rest}, {STAT_SQL}, {ENTROPY_SQL} {tail}"
-    )
 
+@query("pcap_to_features", _pcap_features_sql())
+def _pcap_features(spark, d):
+    from flowlens.plans.temporal import WINDOWS
 
-_finish_pcap_sql()
+    path = scratch(spark, "pcap")
+    write_pcap(adapters.frames_of(packets(spark, d)).repartition(4, "packet_id"), path)
+    A.pcap_to_tables(spark, path, f"{path}-tables", CFG, WINDOWS)
+    return rounded(spark.read.parquet(f"{path}-tables/features"))

@@ -40,19 +40,22 @@ def _sessions(spark, d):
 @query("streamed_windows", f"""WITH {PACKETS_SQL},
 c AS (SELECT *, unnest(range(ts_us // {4 * HOUR} - 5, ts_us // {4 * HOUR} + 1)) AS w FROM packets)
 SELECT src_ip, w * {4 * HOUR} AS window_start_us, count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS byte_count,
-  count(*) FILTER (WHERE protocol = 6 AND flags & 2 <> 0) AS syn_count FROM c GROUP BY src_ip, w
+  count(DISTINCT dst_port) AS unique_dest_ports, count(*) FILTER (WHERE protocol = 6 AND flags & 2 <> 0) AS syn_count FROM c GROUP BY src_ip, w
 HAVING w * {4 * HOUR} + {DAY} <= (SELECT max(ts_us) FROM packets) - {HOUR}""")
 def _windows(spark, d):
     stream = M.stream_windows(packets_of(event_stream(spark, d)), "24 hours", "4 hours", "1 hour")
-    return finished(spark, stream, "windows").select("src_ip", "window_start_us", "packet_count", "byte_count", "syn_count")
+    return finished(spark, stream, "windows").select(
+        "src_ip", "window_start_us", "packet_count", "byte_count", "unique_dest_ports", "syn_count"
+    )
 
 
 @query("streamed_tumbling_windows", f"""WITH {PACKETS_SQL}
-SELECT src_ip, ts_us // {DAY} * {DAY} AS window_start_us, count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS byte_count FROM packets
+SELECT src_ip, ts_us // {DAY} * {DAY} AS window_start_us, count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS byte_count,
+  count(DISTINCT dst_port) AS unique_dest_ports FROM packets
 GROUP BY 1, 2 HAVING window_start_us + {DAY} <= (SELECT max(ts_us) FROM packets) - {HOUR}""")
 def _tumbling(spark, d):
     stream = M.stream_windows(packets_of(event_stream(spark, d)), "24 hours", None, "1 hour")
-    return finished(spark, stream, "tumbling").select("src_ip", "window_start_us", "packet_count", "byte_count")
+    return finished(spark, stream, "tumbling").select("src_ip", "window_start_us", "packet_count", "byte_count", "unique_dest_ports")
 
 
 @query("streamed_detections", f"""WITH {flow_sql()}, {SESSION_SQL},

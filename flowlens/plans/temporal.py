@@ -99,9 +99,21 @@ def _fan_out(spark, d):
     return E.fan_out(packets(spark, d))
 
 
-@query("host_fan_out_approx")
+@query("host_fan_in", f"""WITH {PACKETS_SQL} SELECT dst_ip, count(*) AS packet_count, count(DISTINCT src_ip) AS unique_src_ip,
+  count(DISTINCT src_port) AS unique_src_port FROM packets GROUP BY 1""")
+def _fan_in(spark, d):
+    return E.fan_out(packets(spark, d), "dst_ip", targets=("src_ip", "src_port"))
+
+
+# A sketch has no exact value; what is checked is that it stays close to the exact count.
+@query("host_fan_out_approx", f"WITH {PACKETS_SQL} SELECT src_ip, count(*) AS packet_count, true AS close FROM packets GROUP BY 1")
 def _fan_out_approx(spark, d):
-    return E.fan_out(packets(spark, d), exact=False)
+    p = packets(spark, d)
+    exact = E.fan_out(p).drop("packet_count")
+    near = lambda t: F.abs(F.col(f"a.unique_{t}") - F.col(f"e.unique_{t}")) <= F.greatest(F.lit(2.0), 0.2 * F.col(f"e.unique_{t}"))
+    return E.fan_out(p, exact=False).alias("a").join(exact.alias("e"), "src_ip").select(
+        "src_ip", "packet_count", (near("dst_ip") & near("dst_port")).alias("close")
+    )
 
 
 @query("protocol_spec_features", f"""WITH {flow_sql()}

@@ -263,17 +263,27 @@ def _ip_hex(ip: str) -> Column:
     return F.array_join(F.transform(F.split(ip, "\\."), lambda o: _hex(o.cast("int"), 2)), "")
 
 
-def frames_of(p: DataFrame) -> DataFrame:
-    """Ethernet frames (packet_id, ts_us, frame) that carry the given packets."""
+# Which packets travel in odd frames, by packet_id % 16.
+TAGGED, TWICE_TAGGED, NO_LENGTH, FRAGMENT = 3, 5, 7, 9
+
+
+def frames_of(p: DataFrame, odd: bool = False) -> DataFrame:
+    """Ethernet frames (packet_id, ts_us, frame) that carry the given packets.
+
+    With ``odd`` some of them have one or two VLAN tags, an IP length of 0, or are later fragments.
+    """
     body = F.hex("payload")
     zero = F.lit("0000")
+    kind = F.when(F.lit(odd), F.col("packet_id") % 16).otherwise(-1)
     tcp = F.concat(_hex(F.col("src_port"), 4), _hex(F.col("dst_port"), 4), _hex(F.col("seq"), 8), F.lit("00000000"),
                    F.lit("50"), _hex(F.col("flags"), 2), _hex(F.col("winsize"), 4), zero, zero)
     udp = F.concat(_hex(F.col("src_port"), 4), _hex(F.col("dst_port"), 4), _hex(F.octet_length("payload") + 8, 4), zero)
     icmp = F.concat(_hex(F.col("icmp_type"), 2), _hex(F.col("icmp_code"), 2), zero)
     segment = F.concat(F.when(F.col("protocol") == 6, tcp).when(F.col("protocol") == 17, udp).otherwise(icmp), body)
-    ip_len = F.length(segment) / 2 + 20
-    ip = F.concat(F.lit("4500"), _hex(ip_len, 4), zero, zero, F.lit("40"), _hex(F.col("protocol"), 2), zero,
+    ip_len = F.when(kind == NO_LENGTH, 0).otherwise(F.length(segment) / 2 + 20)
+    part = F.when(kind == FRAGMENT, "2003").otherwise(zero)
+    ip = F.concat(F.lit("4500"), _hex(ip_len, 4), zero, part, F.lit("40"), _hex(F.col("protocol"), 2), zero,
                   _ip_hex("src_ip"), _ip_hex("dst_ip"))
-    ethernet = F.lit("02000000000102000000000208" + "00")
+    tags = F.when(kind == TAGGED, "81000005").when(kind == TWICE_TAGGED, "88a8000181000002").otherwise("")
+    ethernet = F.concat(F.lit("020000000001020000000002"), tags, F.lit("0800"))
     return p.select("packet_id", "ts_us", F.unhex(F.concat(ethernet, ip, segment)).alias("frame"))

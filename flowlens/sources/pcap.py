@@ -1,12 +1,14 @@
-"""Reading pcap files as a distributed table of frames.
+"""Reading pcap and pcapng files as a distributed table of frames.
 
-A pcap file has no block structure, so its records are found by walking their headers. One
+Neither format can be entered in the middle, so records are found by walking their headers. One
 task per file walks them and cuts the file into ranges; the ranges are then spread over
-the cluster and read in parallel. Neither step holds more than a buffer in memory.
+the cluster and read in parallel. Neither step holds more than a buffer in memory. Files in no
+known format are no error for the others: ``pcap_rejects`` lists them.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -25,8 +27,14 @@ MAGIC = {
 }
 FILE_HEADER = 24
 RECORD_HEADER = 16
+# Fixed values of the block format: block types, and options of an interface.
+SECTION, INTERFACE, OLD_PACKET, SIMPLE_PACKET, PACKET = 0x0A0D0D0A, 1, 2, 3, 6
+TIME_UNITS, TIME_OFFSET = 9, 14
 BATCH_BYTES = 4 << 20
 
+# File systems that Spark names differently from Arrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
 
 def open_file(path: str):
     """Seekable input of a local path or of any file system URI that Arrow knows."""
@@ -34,51 +42,113 @@ def open_file(path: str):
         path = "/" + path[len("file:") :].lstrip("/")
     if "://" not in path:
         return fs.LocalFileSystem().open_input_file(path)
-    system, inner = fs.FileSystem.from_uri(path)
+    scheme, rest = path.split("://", 1)
+    system, inner = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
     return system.open_input_file(inner)
 
 
-def _header(source) -> tuple[str, int] | None:
-    return MAGIC.get(source.read(FILE_HEADER)[:4])
-
-
-def _walk(source, size: int, order: str) -> Iterator[int]:
-    """Offsets of all whole records, read through a sliding buffer."""
-    unpack = struct.Struct(order + "IIII").unpack_from
-    at, base, buffer = FILE_HEADER, 0, b""
-    while at + RECORD_HEADER <= size:
-        if not base <= at <= base + len(buffer) - RECORD_HEADER:
-            source.seek(at)
-            base, buffer = at, source.read(max(RECORD_HEADER, min(BATCH_BYTES, size - at)))
-        captured = unpack(buffer, at - base)[2]
-        if at + RECORD_HEADER + captured > size:
-            return  # the last record is cut off
-        yield at
-        at += RECORD_HEADER + captured
+class _Bytes:
+    """Any stretch of a file, through a sliding buffer."""
+
+    def __init__(self, source, size: int):
+        self.source, self.size, self.base, self.buffer = source, size, 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        if not (self.base <= at and at + n <= self.base + len(self.buffer)):
+            self.source.seek(at)
+            self.base, self.buffer = at, self.source.read(max(n, min(BATCH_BYTES, self.size - at)))
+        return self.buffer[at - self.base : at - self.base + n]
+
+
+def _layout(data: _Bytes) -> tuple[dict, int] | None:
+    """How to read a file, and where its records start. The layout grows as interfaces are met."""
+    start = data.get(0, 4)
+    if start in MAGIC and data.size >= FILE_HEADER:
+        order, units = MAGIC[start]
+        return {"order": order, "units": units}, FILE_HEADER
+    if start == SECTION.to_bytes(4, "big") and data.size >= 28:
+        return {"order": "<", "faces": []}, 0
+    return None
+
+
+def _interface(data: _Bytes, at: int, total: int, order: str) -> list[int]:
+    """Time units per second and offset in seconds of an interface, and its longest capture."""
+    units, offset, place = 1_000_000, 0, at + 16
+    snap = struct.unpack(order + "I", data.get(at + 12, 4))[0]
+    while place + 4 <= at + total - 4:
+        code, size = struct.unpack(order + "HH", data.get(place, 4))
+        if code == 0:
+            break
+        value = data.get(place + 4, size)
+        if code == TIME_UNITS and size == 1:
+            units = 2 ** (value[0] & 127) if value[0] & 128 else 10 ** value[0]
+        elif code == TIME_OFFSET and size == 8:
+            offset = struct.unpack(order + "q", value)[0]
+        place += 4 + (size + 3) // 4 * 4
+    return [units, offset, snap]
+
+
+def _walk(data: _Bytes, at: int, stop: int, layout: dict) -> Iterator[tuple[int, int | None, int, int, int]]:
+    """Offset, time, wire length, and place and size of the frame of each whole record that starts before ``stop``."""
+    while at < stop:
+        order = layout["order"]
+        if "units" in layout:
+            if at + RECORD_HEADER > data.size:
+                return
+            seconds, fraction, size, wire = struct.unpack(order + "IIII", data.get(at, RECORD_HEADER))
+            if at + RECORD_HEADER + size > data.size:
+                return  # the last record is cut off
+            yield at, seconds * 1_000_000 + fraction * 1_000_000 // layout["units"], wire, at + RECORD_HEADER, size
+            at += RECORD_HEADER + size
+            continue
+        if at + 12 > data.size:
+            return
+        head = data.get(at, 12)
+        if head[:4] == SECTION.to_bytes(4, "big"):
+            order = "<" if head[8:] == b"\x4d\x3c\x2b\x1a" else ">"
+            layout.update(order=order, faces=[])
+        kind, total = struct.unpack(order + "II", head[:8])
+        if total < 12 or total % 4 or at + total > data.size:
+            return
+        if kind == INTERFACE:
+            layout["faces"].append(_interface(data, at, total, order))
+        elif kind in (PACKET, OLD_PACKET) and total >= 32:
+            face, high, low, size, wire = struct.unpack(order + "IIIII", data.get(at + 8, 20))
+            if kind == OLD_PACKET:
+                face = struct.unpack(order + "H", data.get(at + 8, 2))[0]
+            units, offset, _ = layout["faces"][face] if face < len(layout["faces"]) else (1_000_000, 0, 0)
+            yield at, offset * 1_000_000 + ((high << 32) | low) * 1_000_000 // units, wire, at + 28, min(size, total - 32)
+        elif kind == SIMPLE_PACKET and total >= 16:
+            wire = struct.unpack(order + "I", data.get(at + 8, 4))[0]
+            snap = layout["faces"][0][2] if layout["faces"] else 0
+            yield at, None, wire, at + 12, min(wire, total - 16, snap or wire)  # such blocks have no time
+        at += total
 
 
 def _ranges(split_bytes: int):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "size", "base", "start", "stop", "layout"]
         for files in batches:
-            for path, size, number in files.itertuples(index=False):
+            for path, size, base in files.itertuples(index=False):
                 with open_file(path) as source:
-                    known = _header(source)
+                    data = _Bytes(source, size)
+                    known = _layout(data)
                     if known is None:
-                        continue
-                    rows, start = [], None
-                    for at in _walk(source, size, known[0]):
-                        if start is None:
-                            start = at
-                        elif at - start >= split_bytes:
-                            rows.append((path, number, start, at))
-                            start = at
-                            if len(rows) == 1000:
-                                yield pd.DataFrame(rows, columns=["path", "file_no", "start", "stop"])
+                        continue  # listed by pcap_rejects
+                    layout, first = known
+                    rows, start, told = [], None, ""
+                    for at, *_ in _walk(data, first, size, layout):
+                        if start is None or at - start >= split_bytes:
+                            if start is not None:
+                                rows.append((path, size, base, start, at, told))
+                            start, told = at, json.dumps(layout)
+                            if len(rows) >= 1000:
+                                yield pd.DataFrame(rows, columns=columns)
                                 rows = []
                     if start is not None:
-                        rows.append((path, number, start, size))
+                        rows.append((path, size, base, start, size, told))
                     if rows:
-                        yield pd.DataFrame(rows, columns=["path", "file_no", "start", "stop"])
+                        yield pd.DataFrame(rows, columns=columns)
 
     return find
 
@@ -93,19 +163,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ranges in batches:
         for r in ranges.to_pylist():
             with open_file(r["path"]) as source:
-                order, units = _header(source)
-                unpack = struct.Struct(order + "IIII").unpack
-                source.seek(r["start"])
-                at, rows, held = r["start"], [], 0
-                while at + RECORD_HEADER <= r["stop"]:
-                    seconds, fraction, captured, wire = unpack(source.read(RECORD_HEADER))
-                    frame = source.read(captured)
-                    if len(frame) < captured:
-                        break
-                    ts = seconds * 1_000_000 + fraction * 1_000_000 // units
-                    rows.append(((r["file_no"] << 44) + at, r["path"], at, ts, wire, frame))
-                    at += RECORD_HEADER + captured
-                    held += captured
+                data = _Bytes(source, r["size"])
+                rows, held = [], 0
+                for at, ts, wire, place, size in _walk(data, r["start"], r["stop"], json.loads(r["layout"])):
+                    rows.append((r["base"] + at, r["path"], at, ts, wire, data.get(place, size)))
+                    held += size
                     if held >= BATCH_BYTES or len(rows) >= 10_000:
                         yield batch(rows)
                         rows, held = [], 0
@@ -113,23 +175,48 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield batch(rows)
 
 
+def _listing(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+
 def read_pcap(
     spark: SparkSession, path: str, split_bytes: int = 64 << 20, parallelism: int | None = None
 ) -> DataFrame:
-    """Frames of all pcap files under a path: packet_id, source, record_offset, ts_us, wire_length, frame.
+    """Frames of all pcap and pcapng files under a path: packet_id, source, record_offset, ts_us, wire_length, frame.
 
-    ``packet_id`` keeps the order of files and of records in a file.
+    ``packet_id`` is the record's offset in all files laid end to end by name: it keeps the order of
+    files and of records, and fits 64 bits up to eight exabytes. Blocks without a time have a null ``ts_us``.
     """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    by_name = Window.partitionBy().orderBy("path")
-    files = listing.select("path", "length").withColumn("file_no", F.row_number().over(by_name).cast("bigint"))
+    earlier = Window.partitionBy().orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    files = _listing(spark, path).withColumn("base", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("bigint"))
     spread = parallelism or spark.sparkContext.defaultParallelism * 4
     ranges = files.repartition(spread, "path").mapInPandas(
-        _ranges(split_bytes), "path string, file_no bigint, start bigint, stop bigint"
+        _ranges(split_bytes), "path string, size bigint, base bigint, start bigint, stop bigint, layout string"
     )
     return ranges.repartition(spread, "path", "start").mapInArrow(_read, f"packet_id BIGINT, {RAW_FRAME}")
 
 
+def pcap_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Files under a path that are in no known format or cannot be opened: path, length, reason. Spark does not list empty files."""
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            rows = []
+            for name, length in files.itertuples(index=False):
+                try:
+                    with open_file(name) as source:
+                        known = _layout(_Bytes(source, length))
+                except OSError as e:
+                    rows.append((name, length, f"cannot be opened: {e}"))
+                    continue
+                if known is None:
+                    rows.append((name, length, "unknown format"))
+            yield pd.DataFrame(rows, columns=["path", "length", "reason"])
+
+    spread = spark.sparkContext.defaultParallelism * 4
+    return _listing(spark, path).repartition(spread, "path").mapInPandas(judge, "path string, length bigint, reason string")
+
+
 def pcap_packets(spark: SparkSession, path: str, **options) -> DataFrame:
     """Decoded IPv4 packets of all pcap files under a path."""
     from flowlens.functions.frames import decode

@@ -74,8 +74,9 @@ def load_test_data(spark: SparkSession, bases: Sequence[str], schema: str, forma
         for fmt in formats:
             try:
                 return read_data(spark, f"{base}/test_data.{fmt}", schema)
-            except AnalysisException:
-                continue
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
     raise FileNotFoundError(f"no test data in {list(bases)}")
 
 
@@ -171,17 +172,18 @@ def read_feedback(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
     return good, bad
 
 
-def pcap_to_tables(spark: SparkSession, path: str, out: str, cfg=None) -> None:
+def pcap_to_tables(spark: SparkSession, path: str, out: str, cfg=None, windows=None) -> None:
     """Writes the features of all sessions in the pcap files under a path: all 52 and the 15 of the models.
 
-    Sessions with any non-zero feature are kept, with label 0.
+    The files are read and decoded once, into ``packets``. Sessions with any non-zero feature are kept, with label 0.
     """
-    from flowlens.config import SessionConfig
+    from flowlens.config import SessionConfig, WindowConfig
     from flowlens.operators.temporal import flow_features
     from flowlens.schemas import ALL_FEATURES, MODEL_FEATURES
     from flowlens.sources.pcap import pcap_packets
 
-    rows = flow_features(pcap_packets(spark, path), cfg or SessionConfig())
+    pcap_packets(spark, path).write.mode("overwrite").parquet(f"{out}/packets")
+    rows = flow_features(spark.read.parquet(f"{out}/packets"), cfg or SessionConfig(), windows or WindowConfig())
     kept = rows.where(F.greatest(*[F.abs(F.col(c)) for c in ALL_FEATURES]) > 0)
     kept.select(*ALL_FEATURES, F.lit(0).alias("label")).write.mode("overwrite").parquet(f"{out}/features")
     full = spark.read.parquet(f"{out}/features")

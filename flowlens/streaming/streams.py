@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from flowlens.config import AlertConfig, DetectionConfig
 from flowlens.functions.scalars import has_flag, protocol_name
@@ -63,7 +66,7 @@ def stream_windows(packets: DataFrame, size: str, step: str | None = None, delay
     grouped = with_event_time(packets).withWatermark("event_time", delay).groupBy(key, window.alias("w"))
     return grouped.agg(
         F.count(F.lit(1)).alias("packet_count"), F.sum(length).alias("byte_count"),
-        F.approx_count_distinct("dst_port").alias("unique_dest_ports"),
+        F.size(F.collect_set("dst_port")).cast("bigint").alias("unique_dest_ports"),  # at most 65,536 numbers
         _count((F.col("protocol") == 6) & has_flag(F.col("flags"), SYN)).alias("syn_count"),
     ).select(key, F.unix_micros("w.start").alias("window_start_us"), "packet_count", "byte_count", "unique_dest_ports", "syn_count")
 
@@ -139,6 +142,34 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     query.awaitTermination()
 
 
-def dropped_late_rows(query) -> int:
-    """Rows that arrived behind the watermark, over all batches of a finished query."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts rows that arrived behind the watermark, per query and over all of its batches.
+
+    Add it with ``spark.streams.addListener`` before the query starts. A query itself remembers only its
+    last batches. ``count`` waits until the end of the query has been reported.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event):
+        self.dropped.setdefault(str(event.id), 0)
+        self.ended.setdefault(str(event.runId), threading.Event())
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        late = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        self.dropped[str(p.id)] = self.dropped.get(str(p.id), 0) + late
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def count(self, query, timeout: float = 60.0) -> int:
+        """Late rows of a finished query."""
+        if not self.ended.setdefault(str(query.runId), threading.Event()).wait(timeout):
+            raise TimeoutError("the end of the query has not been reported")
+        return self.dropped.get(str(query.id), 0)

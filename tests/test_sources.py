@@ -16,7 +16,7 @@ ETH = bytes.fromhex("020000000001020000000002")
 
 
 def ipv4(proto, body, total=None, ihl=5, ethertype=b"\x08\x00"):
-    head = bytes([0x40 | ihl, 0]) + struct.pack(">H", total or ihl * 4 + len(body)) + bytes(4) + bytes([64, proto, 0, 0])
+    head = bytes([0x40 | ihl, 0]) + struct.pack(">H", ihl * 4 + len(body) if total is None else total) + bytes(4) + bytes([64, proto, 0, 0])
     return ETH + ethertype + head + bytes([10, 0, 0, 1, 10, 0, 0, 2]) + bytes(ihl * 4 - 20) + body
 
 
@@ -32,6 +32,54 @@ def pcap_bytes(frames, order="<", nano=False, cut=0):
     return out[: len(out) - cut]
 
 
+def block(order, kind, body):
+    body += bytes(-len(body) % 4)
+    size = struct.pack(order + "I", len(body) + 12)
+    return struct.pack(order + "I", kind) + size + body + size
+
+
+def pcapng_bytes(frames, order="<", units=6, cut=0):
+    """Two sections; the second interface has its own units and an offset of 100 s."""
+    start = block(order, 0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1))
+    plain = block(order, 1, struct.pack(order + "HHI", 1, 0, 0))
+    fine = block(order, 1, struct.pack(order + "HHI", 1, 0, 0) + struct.pack(order + "HHB3x", 9, 1, units)
+                 + struct.pack(order + "HHq", 14, 8, 100) + bytes(4))
+    out = start + plain + fine
+    for n, (ts_us, f) in enumerate(frames):
+        if n == len(frames) // 2:
+            out += start + plain + fine + block(order, 4, b"names")
+        t = ts_us if n % 2 == 0 else (ts_us - 100_000_000) * 10**units // 10**6
+        out += block(order, 6, struct.pack(order + "IIIII", n % 2, t >> 32, t & 0xFFFFFFFF, len(f), len(f)) + f)
+    return out[: len(out) - cut]
+
+
+@pytest.mark.parametrize("order, units", [("<", 6), (">", 9)])
+def test_read_pcapng_beside_pcap(spark, tmp_path, order, units):
+    frames = [(1_620_000_000_000_000 + i, ipv4(6, tcp(bytes([i % 256]) * (i % 90)))) for i in range(400)]
+    (tmp_path / "a.pcapng").write_bytes(pcapng_bytes(frames[:300], order, units))
+    (tmp_path / "b.pcap").write_bytes(pcap_bytes(frames[300:350]))
+    (tmp_path / "c.pcapng").write_bytes(pcapng_bytes(frames[350:], order, units, cut=9))
+    (tmp_path / "d.txt").write_bytes(b"not a capture file at all, but long enough")
+    rows = pcap.read_pcap(spark, str(tmp_path), split_bytes=2000).orderBy("packet_id").collect()
+    assert [(r.ts_us, bytes(r.frame)) for r in rows] == frames[:-1]
+    assert len({r.packet_id for r in rows}) == len(rows)
+    rejects = {r.path.rsplit("/", 1)[1]: r.reason for r in pcap.pcap_rejects(spark, str(tmp_path)).collect()}
+    assert rejects == {"d.txt": "unknown format"}
+
+
+def test_decode_tags_lengths_and_fragments(spark):
+    plain = ipv4(6, tcp(b"hello"))
+    tag = lambda f, *tags: f[:12] + b"".join(tags) + f[12:]
+    later = bytearray(plain)
+    later[20:22] = b"\x20\x03"
+    frames = [tag(plain, b"\x81\x00\x00\x05"), tag(plain, b"\x88\xa8\x00\x01", b"\x81\x00\x00\x02"), ipv4(6, tcp(b"hello"), total=0), bytes(later)]
+    df = spark.createDataFrame([(i, 0, f) for i, f in enumerate(frames)], "packet_id long, ts_us long, frame binary")
+    r = {x.packet_id: x for x in X.decode(df).collect()}
+    assert set(r) == {0, 1, 2, 3}
+    assert all((r[i].src_port, r[i].dst_port, bytes(r[i].payload), r[i].src_ip) == (1234, 80, b"hello", "10.0.0.1") for i in range(3))
+    assert (r[3].src_port, r[3].flags, bytes(r[3].payload)) == (None, None, tcp(b"hello"))
+
+
 @pytest.mark.parametrize("order, nano", [("<", False), (">", False), ("<", True)])
 def test_read_pcap_in_ranges(spark, tmp_path, order, nano):
     frames = [(1_620_000_000_000_000 + i, ipv4(6, tcp(bytes([i % 256]) * (i % 90)))) for i in range(500)]

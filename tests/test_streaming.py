@@ -39,9 +39,34 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     write(spark, [packet(1, T0 + 20_000 * US)], src)
     write(spark, [packet(2, T0), packet(3, T0 + 20_001 * US)], src)
     stream = M.stream_windows(M.packet_stream(spark, src, PACKET, max_files=1), "60 seconds", None, "10 seconds")
+    late = M.LateRows()
+    spark.streams.addListener(late)
     query = (
         stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    assert M.dropped_late_rows(query) == 1
+    assert late.count(query) == 1
+    spark.streams.removeListener(late)
+
+
+def test_late_rows_of_more_batches_than_a_query_remembers(spark, tmp_path):
+    src = str(tmp_path / "in")
+    old = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    late = M.LateRows()
+    spark.streams.addListener(late)
+    try:
+        write(spark, [packet(0, T0 + 10_000 * US)], src)
+        for i in range(8):
+            write(spark, [packet(1 + 2 * i, T0), packet(2 + 2 * i, T0 + (10_100 + i) * US)], src)
+        stream = M.stream_windows(M.packet_stream(spark, src, PACKET, max_files=1), "60 seconds", None, "10 seconds")
+        query = (
+            stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        assert late.count(query) >= 7 > sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    finally:
+        spark.streams.removeListener(late)
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", old)
