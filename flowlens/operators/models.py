@@ -8,8 +8,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from flowlens.schemas import MODEL_FEATURES
 
 # Default training parameters per model type.
 DEFAULTS = {
-    "xgboost": {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "positive_weight": 10.0},
+    "xgboost": {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "positive_weight": 10.0},
     "random_forest": {"numTrees": 100, "maxDepth": 8},
     "logistic_regression": {"maxIter": 100, "regParam": 0.01},
     "mlp": {"hidden": [128, 64, 32, 16], "maxIter": 100},
@@ -54,10 +55,25 @@ def weighted(df: DataFrame, model_type: str, positive_weight: float | None = Non
 
 
 def fit(df: DataFrame, model_type: str, features: Sequence[str] = MODEL_FEATURES, **params) -> PipelineModel:
-    stages = [VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="keep")]
-    stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True))
-    stages.append(classifier(model_type, len(features), **params))
-    return Pipeline(stages=stages).fit(weighted(df, model_type, params.get("positive_weight")))
+    """Median imputation, scaling by the population deviation, then the learner; unlabelled rows are left out.
+
+    The type named ``xgboost`` is MLlib's boosted trees with the same settings.
+    """
+    known = df.where(F.col("label").isNotNull())
+    filled = [f"filled_{f}" for f in features]
+    n = known.count()
+    stages = [
+        Imputer(strategy="median", relativeError=0.0001, inputCols=list(features), outputCols=filled),
+        VectorAssembler(inputCols=filled, outputCol="raw_features"),
+        StandardScaler(inputCol="raw_features", outputCol="scaled_features", withMean=True),
+        # The scaler divides by the sample deviation, which is larger by sqrt(n / (n - 1)).
+        ElementwiseProduct(
+            inputCol="scaled_features", outputCol="features",
+            scalingVec=Vectors.dense([(n / (n - 1)) ** 0.5 if n > 1 else 1.0] * len(features)),
+        ),
+        classifier(model_type, len(features), **params),
+    ]
+    return Pipeline(stages=stages).fit(weighted(known, model_type, params.get("positive_weight")))
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -85,21 +101,36 @@ def train(
     """Split, optional cross-validation, fit, and test metrics.
 
     Returns the model, one metric row for the test part, and one metric row per fold. The
-    input is cached for the passes of the learner and released with the returned frames.
+    input is cached for the passes of the learner and released before returning.
     """
+    spark = df.sparkSession
     parts = H.stratified_split(df, id_col, test_percent=test_percent).cache()
     training = parts.where("is_train").drop("is_train")
-    fold_rows = None
+    fold_rows = []
     if folds:
         assigned = H.stratified_folds(training, id_col, folds=folds).cache()
         for k in range(folds):
             model = fit(assigned.where(F.col("fold") != k), model_type, features, **params)
             scored = score(model, assigned.where(F.col("fold") == k).drop("fold"))
             row = evaluate(scored).withColumn("fold", F.lit(k))
-            fold_rows = row if fold_rows is None else fold_rows.unionByName(row)
+            fold_rows += row.collect()  # one row
+        assigned.unpersist()
     model = fit(training, model_type, features, **params)
-    tested = score(model, parts.where("NOT is_train").drop("is_train"))
-    return model, evaluate(tested), fold_rows
+    tested = evaluate(score(model, parts.where("NOT is_train").drop("is_train")))
+    metrics = spark.createDataFrame(tested.collect(), tested.schema)
+    parts.unpersist()
+    return model, metrics, spark.createDataFrame(fold_rows, row.schema) if folds else None
+
+
+def train_and_register(
+    df: DataFrame, id_col: str, model_type: str, path: str, registry_path: str, version: int, ts_us: int, **options,
+) -> tuple[PipelineModel, DataFrame]:
+    """Trains, saves the fitted pipeline and adds it to the registry with its test F1."""
+    from flowlens.sources.storage import save_model
+
+    model, metrics, _ = train(df, id_col, model_type, **options)
+    save_model(model, path, registry_path, model_type, version, metrics.first()["f1"], ts_us)
+    return model, metrics
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
