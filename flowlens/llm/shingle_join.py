@@ -28,8 +28,9 @@ from flowlens.llm.tables import components, saved, slices
 
 WORDS = 5
 HOT_BITS = 23  # frequent grams are kept in a bit map of fixed size; clashes only change the order
-HOT_HERE, HOT = 4, 64  # a gram counts as frequent from so many documents per chunk of a task, and in total
-CHUNK = 1_500_000  # grams that a task holds at a time
+HOT_HERE, HOT = 2, 32  # a gram counts as frequent from so many documents per chunk of a task, and in total
+CHUNK = 1_500_000  # prefix grams that a task holds at a time
+COUNTED = 4_000_000  # grams among which a task looks for frequent ones at a time
 BUCKET = 1_000_000  # prefix grams per bucket aimed at
 KEYS = 2  # groups that a class is dealt into in the first step
 GROUP = 64  # classes per group of the matrix
@@ -119,7 +120,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(s)
                 size += len(s)
         yield rows(batch.column("id"), batch.column("key"), [len(s) for s in sets], names, none, np.zeros(0))
-        if size >= CHUNK:
+        if size >= COUNTED:
             yield frequent()
             size = 0
     if held:
@@ -331,7 +332,7 @@ def likely(common: Column, a: Column, b: Column) -> Column:
 
 def grams_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """All grams of the classes in ``wanted`` (h), read again from a text that stands for each."""
-    needed = saved(classes.join(wanted.distinct(), "h").select("id", "h"), f"{name}-wanted")
+    needed = classes.join(wanted.distinct(), "h").select("id", "h")
     found = texts.select("id", "text").join(needed, texts["id"].eqNullSafe(needed["id"])).select("h", "text")
     # Rows that share the id but not the grams are left out on reading; of equal texts one is enough.
     return saved(
@@ -356,7 +357,7 @@ def linked(texts: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFra
         "gram-dealt",
     )
     pivots = saved(dealt.groupBy("i", "k", "size").agg(F.min("h").alias("pivot")), "gram-pivots")
-    pairs = saved(dealt.join(pivots, ["i", "k", "size"]).where("h <> pivot").select("h", "pivot").distinct(), "gram-pairs")
+    pairs = dealt.join(pivots, ["i", "k", "size"]).where("h <> pivot").select("h", "pivot").distinct()
     one = keys.select("h", F.col("shared").alias("x"), F.col("n").alias("a"))
     two = keys.select(F.col("h").alias("pivot"), F.col("shared").alias("y"), F.col("n").alias("b"))
     near = saved(
@@ -396,16 +397,22 @@ def linked(texts: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFra
         known.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("gram"), "gram-open"
     )
     contested = saved(known.join(open_, "gram"), "gram-contested")
-    matrix = saved(contested.groupBy("gram", F.col("g").alias("into")).agg(F.max("rank").alias("top")), "gram-matrix")
+    matrix = saved(
+        contested.groupBy("gram", F.col("g").alias("into")).agg(F.max("rank").alias("top"), F.min("n").alias("from"), F.max("n").alias("to")),
+        "gram-matrix",
+    )
     # The first bound counts the prefix grams that a class shares with a group's union.
     counted = (
-        contested.select("gram", "h", "n", "part", "rank").join(matrix, "gram").where(F.col("rank") < F.col("top"))
+        contested.select("gram", "h", "n", "part", "rank").join(matrix, "gram")
+        .where((F.col("rank") < F.col("top")) & (4 * F.col("n") >= 3 * F.col("from")) & (4 * F.col("to") >= 3 * F.col("n")))
         .groupBy("h", "n", "part", "into").agg(F.count(F.lit(1)).alias("common"))
     )
     n = F.col("n")
     low, high = F.greatest("least", F.ceil(3 * n / 4)), F.least("most", F.floor(4 * n / 3))
+    # What is needed grows with the partner's size up to n and then falls, but for steps of one: least at the ends.
+    reached = likely(F.col("common"), n, low) | likely(F.col("common"), n, high) | likely(F.col("common"), n, F.greatest(low, high - 1))
     queries = saved(
-        counted.join(sizes, "into").where((low <= high) & (likely(F.col("common"), n, low) | likely(F.col("common"), n, high)))
+        counted.join(sizes, "into").where((low <= high) & reached)
         .select("h", "part", "into"),
         "gram-queries",
     )

@@ -44,12 +44,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     labels = None
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = saved(
-            both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).select(F.col("a").alias("id"), "p"),
-            f"{name}-parents",
-        )
+        first = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).select(F.col("a").alias("id"), "p")
         second = first.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-        step = saved(first.join(second, "p").select("id", F.col("pp").alias("p")), f"{name}-jumped")
+        step = saved(first.join(second, "p").select("id", F.col("pp").alias("p")), f"{name}-step")
         left = step.select(F.col("id").alias("a"), F.col("p").alias("pa"))
         right = step.select(F.col("id").alias("b"), F.col("p").alias("pb"))
         links = saved(
@@ -64,7 +61,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             labels = labels.join(moved, "component_id", "left").select(
                 "id", F.coalesce("q", "component_id").alias("component_id")
             )
-        labels = saved(labels, f"{name}-labels")
     if labels is None:
-        labels = links.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
-    return labels
+        return links.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
+    return saved(labels, f"{name}-labels")
