@@ -150,7 +150,12 @@ def range_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 PATTERN_LIMITS: Mapping[str, float] = {
     "syn_ratio": 0.8, "syn_packets": 50, "scan_ports": 5, "icmp_rate": 10,
     "packet_rate": 100, "payload_bytes": 1400, "amplification_bytes": 1400,
+    "ping_requests": 10, "flood_ports": 5, "icmp6_rate": 10, "retransmissions": 5, "least_window": 512, "duration_s": 3600,
+    "dns_bytes": 512, "odd_bytes": 1500,
 }
+# Types that hosts and routers send in normal operation: echoes, unreachable, redirect, time exceeded, bad header, timestamps;
+# for IPv6 errors, echoes and neighbour discovery.
+ICMP_TYPES = {1: (0, 3, 5, 8, 11, 12, 13, 14), 58: (1, 2, 3, 4, 128, 129, 130, 131, 132, 133, 134, 135, 136, 137, 143)}
 
 
 def attack_patterns(windows: DataFrame, keys: Sequence[str], limits: Mapping[str, float] = PATTERN_LIMITS) -> DataFrame:
@@ -164,13 +169,43 @@ def attack_patterns(windows: DataFrame, keys: Sequence[str], limits: Mapping[str
         "high_packet_rate": F.col("packets_per_second") > lim["packet_rate"],
         "large_payload": F.col("max_packet_size") > lim["payload_bytes"],
         "high_request_response_ratio": F.col("request_response_ratio") > 2,
+        "ping_flood": F.col("echo_request_count") > lim["ping_requests"],
     }
     found = F.array_compact(F.array(*[F.when(c, p) for p, c in tests.items()]))
     return windows.withColumn("pattern", F.explode(found)).select(*keys, "pattern")
 
 
+def protocol_floods(
+    packets: DataFrame, size_us: int, step_us: int, key: str = "src_ip", limits: Mapping[str, float] = PATTERN_LIMITS
+) -> DataFrame:
+    """Windows of a host that reach many UDP ports, or send ICMPv6 at a high rate: one row per pattern."""
+    from flowlens.operators.temporal import sliding_features
+
+    lim = {**PATTERN_LIMITS, **limits}
+    udp = sliding_features(packets.where("protocol = 17"), size_us, step_us, [key])
+    icmp6 = sliding_features(packets.where("protocol = 58"), size_us, step_us, [key])
+    ports = udp.where(F.col("unique_dest_ports") > lim["flood_ports"]).select(key, "window_start_us", F.lit("port_flood").alias("pattern"))
+    rate = icmp6.where(F.col("packets_per_second") > lim["icmp6_rate"]).select(key, "window_start_us", F.lit("icmp6_flood").alias("pattern"))
+    return ports.unionByName(rate)
+
+
+def session_patterns(sessions: DataFrame, keys: Sequence[str], limits: Mapping[str, float] = PATTERN_LIMITS) -> DataFrame:
+    """Patterns of TCP sessions: repeated segments, small windows, long duration.
+
+    ``sessions`` has protocol, duration, retransmission_count and window_size_mean.
+    """
+    lim = {**PATTERN_LIMITS, **limits}
+    tests = {
+        "excessive_retransmissions": F.col("retransmission_count") > lim["retransmissions"],
+        "unusual_window_size": F.col("window_size_mean") < lim["least_window"],
+        "long_duration": F.col("duration") > lim["duration_s"],
+    }
+    found = F.array_compact(F.array(*[F.when(c & (F.col("protocol") == 6), p) for p, c in tests.items()]))
+    return sessions.withColumn("pattern", F.explode(found)).select(*keys, "pattern")
+
+
 def packet_patterns(packets: DataFrame, limits: Mapping[str, float] = PATTERN_LIMITS) -> DataFrame:
-    """Patterns visible in a single packet: odd flag pairs and large UDP answers."""
+    """Patterns visible in a single packet: odd flag pairs, large UDP and DNS answers, rare ICMP messages, odd sizes."""
     lim = {**PATTERN_LIMITS, **limits}
     flags = F.coalesce(F.col("flags"), F.lit(0))
     odd = (F.col("protocol") == 6) & (
@@ -180,6 +215,10 @@ def packet_patterns(packets: DataFrame, limits: Mapping[str, float] = PATTERN_LI
     tests = {
         "unusual_flag_combination": odd,
         "amplification_attack": (F.col("protocol") == 17) & (F.col("length") > lim["amplification_bytes"]),
+        "dns_amplification": (F.col("protocol") == 17) & (F.col("src_port") == 53) & (F.col("length") > lim["dns_bytes"]),
+        "unusual_type_code": F.when(F.col("protocol") == 1, ~F.col("icmp_type").isin(list(ICMP_TYPES[1])) | (F.col("icmp_code") > 15))
+        .when(F.col("protocol") == 58, ~F.col("icmp_type").isin(list(ICMP_TYPES[58])) | (F.col("icmp_code") > 15)),
+        "unusual_size": ~F.col("protocol").isin([p for p in PROTOCOL_SPECS if p >= 0]) & (F.col("length") > lim["odd_bytes"]),
     }
     found = F.array_compact(F.array(*[F.when(c, p) for p, c in tests.items()]))
     return packets.withColumn("pattern", F.explode(found)).select("packet_id", "pattern")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from flowlens.config import DetectionConfig, RuleConfig
 from flowlens.operators import detect as D
+from flowlens.operators import sessions as S
 from flowlens.operators import temporal as E
 from flowlens.operators.stat import stat_features
-from flowlens.plans.flows import CFG, ENTROPY_SQL, STAT_SQL, flow_sql
+from flowlens.plans.flows import CFG, ENTROPY_SQL, SESSION_SQL, STAT_SQL, flow_sql
 from flowlens.plans.registry import DAY, HOUR, query, rd, rounded, scratch
 from flowlens.sources.adapters import PACKETS_SQL, SCORED_SQL, packets, scored_flows
 
@@ -104,7 +105,7 @@ def _batch(spark, d):
     return rounded(rows.select("session_id", "protocol", "threshold_protocol", "anomaly_score", "is_anomaly", "anomaly_type"))
 
 
-_PATTERNS = {"syn_packets": 2, "syn_ratio": 0.3, "scan_ports": 3, "icmp_rate": 1e-5, "packet_rate": 2e-4, "payload_bytes": 300}
+_PATTERNS = {"syn_packets": 2, "syn_ratio": 0.3, "scan_ports": 3, "icmp_rate": 1e-5, "packet_rate": 2e-4, "payload_bytes": 300, "ping_requests": 1}
 
 
 @query("attack_patterns", f"""WITH {PACKETS_SQL},
@@ -116,7 +117,8 @@ g AS (SELECT src_ip, w, count(*) AS n, max(length) AS mx, count(*) FILTER (WHERE
 p AS (SELECT src_ip, w * {4 * HOUR} AS window_start_us, unnest(list_filter([
   CASE WHEN n > 2 AND syn / n > 0.3 THEN 'syn_flood' END, CASE WHEN ports > 3 THEN 'port_scan' END,
   CASE WHEN icmp / n * (n / dur) > 1e-5 THEN 'icmp_flood' END, CASE WHEN n / dur > 2e-4 THEN 'high_packet_rate' END,
-  CASE WHEN mx > 300 THEN 'large_payload' END, CASE WHEN rep > 0 AND req / rep > 2 THEN 'high_request_response_ratio' END
+  CASE WHEN mx > 300 THEN 'large_payload' END, CASE WHEN rep > 0 AND req / rep > 2 THEN 'high_request_response_ratio' END,
+  CASE WHEN req > 1 THEN 'ping_flood' END
   ], lambda x: x IS NOT NULL)) AS pattern FROM g)
 SELECT pattern, count(*) AS windows, count(DISTINCT src_ip) AS hosts FROM p GROUP BY 1""")
 def _patterns(spark, d):
@@ -126,6 +128,24 @@ def _patterns(spark, d):
     return per_host.groupBy("pattern").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("hosts"))
 
 
+@query("protocol_floods", f"""WITH {PACKETS_SQL},
+c AS (SELECT *, unnest(range(ts_us // {4 * HOUR} - 5, ts_us // {4 * HOUR} + 1)) AS w FROM packets WHERE protocol = 17)
+SELECT src_ip, w * {4 * HOUR} AS window_start_us, 'port_flood' AS pattern FROM c GROUP BY src_ip, w HAVING count(DISTINCT dst_port) > 1""")
+def _floods(spark, d):
+    return D.protocol_floods(packets(spark, d), DAY, 4 * HOUR, limits={"flood_ports": 1})
+
+
+@query("session_patterns", f"""WITH {flow_sql()}, {SESSION_SQL},
+m AS (SELECT session_key || '#' || session_seq AS session_id, coalesce(avg(winsize) FILTER (WHERE protocol = 6), 0) AS win,
+  (count(*) FILTER (WHERE protocol = 6)) - (count(DISTINCT (src_ip, seq)) FILTER (WHERE protocol = 6)) AS again FROM flow GROUP BY session_key, session_seq)
+SELECT session_id, unnest(list_filter([CASE WHEN again > 0 THEN 'excessive_retransmissions' END, CASE WHEN win < 30000 THEN 'unusual_window_size' END,
+  CASE WHEN duration > 3600 THEN 'long_duration' END], lambda x: x IS NOT NULL)) AS pattern FROM session JOIN m USING (session_id) WHERE protocol = 6""")
+def _session_patterns(spark, d):
+    p = packets(spark, d)
+    rows = S.sessions(p, CFG).join(E.spec_features(p, CFG), "session_id")
+    return D.session_patterns(rows, ["session_id"], {"retransmissions": 0, "least_window": 30000})
+
+
 @query("packet_patterns", f"""WITH {PACKETS_SQL}
 SELECT packet_id, CASE WHEN protocol = 17 THEN 'amplification_attack' ELSE 'unusual_flag_combination' END AS pattern FROM packets
 WHERE (protocol = 17 AND length > 100) OR (protocol = 6 AND (flags = 0 OR (flags & 2 <> 0 AND flags & 5 <> 0) OR (flags & 1 <> 0 AND flags & 16 = 0)))""")
