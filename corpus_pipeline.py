@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowlens.llm import decontaminate, pieces, secrets, shingle_join, toxicity
 from flowlens.llm.queries import piece_digests, tokenizer_path
 from flowlens.llm.tables import saved, table
+from flowlens.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -47,12 +48,22 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_digests(pieces.encode_pieces(docs, tokenizer_path("piece_bpe_32k.model")))
 
 
+def shipped(stage: Stage) -> Stage:
+    """The stage, with this package sent to the executors first: stages are also called one by one."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", drop_toxic),
-    ("near_copies", drop_near_copies),
-    ("decontamination", drop_contaminated),
-    ("secrets", redact_secrets),
-    ("sentencepiece", encode),
+    ("toxicity", shipped(drop_toxic)),
+    ("near_copies", shipped(drop_near_copies)),
+    ("decontamination", shipped(drop_contaminated)),
+    ("secrets", shipped(redact_secrets)),
+    ("sentencepiece", shipped(encode)),
 ]
 
 # Fitted weights and merges in score order cannot be stated in SQL; tests compare with a plain version.
