@@ -199,16 +199,17 @@ def shared_grams(group: pa.Table) -> pa.Table:
     return pa.table({"gram": pa.array(pairs[0], pa.int64()), "h": pa.array(pairs[1], pa.int64())})
 
 
-def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All grams of the texts that stand for a class."""
-    for batch in slices(batches, 2048, 1 << 19):
-        sets = gram_sets(batch.column("text"))
-        wanted = batch.column("h").to_pylist()
-        told = [(h, len(s), s.tobytes()) for s, h in zip(sets, wanted) if len(s) and class_of(s) == h]
-        columns = [*zip(*told)] or [(), (), ()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["h", "n", "grams"]
-        )
+def full_sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All grams of the texts whose id falls into a wanted slot, with their class."""
+    for whole in batches:
+        slot = whole.column("slot").to_numpy()
+        kept = whole.filter(pa.array((wanted[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0))
+        for batch in slices(iter([kept]), 2048, 1 << 19):
+            told = [(class_of(s), len(s), s.tobytes()) for s in gram_sets(batch.column("text")) if len(s)]
+            columns = [*zip(*told)] or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["h", "n", "grams"]
+            )
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,13 +332,18 @@ def likely(common: Column, a: Column, b: Column) -> Column:
 
 
 def grams_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """All grams of the classes in ``wanted`` (h), read again from a text that stands for each."""
-    needed = classes.join(wanted.distinct(), "h").select("id", "h")
-    found = texts.select("id", "text").join(needed, texts["id"].eqNullSafe(needed["id"])).select("h", "text")
-    # Rows that share the id but not the grams are left out on reading; of equal texts one is enough.
-    return saved(
-        found.mapInArrow(full_sets, "h long, n int, grams binary").groupBy("h").agg(F.max("n").alias("n"), F.max("grams").alias("grams")), name
-    )
+    """All grams of the classes in ``wanted`` (h), read again from the texts that stand for them.
+
+    Slots of the ids go to all tasks as a bit map of fixed size, so that few texts but the wanted ones are
+    cut into grams; what else falls into a slot is left out by the join.
+    """
+    slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - HOT_BITS).cast("int").alias("slot")
+    wanted = wanted.distinct()
+    # At most 2^HOT_BITS small numbers, whatever the input.
+    slots = classes.join(wanted, "h").select(slot).distinct().toArrow().column("slot").to_pylist()
+    bits = texts.sparkSession.sparkContext.broadcast(hot_map(slots))
+    found = texts.select(slot, "text").mapInArrow(lambda b: full_sets(b, bits.value), "h long, n int, grams binary")
+    return saved(found.join(wanted, "h", "left_semi").groupBy("h").agg(F.max("n").alias("n"), F.max("grams").alias("grams")), name)
 
 
 def linked(texts: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:
