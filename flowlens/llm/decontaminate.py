@@ -1,22 +1,26 @@
-"""Benchmark decontamination by spaced seeds, with DataFrame functions only.
+"""Benchmark decontamination by anchor words, with DataFrame functions only.
 
-A mask keeps some positions of a stretch of words and ignores the rest, so a substituted word at an
-ignored position does not hide a copy. Hashes of the kept words of every benchmark stretch are joined
-with those of every text stretch; the texts are then compared word by word along each hit.
+A copy that keeps 70 % of an item's words keeps five of some seven neighbouring words, wherever the others
+were replaced. So one of any three of those seven is kept: the three rarest words of every stretch of
+seven are anchors, joined with the words of the texts. Where enough words near a meeting are equal, item
+and text are compared word by word along the line on which they meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.tables import saved
 
-MASKS = ("110110010111", "101101110101")  # 1: the word counts, 0: any word may stand here
+STRETCH = 12  # words: overlaps of at least so many are judged, and whole items below
+FLOOR = 4  # equal words asked of an item that has as many; shorter ones must be whole
+LEAST_ITEM = 2  # a single word is no passage
+REACH = 6  # words on either side of an anchor that are compared first
 NOT_WORD = "[^\\p{L}\\p{N}]+"
-BROADCAST_SEEDS = 500_000  # more seeds than this are joined by shuffling
+BROADCAST_ANCHORS = 500_000  # more anchors than this are joined by shuffling
 
 
 def words_of(text: Column) -> Column:
@@ -24,89 +28,99 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_WORD), "")
 
 
-def masked_hash(words: Column, start: Column, places: Column, most: int) -> Column:
-    """Hash of the words at ``start + places``; a list shorter than ``most`` gives nulls, which add nothing.
+def window(agreement: float, shortest: int = STRETCH, widest: int = REACH + 1) -> tuple[int, int]:
+    """Sizes (w, k): any ``shortest`` words or more of which a share of ``agreement`` is equal have k equal ones in some w in a row.
 
-    Spelt out place by place, it stays inside generated code, so no row is built before a hit is found.
+    Were there k - 1 at most in each, q stretches of w words and r words more had at most q * (k - 1) + min(r, k - 1).
+    If that stays short for w lengths in a row, it does for all longer ones.
     """
-    return F.xxhash64(*[F.get(words, (start + F.get(places, F.lit(j))).cast("int")) for j in range(most)])
+    fits = [
+        (w, k) for w in range(1, widest + 1) for k in range(1, w + 1)
+        if k - 1 <= agreement * w and all(n // w * (k - 1) + min(n % w, k - 1) < agreement * n for n in range(shortest, shortest + w))
+    ]
+    return max(fits, key=lambda f: (f[1], -f[0]))
 
 
-def spaced_seeds(
-    benchmark: DataFrame, masks: Sequence[str] = MASKS, id_col: str = "item_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per item, mask and start: the hash of the kept words and the longest of them as ``word``.
+def needed(n: int, agreement: float) -> int:
+    """Equal words asked of an item of ``n`` words, fewer than STRETCH, which has to stand in the text as a whole."""
+    return max(math.ceil(agreement * n - 1e-9), min(n, FLOOR))
+
+
+def anchors(benchmark: DataFrame, agreement: float = 0.7, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """One row per item and place of an anchor: the words of the item, the place ``at``, its ``word`` and the other words to be equal nearby.
 
-    An item shorter than a mask gives one seed of all its words; an item without words gives none.
+    Anchors of an item under STRETCH words are taken from the whole item. Items under LEAST_ITEM words give none.
     """
-    items = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("item")).where("size(item) > 0")
-    kept = lambda m: F.array(*[F.lit(i) for i, c in enumerate(m) if c == "1"])
-    span = lambda m: F.when(F.size("item") >= len(m), F.lit(len(m))).otherwise(F.size("item"))
-    masked = items.withColumn(
-        "m",
-        F.explode(F.array_distinct(F.array(*[
-            F.struct(
-                span(m).alias("span"),
-                F.when(F.size("item") >= len(m), kept(m)).otherwise(F.sequence(F.lit(0), F.size("item") - 1)).alias("places"),
-            )
-            for m in masks
-        ]))),
+    items = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("item")).where(F.size("item") >= LEAST_ITEM)
+    placed = items.select("item_id", "item", F.posexplode("item").alias("at", "word"))
+    rare = placed.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    w, k = window(agreement)
+    asked = F.element_at(F.array(*[F.lit(needed(n, agreement)) for n in range(1, STRETCH)]), F.least(F.size("item"), F.lit(STRETCH - 1)))
+    short = F.size("item") < STRETCH
+    ranked = (
+        placed.join(rare, "word")
+        .groupBy("item_id", "item").agg(F.array_sort(F.collect_list(F.struct("at", "uses", (-F.length("word")).alias("len"), "word"))).alias("places"))
+        .withColumn("w", F.when(short, F.size("item")).otherwise(F.lit(w))).withColumn("k", F.when(short, asked).otherwise(F.lit(k)))
     )
-    placed = masked.select(
-        "item_id", "item", "m.span", "m.places", F.explode(F.sequence(F.lit(0), F.size("item") - F.col("m.span"))).alias("at")
-    )
-    # The longest kept word is rare in most texts: only where it stands is a text stretch hashed.
-    longest = F.array_max(F.transform("places", lambda i: F.struct(
-        F.length(F.get("item", (F.col("at") + i).cast("int"))).alias("n"), (-i).alias("back"),
-        F.get("item", (F.col("at") + i).cast("int")).alias("word"),
+    # Repeated items with one id are grouped into one with repeated places; their order by place is that of the words.
+    places = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda i: F.element_at(F.filter("places", lambda x: x["at"] == i), 1))
+    taken = F.flatten(F.transform(F.sequence(F.lit(0), F.size("item") - F.col("w")), lambda s: F.slice(
+        F.array_sort(F.transform(F.slice("places", s + 1, F.col("w")), lambda x: F.struct(x["uses"], x["len"], x["at"], x["word"]))), F.lit(1), F.col("w") - F.col("k") + 1,
     )))
-    return placed.withColumn("key", longest).select(
-        "item_id", "at", "span", "places", F.col("key.word").alias("word"), (-F.col("key.back")).alias("offset"),
-        masked_hash(F.col("item"), F.col("at"), F.col("places"), max(map(len, masks))).alias("seed"),
+    # An item of up to STRETCH - 1 words may reach further than the words compared first.
+    nearby = F.col("k") - 1 - F.greatest(F.lit(0), F.col("w") - REACH - 1)
+    return ranked.withColumn("places", places).select("item_id", "item", nearby.alias("nearby"), F.explode(F.array_distinct(taken)).alias("a")).select(
+        "item_id", "item", "nearby", F.col("a.at").alias("at"), F.col("a.word").alias("word")
     )
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-    item_text: str = "text", masks: Sequence[str] = MASKS, agreement: float = 0.7,
+    item_text: str = "text", agreement: float = 0.7,
 ) -> DataFrame:
     """One row per text and item that overlap: id, item id, n_agree, n_aligned, item_words.
 
-    A seed hit lines the item up with the text. The hit's stretch is widened along that line as far
-    as the item and the text reach; ``n_agree`` of its ``n_aligned`` words are equal. The pair counts
-    if at least ``agreement`` of the words are equal in the whole line or in the hit with half a
-    mask on either side. The line with most equal words is reported. Texts without a match, null or
-    empty ones, and null ids have no row; rows that share an id are judged together. Every position of
-    every text is looked up.
+    An item may be lined up with a text at any place where STRETCH of its words or, if it has fewer, all of them
+    stand against words of the text; ``n_agree`` of these ``n_aligned`` words are equal. The pair counts if on
+    some line at least ``agreement`` of the words are equal, either of all or of some STRETCH in a row with half
+    as many on either side, as far as there are any. Every such pair is found. An item under STRETCH words needs
+    FLOOR equal words besides, or all of its words if it has fewer; an item under LEAST_ITEM words is not looked
+    for. The line with most equal words is reported. Texts without a match, null or empty ones, and null ids
+    have no row; rows that share an id are judged together. Every position of every text is looked up.
     """
-    seeds = spaced_seeds(benchmark, masks, item_id, item_text)
-    items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("item"))
-    seeds = saved(seeds.join(items, "item_id"), "seeds")
-    if seeds.count() <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
+    found = saved(anchors(benchmark, agreement, item_id, item_text), "anchors")
+    if found.count() <= BROADCAST_ANCHORS:
+        found = F.broadcast(found)
     placed = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")).where("id IS NOT NULL").select(
         "id", "words", F.posexplode_outer("words").alias("p", "word")  # outer: else the words are split twice, for a filter on their number
     )
-    begin = F.col("p") - F.col("offset")
-    hits = (
-        placed.join(seeds, "word")
-        .where((begin >= 0) & (begin + F.col("span") <= F.size("words")))
-        .where(masked_hash(F.col("words"), begin, F.col("places"), max(map(len, masks))) == F.col("seed"))
-        .withColumn("shift", begin - F.col("at"))
-    )
+    # Spelt out place by place, it stays inside generated code, so no row is built before a hit is found.
+    same = lambda d: F.coalesce((F.get("item", F.col("at") + d) == F.get("words", F.col("p") + d)).cast("int"), F.lit(0))
+    hits = placed.join(found, "word").where(sum([same(d) for d in range(-REACH, REACH + 1) if d], F.lit(0)) >= F.col("nearby"))
+    hits = hits.withColumn("shift", F.col("p") - F.col("at"))
     agree = lambda low, high: F.aggregate(
         F.sequence(low, high - 1), F.lit(0),
         lambda n, i: n + (F.get("item", i.cast("int")) == F.get("words", (i + F.col("shift")).cast("int"))).cast("int"),
     )
     low = F.greatest(F.lit(0), -F.col("shift")).cast("int")
     high = F.least(F.size("item"), F.size("words") - F.col("shift")).cast("int")
-    near_low = F.greatest(low, F.col("at") - (F.col("span") / 2).cast("int"))
-    near_high = F.least(high, F.col("at") + F.col("span") + (F.col("span") / 2).cast("int"))
-    enough = (agree(low, high) >= agreement * (high - low)) | (agree(near_low, near_high) >= agreement * (near_high - near_low))
-    told = hits.select(
-        "id", "item_id", enough.alias("enough"), agree(low, high).alias("n_agree"), (high - low).alias("n_aligned"),
-        F.size("item").alias("item_words"),
-    )
+    half = STRETCH // 2
+
+    def some_part(x: Column) -> Column:
+        begin = lambda s: F.greatest(x["low"], s - half)
+        end = lambda s: F.least(x["high"], s + STRETCH + half)
+        return F.exists(F.sequence(x["low"], x["high"] - STRETCH), lambda s: agree(begin(s), end(s)) >= agreement * (end(s) - begin(s)))
+
+    def verdict(x: Column) -> Column:
+        n = F.size("item")
+        return F.when(x["high"] - x["low"] < F.least(n, F.lit(STRETCH)), False).when(
+            x["agree"] >= agreement * (x["high"] - x["low"]), (n >= STRETCH) | (x["agree"] >= F.least(n, F.lit(FLOOR)))
+        ).when(n < STRETCH, False).otherwise(some_part(x))
+
+    line = F.struct(low.alias("low"), high.alias("high"), agree(low, high).alias("agree"))
+    told = hits.select("id", "item_id", F.element_at(F.transform(F.array(line), lambda x: F.struct(
+        verdict(x).alias("enough"), x["agree"].alias("n_agree"), (x["high"] - x["low"]).alias("n_aligned"), F.size("item").alias("item_words"),
+    )), 1).alias("t"))
     # Judged after grouping: a filter here would become part of the join and take it out of generated code.
-    best = told.groupBy("id", "item_id").agg(F.max(F.struct("enough", "n_agree", "n_aligned", "item_words")).alias("b"))
+    best = told.groupBy("id", "item_id").agg(F.max("t").alias("b"))
     return best.where("b.enough").select(F.col("id").alias(id_col), "item_id", "b.n_agree", "b.n_aligned", "b.item_words")

@@ -430,6 +430,38 @@ def test_benchmark_substitutions_and_odd_rows(spark, odd, none):
     assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_substituted_passages_equal_brute_force(spark):
+    """Random and periodic replacements of 10 to 45 % of the words, in items of 2 to 59 words, cut copies included."""
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(3000)]
+    common = "the of and to in a is".split()
+    draw = lambda n: [r.choice(common) if r.random() < 0.4 else r.choice(words) for _ in range(n)]
+    items = {n: draw(n) for n in (*range(2, 16), *range(17, 60, 6))}
+    rows = []
+    for n, item in items.items():
+        copies = [[("x" if r.random() < share else w) for w in item] for share in (0.1, 0.2, 0.25, 0.3, 0.45) for _ in range(2)]
+        copies += [[("x" if i % step == step - 1 else w) for i, w in enumerate(item)] for step in (3, 4, 5)]
+        copies += [item[: n * 2 // 3], item[n // 3 :]]
+        rows += [(len(rows) + i, " ".join(draw(r.choice((0, 20))) + c + draw(r.choice((0, 20))))) for i, c in enumerate(copies)]
+    want = set()
+    for doc, text in rows:
+        have = text.split()
+        for n, item in items.items():
+            for shift in range(-n, len(have)):
+                low, high = max(0, -shift), min(n, len(have) - shift)
+                if high - low < min(n, 12):
+                    continue
+                same = [item[i] == have[i + shift] for i in range(low, high)]
+                if sum(same) < 0.7 * min(n, 12):  # no part is shorter
+                    continue
+                parts = [(max(0, s - 6), min(len(same), s + 18)) for s in range(len(same) - 11)]
+                if sum(same) >= 0.7 * len(same) and sum(same) >= min(n, 4) or any(sum(same[a:b]) >= 0.7 * (b - a) for a, b in parts):
+                    want.add((doc, n))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + [(1, "the")], "item_id int, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id int, text string"), bench)
+    assert set(rows_of(got, "doc_id", "item_id")) == want and len(want) > 150
+
+
 def test_seed_join_runs_in_generated_code(spark, sf):
     plan = queries.QUERIES["op9_decontamination"](spark, sf)
     plan.collect()
