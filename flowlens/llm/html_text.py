@@ -40,6 +40,11 @@ HINTS = frozenset(
     "promo promoted promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar "
     "widget".split()
 )
+# Names with one of these are off topic whatever they hold; other names, headers and forms may wrap an article.
+SURELY = frozenset("ad ads advert adverts advertisement advertising adsense comment comments disqus replies reply".split())
+STATES = frozenset("has no not with without hide hides show shows is".split())  # has-sidebar tells of another element
+# What may follow the word that counts, as in ad-box.
+GENERIC = frozenset("area bar block body box column container content inner item items list outer panel section slot unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 TOKEN = re.compile(
@@ -63,41 +68,59 @@ class Block:
     linked: int  # characters inside links
     inside: bool  # in an article or main element
     outside: bool  # in something that is not the article
+    wrapped: bool  # in an article or main element that stands in something off topic by name only
     label: bool | None = None
 
 
-def off_topic(tag: str, rest: str, inside: bool) -> bool:
-    """Whether an element holds something else than the article. A header inside an article may hold its title."""
+def kinds(value: str) -> set[str]:
+    """The listed words that the names in a class or id attribute stand for: the whole name, or its last part that says something."""
+    out = set()
+    for name in value.split():
+        parts = PARTS.findall(CAMEL.sub(" ", name).lower())
+        whole = len(parts) == 1
+        while len(parts) > 1 and parts[-1] in GENERIC:
+            parts.pop()
+        # Page builders call any piece of a page some widget.
+        if parts and parts[0] not in STATES and (whole or parts[-1] != "widget"):
+            out.add(parts[-1])
+    return out
+
+
+def off_topic(tag: str, rest: str, inside: bool) -> int:
+    """2 if an element holds something else than the article, 1 if so unless an article stands in it, else 0.
+
+    A header inside an article may hold its title.
+    """
     if tag in DROPPED or tag == "header" and not inside:
-        return True
+        return 1 if tag in ("form", "header") else 2
     if "=" not in rest and "hidden" not in rest.lower():
-        return False
+        return 0
+    level = 0
     for name, *values in NAMED.findall(rest):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "role" and value.strip().lower() in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not HINTS.isdisjoint(
-            PARTS.findall(CAMEL.sub(" ", value).lower())
-        ):
-            return True
-        if name in ("class", "id") and tag == "article" and not {"comment", "comments", "reply", "replies"}.isdisjoint(PARTS.findall(value.lower())):
-            return True
-    return False
+            level = max(level, 1 if value.strip().lower() == "form" else 2)
+        elif name in ("class", "id") and tag == "article":
+            level = max(level, 2 * (not {"comment", "comments", "reply", "replies"}.isdisjoint(kinds(value))))
+        elif name in ("class", "id") and tag not in ("html", "body", "main"):
+            found = kinds(value)
+            level = max(level, 2 * (not SURELY.isdisjoint(found)), 1 * (not HINTS.isdisjoint(found)))
+    return level
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, with white space folded and character references decoded."""
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, inside, outside
-    linked, in_link, inside, outside = 0, False, False, False
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, and inside, outside (as off_topic), wrapped before it
+    linked, in_link, inside, outside, wrapped = 0, False, False, 0, False
 
     def end() -> None:
         nonlocal linked, in_link
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, inside, outside))
+                out.append(Block(text, linked, inside, outside > 0, wrapped))
             parts.clear()
         linked, in_link = 0, False
 
@@ -118,11 +141,11 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK_TAGS:
             end()
         if tag in VOID or tag not in CONTAINERS and tag not in DROPPED and (closing or not off_topic(tag, m["rest"], inside)):
-            if closing and any(t == tag for t, _, _ in stack):
+            if closing and any(t == tag for t, *_ in stack):
                 pass
             elif tag == "body" and not closing:  # whatever was left open in the head ends here
                 stack.clear()
-                inside = outside = False
+                inside, outside, wrapped = False, 0, False
                 continue
             else:
                 continue
@@ -130,18 +153,21 @@ def blocks(page: str) -> list[Block]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if depth is not None:
                 end()
-                _, inside, outside = stack[depth]
+                _, inside, outside, wrapped = stack[depth]
                 del stack[depth:]
         elif not m["rest"].endswith("/"):
             off = off_topic(tag, m["rest"], inside)
             if tag in ("article", "main") and not off:  # ends a menu or head that was never closed
                 while stack and stack[-1][0] in ("nav", "head", "title", "header", "menu"):
-                    _, inside, outside = stack.pop()
+                    _, inside, outside, wrapped = stack.pop()
             if off:
                 end()
-            stack.append((tag, inside, outside))
-            inside = inside or tag in ("article", "main") and not off
-            outside = outside or off
+            stack.append((tag, inside, outside, wrapped))
+            if tag in ("article", "main") and not off:
+                inside = True
+                if outside == 1:  # the name of a wrapper is a guess; an article tells more
+                    outside, wrapped = 0, True
+            outside = max(outside, off)
     if at < len(page):
         parts.append(page[at:])
         linked += (len(page) - at) * in_link
@@ -170,11 +196,15 @@ def first_pass(b: Block) -> bool | None:
 def main_blocks(page: str) -> list[str]:
     """Texts of the blocks that make up the article.
 
+    An article in an element that only its name, a form or a header makes off topic counts if the page has no other.
     Open blocks take the label of the nearest decided block of the same region (article or not); at
     equal distance main text wins. In a region without a decided block they count as main text
     inside an article, and as anything else outside.
     """
     found = blocks(page)
+    if any(b.inside and not b.outside and not b.wrapped for b in found):  # teasers in a side bar are articles, too
+        for b in found:
+            b.outside = b.outside or b.wrapped
     if any(b.inside and not b.outside for b in found):  # with an article at hand, nothing outside it is main text
         for b in found:
             b.outside = b.outside or not b.inside

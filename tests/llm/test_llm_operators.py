@@ -342,6 +342,25 @@ def test_main_text(page, want):
     assert (html_text.main_blocks(page) if page else []) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"{start}<article><h1>T</h1><p>Text.</p><div class='ad-box'>Buy</div></article>", ["T", "Text."])
+        for start in (
+            "<div class='layout has-sidebar'>", "<div class=elementor-widget>", "<div id=page class=no-comments>", "<body><form action=x>",
+            "<div class='sidebar'><div>", "<div class='widget'><section role=form>", "<div class='related-posts promo'>",
+        )
+    ] + [
+        ("<div class='sidebar'><article><p>Teaser</p></article></div><article><p>Text.</p></article>", ["Text."]),
+        ("<article><p>Text.</p><div class='related'><article><p>Teaser</p></article></div></article>", ["Text."]),
+        ("<div id=comments><article><p>Reader</p></article></div>", []), ("<aside><article><p>Teaser</p></article></aside>", []),
+        ("<article class='post no-comments'><p>Text.</p><div class='has-sidebar'><p>More.</p></div><div class=mainMenu>X</div></article>", ["Text.", "More."]),
+    ],
+)
+def test_wrappers_of_articles(page, want):
+    assert html_text.main_blocks(page) == want
+
+
 def test_blocks_without_an_article():
     prose = "It was the best of the times and it was the worst of the times, and this is how the story of the city begins for all of us. " * 3
     page = f"<div><a href=x>One</a> <a href=y>Two</a></div><div><p>{prose}</p><p>So it is.</p><p>{prose}</p></div><div>Copyright</div><div><a href=z>{prose}</a></div>"
