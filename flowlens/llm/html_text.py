@@ -53,19 +53,20 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
+HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
 PARTS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 NOT_LETTER = re.compile(r"[\W\d_]+")
 
 SHORT, LONG = 70, 200  # characters
 LOW_STOP, HIGH_STOP = 0.10, 0.25  # share of stop words
-MOST_LINKS = 0.5  # share of characters inside links
+MOST_LINKS, ALL_LINKS = 0.5, 0.9  # share of characters inside links: outside and inside an article
 
 
 @dataclass
 class Block:
     text: str
-    linked: int  # characters inside links
+    linked: int  # characters of the text inside links
     inside: bool  # in an article or main element
     outside: bool  # in something that is not the article
     wrapped: bool  # in an article or main element that stands in something off topic by name only
@@ -108,36 +109,48 @@ def off_topic(tag: str, rest: str, inside: bool) -> int:
     return level
 
 
+def folded(parts: list[str]) -> str:
+    return " ".join(entities.unescape("".join(parts)).split())
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, with white space folded and character references decoded."""
     out: list[Block] = []
     parts: list[str] = []
+    links: list[list[str]] = []  # what of the parts stands in each link
     stack: list[tuple[str, bool, int, bool]] = []  # tag, and inside, outside (as off_topic), wrapped before it
-    linked, in_link, inside, outside, wrapped = 0, False, False, 0, False
+    in_link, inside, outside, wrapped = False, False, 0, False
 
     def end() -> None:
-        nonlocal linked, in_link
+        nonlocal in_link
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = folded(parts)
             if text:
-                out.append(Block(text, linked, inside, outside > 0, wrapped))
+                out.append(Block(text, sum(len(folded(x)) for x in links), inside, outside > 0, wrapped))
             parts.clear()
-        linked, in_link = 0, False
+        links.clear()
+        in_link = False
+
+    def add(text: str) -> None:
+        parts.append(text)
+        if in_link:
+            links[-1].append(text)
 
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            parts.append(page[at : m.start()])
-            linked += (m.start() - at) * in_link
+            add(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
         closing = bool(m["close"])
         if tag == "br":
-            parts.append(" ")
+            add(" ")
         elif tag == "a":
-            in_link = not closing
+            in_link = not closing and HREF.search(m["rest"]) is not None
+            if in_link:
+                links.append([])
         if tag in BLOCK_TAGS:
             end()
         if tag in VOID or tag not in CONTAINERS and tag not in DROPPED and (closing or not off_topic(tag, m["rest"], inside)):
@@ -169,8 +182,7 @@ def blocks(page: str) -> list[Block]:
                     outside, wrapped = 0, True
             outside = max(outside, off)
     if at < len(page):
-        parts.append(page[at:])
-        linked += (len(page) - at) * in_link
+        add(page[at:])
     end()
     return out
 
@@ -180,14 +192,14 @@ def first_pass(b: Block) -> bool | None:
     if b.outside:
         return False
     n, share = len(b.text), b.linked / len(b.text)
+    if b.inside:  # an article may hold lists, tables or another language; only what is all links is not its text
+        return True if share <= ALL_LINKS else False if n >= SHORT else None
     if share > MOST_LINKS:
-        return False if not b.inside or n >= SHORT else None
+        return False
     if n < SHORT:
         return None
     words = [w for w in NOT_LETTER.split(b.text.lower()) if w]
     stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if b.inside:  # an article may hold lists, tables or another language
-        return True
     if n >= LONG:
         return stop >= LOW_STOP
     return True if stop >= HIGH_STOP else None if stop >= LOW_STOP else False

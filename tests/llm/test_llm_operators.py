@@ -361,6 +361,18 @@ def test_wrappers_of_articles(page, want):
     assert html_text.main_blocks(page) == want
 
 
+def test_links_inside_an_article():
+    text = "This paragraph has some seventy-five characters and one link in it, no more."
+    indent = "\n" + " " * 120
+    page = (
+        f"<article><p>{text[:50]}<a href=x>{indent}{text[50:60]}{indent}</a>{text[60:]}</p><p>Short.</p>"
+        f"<p><a name=here>{text}</p><p><a href=y>&copy;&copy;&copy;&copy;&copy;&copy;&copy;&copy;&copy;&copy;&copy;&copy;</a> {text}</p>"
+        f"<p>{text[:30]}<a href=z>{text[30:]}</a></p><ul><li><a href=u>{text}</a></li></ul></article>"
+    )
+    got = html_text.main_blocks(page)
+    assert got == [f"{text[:50].strip()} {text[50:60].strip()} {text[60:].strip()}".replace("  ", " "), "Short.", text, f"{'©' * 12} {text}", text]
+
+
 def test_blocks_without_an_article():
     prose = "It was the best of the times and it was the worst of the times, and this is how the story of the city begins for all of us. " * 3
     page = f"<div><a href=x>One</a> <a href=y>Two</a></div><div><p>{prose}</p><p>So it is.</p><p>{prose}</p></div><div>Copyright</div><div><a href=z>{prose}</a></div>"
