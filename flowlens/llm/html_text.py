@@ -56,6 +56,7 @@ NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([
 HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
 PARTS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 NOT_LETTER = re.compile(r"[\W\d_]+")
 
 SHORT, LONG = 70, 200  # characters
@@ -187,8 +188,21 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block) -> bool | None:
-    """True for main text, False for anything else, None for a short block that cannot be told."""
+def size(text: str) -> int:
+    """Characters, those that stand for half a word or so counted as three."""
+    return len(text) + 2 * len(WIDE.findall(text))
+
+
+def stop_share(text: str) -> float:
+    words = [w for w in NOT_LETTER.split(text.lower()) if w]
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_pass(b: Block, known: bool = True) -> bool | None:
+    """True for main text, False for anything else, None for a short block that cannot be told.
+
+    Blocks of a page whose language is not known are told by length and links alone.
+    """
     if b.outside:
         return False
     n, share = len(b.text), b.linked / len(b.text)
@@ -196,10 +210,11 @@ def first_pass(b: Block) -> bool | None:
         return True if share <= ALL_LINKS else False if n >= SHORT else None
     if share > MOST_LINKS:
         return False
+    if not known:
+        return True if size(b.text) >= LONG else None
     if n < SHORT:
         return None
-    words = [w for w in NOT_LETTER.split(b.text.lower()) if w]
-    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    stop = stop_share(b.text)
     if n >= LONG:
         return stop >= LOW_STOP
     return True if stop >= HIGH_STOP else None if stop >= LOW_STOP else False
@@ -209,6 +224,7 @@ def main_blocks(page: str) -> list[str]:
     """Texts of the blocks that make up the article.
 
     An article in an element that only its name, a form or a header makes off topic counts if the page has no other.
+    Where no block has the stop words of a known language, length and links decide alone.
     Open blocks take the label of the nearest decided block of the same region (article or not); at
     equal distance main text wins. In a region without a decided block they count as main text
     inside an article, and as anything else outside.
@@ -221,8 +237,13 @@ def main_blocks(page: str) -> list[str]:
         for b in found:
             b.outside = b.outside or not b.inside
     found = [b for b in found if not b.outside]
+    plain = [b for b in found if not b.inside and size(b.text) >= SHORT and b.linked <= MOST_LINKS * len(b.text)]
+    known = any(stop_share(b.text) >= LOW_STOP for b in plain)
     for b in found:
-        b.label = first_pass(b)
+        b.label = first_pass(b, known)
+    if not known and not any(b.label for b in found):  # no long block: the longer ones among the short
+        for b in plain:
+            b.label = True
     n = len(found)
     before: list[tuple[int, bool] | None] = [None] * n
     after: list[tuple[int, bool] | None] = [None] * n

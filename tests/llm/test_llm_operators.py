@@ -373,6 +373,19 @@ def test_links_inside_an_article():
     assert got == [f"{text[:50].strip()} {text[50:60].strip()} {text[60:].strip()}".replace("  ", " "), "Short.", text, f"{'©' * 12} {text}", text]
 
 
+@pytest.mark.parametrize("prose", [
+    "Wczoraj wieczorem mieszkańcy miasteczka spotkali się przed ratuszem, aby wspólnie omówić plany budowy nowego mostu przez rzekę. ",
+    "Вчера вечером жители городка собрались перед ратушей, чтобы вместе обсудить планы строительства нового моста через реку. ",
+    "Dün akşam kasaba sakinleri nehrin üzerine yapılacak yeni köprünün planlarını birlikte görüşmek için belediye önünde toplandı. ",
+    "昨天晚上，小镇居民聚集在市政厅前，共同讨论在河上修建一座新桥的计划，许多人希望工程能够尽快开始，也有人担心费用太高，镇长表示将会认真听取大家的意见。",
+])
+@pytest.mark.parametrize("times", [1, 3])
+def test_other_languages_without_an_article(prose, times):
+    text = (prose * times).strip()
+    page = f"<div><a href=x>{prose}</a></div><div><p>{text}</p><p>{text}</p></div><div><a href=z>Menu</a></div>"
+    assert html_text.main_blocks(page) == [text, text]
+
+
 def test_blocks_without_an_article():
     prose = "It was the best of the times and it was the worst of the times, and this is how the story of the city begins for all of us. " * 3
     page = f"<div><a href=x>One</a> <a href=y>Two</a></div><div><p>{prose}</p><p>So it is.</p><p>{prose}</p></div><div>Copyright</div><div><a href=z>{prose}</a></div>"
