@@ -1,14 +1,16 @@
 """Secret scans: three fixed patterns, and a battery of randomness tests for what no pattern names.
 
 Only DataFrame functions are used. A long run of letters and digits is read in the alphabet it seems to
-be encoded with. Three tests ask whether its symbols could be uniform draws: a chi-squared test of the
-counts, a runs test above and below the middle of the alphabet, and the correlation of neighbours.
-Readable strings fail at least one of them. Rejections are controlled for false discovery among all
-candidates of similar length, for short strings can hardly be rejected; what is not rejected is reported.
+be encoded with. Four tests ask whether its symbols could be uniform draws: a test of pairs of equal symbols,
+a runs test above and below the middle of the alphabet, the correlation of neighbours, and how frequent its
+letters are in written language. Readable strings fail at least one of them. Rejections are controlled for false discovery among all
+candidates of similar length, those of letters alone apart from others, for short strings can hardly be rejected; what is not rejected is reported.
 """
 
 from __future__ import annotations
 
+import math
+import statistics
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +26,10 @@ CANDIDATE = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 
 KINDS = ("assign", "access", "hex", "random")
 LENGTHS = (20, 24, 32, 48)  # least length of each class of candidates
+FEW_DIGITS = 2  # candidates with fewer digits or no letter are classes of their own
+# Rough shares of letters in written European languages; uniform letters score low.
+LETTERS = dict(zip("etainosrldhcumfpgwybvkxjqz", (
+    .127, .091, .082, .075, .070, .067, .063, .060, .040, .043, .061, .028, .028, .024, .022, .019, .020, .024, .020, .015, .010, .008, .0015, .0015, .001, .0007)))
 ALPHABETS = {
     "hex": ("^[0-9a-f]+$", "0123456789abcdef"),
     "HEX": ("^[0-9A-F]+$", "0123456789ABCDEF"),
@@ -80,6 +86,9 @@ def randomness_p(token: Column) -> Column:
 
     A token whose runs or correlation cannot be measured (all symbols on one side, or all equal) has the least, 1e-300.
     """
+    logs = [math.log(x) for x in LETTERS.values()]
+    usual, width = sum(logs) / len(logs), statistics.pstdev(logs)
+    score = F.create_map(*[F.lit(x) for c, v in zip(LETTERS, logs) for x in (c, (v - usual) / width)])
     body = F.rtrim(token, F.lit("="))
     alphabet = _alphabet(body)
     symbols = F.split(body, "")
@@ -93,7 +102,11 @@ def randomness_p(token: Column) -> Column:
     def measured(x: Column) -> Column:
         n, k, v = x["n"], x["k"], x["v"]
         squares = total(F.transform(F.array_distinct(x["s"]), lambda c: F.pow(n - F.length(F.replace(x["t"], c, F.lit(""))), F.lit(2.0))))
-        z_counts = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+        # Pairs of equal symbols are about Poisson; its tail by the cube root, for short strings have few.
+        equal, expected = (squares - n) / 2, n * (n - 1) / (2 * k)
+        z_counts = F.when(equal > 0, 3 * F.sqrt(equal) * (1 - 1 / (9 * equal) - F.pow(expected / equal, F.lit(1 / 3)))).otherwise(-9.0)
+        scores = F.filter(F.transform(x["s"], lambda c: F.element_at(score, F.lower(c))), lambda v: v.isNotNull())
+        z_usual = F.when((F.size(scores) > 0) & (k > 16), total(scores) / F.sqrt(F.size(scores).cast("double"))).otherwise(-9.0)
         sides = F.transform(v, lambda i: (i >= k / 2).cast("double"))
         ones = total(sides)
         mean_runs = 1 + 2 * ones * (n - ones) / n
@@ -105,7 +118,7 @@ def randomness_p(token: Column) -> Column:
         p_counts = upper_tail(z_counts)
         p_runs = F.when(var_runs > 0, 2 * upper_tail(F.abs((runs - mean_runs) / F.sqrt(var_runs)))).otherwise(0.0)
         p_serial = F.when(spread > 0, 2 * upper_tail(F.abs((serial / spread + 1 / n) * F.sqrt(n)))).otherwise(0.0)
-        return F.greatest(F.lit(1e-300), F.least(F.lit(1.0), 3 * F.least(p_counts, p_runs, p_serial)))
+        return F.greatest(F.lit(1e-300), F.least(F.lit(1.0), 4 * F.least(p_counts, p_runs, p_serial, upper_tail(z_usual))))
 
     return F.element_at(F.transform(state, measured), 1)
 
@@ -113,7 +126,7 @@ def randomness_p(token: Column) -> Column:
 def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Sequence[str] = ()) -> DataFrame:
     """One row per input row: id, ``base`` spans and ``candidates`` with their p-value and class of length.
 
-    Candidates have both letters and digits and overlap no base span. Null counts as empty.
+    Candidates are all runs that do not lie in a base span as a whole. Null counts as empty.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     span = lambda x, kind: F.struct(
@@ -125,15 +138,15 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
         F.transform(_matches(text, HEX, 2), lambda x: span(x, 2)),
     )
     size = lambda x: x["stop"] - x["start"]
-    mixed = lambda x: x["m"].rlike("[0-9].*[0-9]") & x["m"].rlike("[A-Za-z]")
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
+    mixed = lambda x: x["m"].rlike(f"([0-9].*){{{FEW_DIGITS}}}") & x["m"].rlike("[A-Za-z]")
+    free = lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["stop"] <= b["stop"]))
     found = df.select(F.col(id_col), text.alias("__text"), F.array_sort(base).cast(SPAN).alias("base"), *more)
-    runs = F.filter(_matches(F.col("__text"), CANDIDATE, 3), lambda x: mixed(x) & free(x))
+    runs = F.filter(_matches(F.col("__text"), CANDIDATE, 3), free)
     return found.withColumn(
         "candidates",
         F.transform(runs, lambda x: F.struct(
             x["start"].alias("start"), x["stop"].alias("stop"), F.lit(3).alias("kind"),
-            sum([(size(x) >= n).cast("int") for n in LENGTHS[1:]], F.lit(0)).alias("class"), randomness_p(x["m"]).alias("p"),
+            sum([(size(x) >= n).cast("int") for n in LENGTHS[1:]], F.when(mixed(x), 0).otherwise(len(LENGTHS))).alias("class"), randomness_p(x["m"]).alias("p"),
         )).cast(SPAN),
     ).drop("__text")
 
@@ -144,7 +157,7 @@ STEPS = 8  # p-values are counted in steps of a factor 2^(1/8)
 def thresholds(candidates: DataFrame, rate: float) -> dict[int, float]:
     """Largest rejected p-value of each class of length (Benjamini-Hochberg on counted p-values).
 
-    At most 300 * log2(10) * STEPS + 1 counts for each of the four classes reach the driver.
+    At most 300 * log2(10) * STEPS + 1 counts for each of the eight classes reach the driver.
     """
     step = F.floor(-F.log2("c.p") * STEPS).cast("int")
     counts = (

@@ -316,6 +316,36 @@ def test_random_strings_are_told_from_readable_ones(spark):
     assert sum(got[1000 + i] for i in range(200)) == 0
 
 
+ALPHABETS = {
+    "hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower36": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "lower": "abcdefghijklmnopqrstuvwxyz", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+
+
+def test_short_keys_of_every_alphabet(spark):
+    r = random.Random(41)
+    kinds = [(a, n) for a in ALPHABETS for n in (20, 24)]
+    rows = [(1000 * k + i, f"see {''.join(r.choices(ALPHABETS[a], k=n))} there") for k, (a, n) in enumerate(kinds) for i in range(200)]
+    plain = ["internationalization/of/the/system", "this-is-not-a-secret-at-all", "--------------------", "some_function_name_of_an_interface",
+             "Donaudampfschifffahrtsgesellschaft", "src/main/resources/templates/index", "anticonstitutionnellement", "thisIsAnotherMethodNameInCamelCase"]
+    rows += [(100_000 + i, f"see {plain[i % len(plain)]} there") for i in range(800)]
+    got = {x["doc_id"]: x["spans"] for x in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (a, n) in enumerate(kinds):
+        whole = sum(any(s["start"] <= 4 and s["stop"] >= 4 + n for s in got[1000 * k + i]) for i in range(200))
+        assert whole >= 184, (a, n, whole)
+    for i in range(800):
+        assert not got[100_000 + i], plain[i % len(plain)]
+
+
+def test_token_around_a_hex_run(spark):
+    token = "Zq7RtW-0123456789abcdef-Yk3LpXv9GmTQsB"
+    df = spark.createDataFrame([(1, f"see {token} there")], "doc_id long, text string")
+    got = secrets.scan_secrets(df, more=["text"]).select(secrets.redacted(F.col("text"), F.col("spans"))).first()[0]
+    assert got == "see [SECRET] there"
+
+
 def test_redaction(spark):
     text = "é token=abcdefghijklmnop and 0123456789abcdef01 end"
     df = spark.createDataFrame([(1, text), (2, None), (3, "clean")], "doc_id long, text string")
