@@ -27,9 +27,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark. Rows without an id are kept."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(saved(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no passage of the benchmark. Each row is judged by its own text, whatever its id."""
+    rows = docs.withColumn("__row", F.xxhash64(F.col("text").isNull(), *docs.columns))
+    found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="__row").select("__row").distinct()
+    return rows.join(saved(found, "contaminated"), "__row", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -310,15 +310,16 @@ def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay when one document of each component does: the one with the smallest id.
 
-    Texts without shingles stay. Of wholly equal rows (id and text) one stays.
+    Texts without shingles stay, repeated ones too. Of other rows with equal id and text one stays.
     """
     found = join_similar(df, id_col, text_col)
     best = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), "key")).alias("b")).select("b.key")
-    keys = saved(best.unionByName(found.where("n_shingles = 0").select("key")).distinct(), "gram-kept")
+    keys = saved(best.distinct(), "gram-kept")
     name = "__row_key"
-    rows = df.withColumn(name, row_key(id_col, text_col)).join(keys.withColumnRenamed("key", name), name, "left_semi")
-    # The join has dealt rows by their key already, so this moves nothing. Equal rows without shingles fold, too.
-    return rows.dropDuplicates([name]).drop(name)
+    worded = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    rows = df.where(worded).withColumn(name, row_key(id_col, text_col)).join(keys.withColumnRenamed("key", name), name, "left_semi")
+    # The join has dealt rows by their key already, so this moves nothing.
+    return rows.dropDuplicates([name]).drop(name).unionByName(df.where(~worded))
 
 
 def likely(common: Column, a: Column, b: Column) -> Column:

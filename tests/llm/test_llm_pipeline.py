@@ -43,6 +43,18 @@ def test_stages_take_effect(spark, sf):
     assert ran == {tuple(r) for r in seen["sentencepiece"].values()}
 
 
+def test_rows_without_id_or_words_and_shared_ids(spark, sf):
+    passage = table(spark, sf, "benchmark").first()["text"]
+    rows = [(None, "", "en", "a"), (None, "", "de", "b"), (None, " \t", "en", "a"), (None, " \t", "en", "a"), (7, None, "en", "a"), (7, None, "de", "a"),
+            (None, f"before {passage} after", "en", "a"), (5, f"one two {passage}", "en", "a"), (5, "a clean text with the same id", "en", "a"), (None, "clean", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = sorted(map(tuple, stages["near_copies"](spark, docs.where("length(text) < 100 OR text IS NULL"), sf).collect()), key=str)
+    assert kept == sorted([r for r in rows if not r[1] or len(r[1]) < 100], key=str)
+    kept = sorted(map(tuple, stages["decontamination"](spark, docs, sf).collect()), key=str)
+    assert kept == sorted([r for r in rows if passage not in (r[1] or "")], key=str)
+
+
 def test_empty_documents(spark, sf):
     docs = table(spark, sf, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES:
