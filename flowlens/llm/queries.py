@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, html_text, pieces, secrets, shingle_join, suffixes, token_counts, toxicity, urls, vectors
+from flowlens.llm import decontaminate, html_text, manifest, pieces, secrets, shingle_join, suffixes, token_counts, toxicity, urls, vectors
 from flowlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,68 @@ def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+MANIFEST_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode(CAST({value} AS VARCHAR))) || ':' || {value} END"
+
+
+def tree_sql(name: str, leaves: str, levels: int) -> str:
+    """CTEs of all levels of the trees over ``leaves`` (grp, ord, d); enough for 16^levels leaves in a tree."""
+    sized = "count(*) OVER (PARTITION BY grp) AS size"
+    parts = [f"{name}0 AS (SELECT 0 AS level, grp, ord, d, {sized} FROM ({leaves}))"]
+    for k in range(levels):
+        parts.append(
+            f"{name}{k + 1} AS (SELECT *, {sized} FROM (SELECT {k + 1} AS level, grp, ord // 16 AS ord, sha256(string_agg(d, '' ORDER BY ord)) AS d "
+            f"FROM {name}{k} WHERE size > 1 GROUP BY grp, ord // 16))"
+        )
+    parts.append(f"{name} AS ({' UNION ALL '.join(f'SELECT * FROM {name}{k}' for k in range(levels + 1))})")
+    parts.append(f"""{name}_steps AS (
+  SELECT grp, leaf, list(before || '|' || after ORDER BY level) AS steps FROM (
+    SELECT l.grp, l.ord AS leaf, x.level, coalesce(string_agg(x.d, '' ORDER BY x.ord) FILTER (x.ord < l.ord >> (4 * x.level)), '') AS before,
+      coalesce(string_agg(x.d, '' ORDER BY x.ord) FILTER (x.ord > l.ord >> (4 * x.level)), '') AS after
+    FROM {name}0 l JOIN {name} x ON x.grp = l.grp AND x.size > 1 AND x.ord // 16 = l.ord >> (4 * x.level + 4) GROUP BY ALL)
+  GROUP BY grp, leaf)""")
+    return ",\n".join(parts)
+
+
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+MANIFEST_SQL = f"""
+WITH named AS (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, CASE WHEN source IS NULL THEN '' ELSE '+' || source END AS grp
+  FROM documents),
+hashed AS (
+  SELECT doc_id, grp, sha256(concat({", ".join(field_sql(c) for c in MANIFEST_COLUMNS)})) AS d,
+    CASE WHEN {CRC} % 5 = 0 THEN sha256(concat({", ".join(field_sql("low" if c == "text" else c) for c in MANIFEST_COLUMNS)})) END AS changed
+  FROM named),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, d) - 1 AS ord FROM hashed),
+{tree_sql("s", "SELECT grp, ord, d FROM leaves", 5)},
+tops AS (SELECT grp AS source, row_number() OVER (ORDER BY encode(grp)) - 1 AS ord, d FROM s WHERE size = 1),
+{tree_sql("t", "SELECT 'all' AS grp, ord, d FROM tops", 3)},
+paths AS (
+  SELECT l.doc_id, l.d AS leaf, l.changed, p.d AS subroot, (SELECT d FROM t WHERE size = 1) AS root,
+    list_concat(coalesce(a.steps, []), coalesce(b.steps, [])) AS steps
+  FROM leaves l JOIN tops p ON p.source = l.grp LEFT JOIN s_steps a ON a.grp = l.grp AND a.leaf = l.ord LEFT JOIN t_steps b ON b.leaf = p.ord)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM (SELECT *, list_reduce(list_concat([coalesce(changed, leaf)], steps), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded FROM paths)
+"""
+
+
+@register("op11_merkle_manifest", MANIFEST_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", manifest.UPPER, manifest.UPPER.lower())
+    found = manifest.manifest(
+        docs, MANIFEST_COLUMNS, altered=[lower if c == "text" else F.col(c) for c in MANIFEST_COLUMNS],
+        is_altered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
+    )
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+        manifest.folded(F.coalesce("changed", "leaf"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
