@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, html_text, manifest, pieces, secrets, shingle_join, suffixes, token_counts, toxicity, urls, vectors
+from flowlens.llm import decontaminate, html_text, manifest, pieces, secrets, shingle_join, suffixes, token_counts, toxicity, urls, vectors, whitening
 from flowlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,8 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         manifest.folded(F.coalesce("changed", "leaf"), F.col("path")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
+
+
+@register("op13_whitening")
+def whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
