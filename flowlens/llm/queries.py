@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, html_text, manifest, pieces, secrets, shingle_join, suffixes, token_counts, toxicity, urls, vectors, whitening
+from flowlens.llm import decontaminate, html_text, manifest, nearest, pieces, secrets, shingle_join, suffixes, token_counts, toxicity, urls, vectors, whitening
 from flowlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,6 +192,22 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+TOP_SQL = """
+WITH x AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, q.r, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score FROM x q JOIN x ON q.r <> x.r WHERE q.vec_id % 100 = 0),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM best WHERE rank <= 10
+"""
+
+
+@register("op12_top_products", TOP_SQL)
+def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @register("op13_whitening")
 def whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
