@@ -179,7 +179,9 @@ def usable(vec: Column) -> Column:
 
 
 def whole(vec: Column) -> Column:
-    return F.transform(vec, lambda c: F.floor(c.cast("double") * SCALE) + OFFSET)
+    """Entries as whole numbers; null for those that are no use, as Spark may look at this before rows are left out."""
+    scaled = lambda c: c.cast("double") * SCALE
+    return F.transform(vec, lambda c: F.when(F.abs(scaled(c)) < LARGEST, F.floor(scaled(c)) + OFFSET))
 
 
 def numbers(column: pa.Array, width: int) -> np.ndarray:
