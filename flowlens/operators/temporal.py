@@ -38,24 +38,28 @@ def instants(packets: DataFrame, cfg: SessionConfig) -> DataFrame:
     )
 
 
-def session_instants(packets: DataFrame, cfg: SessionConfig) -> DataFrame:
-    """Instants with their session, its borders and the neighbouring times inside the session."""
-    rows = instants(packets, cfg)
-    inside = Window.partitionBy("session_key", "chunk").orderBy("ts_us")
-    local = rows.withColumns(
-        {"__prev": F.lag("ts_us").over(inside), "__next": F.lead("ts_us").over(inside)}
-    )
+def session_borders(packets: DataFrame, cfg: SessionConfig) -> DataFrame:
+    """Chunks with their session, its first and last time, and the nearest times in the chunks before and after."""
     chunks = S.session_chunks(packets, cfg, {"first_ts": F.min("ts_us"), "last_ts": F.max("ts_us")})
     seq = Window.partitionBy(*KEY).orderBy("chunk")
     whole = Window.partitionBy(*KEY)
-    borders = chunks.select(
+    return chunks.select(
         "session_key", "chunk", "session_seq",
         F.min("first_ts").over(whole).alias("session_first"),
         F.max("last_ts").over(whole).alias("session_last"),
         F.lag("last_ts").over(seq).alias("__prev_chunk"),
         F.lead("first_ts").over(seq).alias("__next_chunk"),
     )
-    return local.join(borders, ["session_key", "chunk"]).select(
+
+
+def session_instants(packets: DataFrame, cfg: SessionConfig) -> DataFrame:
+    """Instants with their session, its borders and the neighbouring times inside the session."""
+    rows = instants(packets, cfg)
+    inside = Window.partitionBy("session_key", "chunk").orderBy("ts_us")
+    local = rows.withColumns(
+        {"__prev": F.lag("ts_us").over(inside), "__next": F.lead("ts_us").over(inside)}
+    )
+    return local.join(session_borders(packets, cfg), ["session_key", "chunk"]).select(
         *KEY, "chunk", "ts_us", "n", "bytes", "sumsq", "session_first", "session_last",
         F.coalesce("__prev", "__prev_chunk").alias("prev_ts"),
         F.coalesce("__next", "__next_chunk").alias("next_ts"),
@@ -197,6 +201,100 @@ def trailing_windows(
     )
 
 
+def session_packets(packets: DataFrame, cfg: SessionConfig) -> DataFrame:
+    """Packets in the order of time and id, with the times before and after inside the session."""
+    inside = Window.partitionBy("session_key", "chunk").orderBy("ts_us", "packet_id")
+    length = F.coalesce(F.col("length"), F.lit(0)).cast("bigint")
+    local = S.keyed(packets, cfg).select("session_key", "chunk", "ts_us", "packet_id", length.alias("length")).withColumns({
+        "__prev": F.lag("ts_us").over(inside), "__next": F.lead("ts_us").over(inside), "next_id": F.lead("packet_id").over(inside),
+    })
+    return local.join(session_borders(packets, cfg), ["session_key", "chunk"]).select(
+        *KEY, "ts_us", "packet_id", "length", "session_first", "session_last", "next_id",
+        F.coalesce("__prev", "__prev_chunk").alias("prev_ts"), F.coalesce("__next", "__next_chunk").alias("next_ts"),
+    )
+
+
+def _events(sizes: Sequence[int], burst_gap_us: int) -> Column:
+    """What a packet adds to its session's windows and takes away again, each at its time.
+
+    A packet enters with the gap before it and leaves each window with the gap after it, so a window's gaps
+    are those between its own packets. A burst is a run of short gaps: there are as many as short gaps, less
+    the pairs of short gaps side by side. Such a pair is complete when the next packet enters, and gone when
+    the packet before has left; where that happens first, the window never holds it. A burst that the window
+    cuts on its left loses gaps and pairs alike, so what is left of it still counts as one.
+    """
+    ts, prev, nxt, length = (F.col(c) for c in ("ts_us", "prev_ts", "next_ts", "length"))
+    before, after = ts - prev, nxt - ts
+    short = lambda gap: F.coalesce((gap <= burst_gap_us).cast("int"), F.lit(0))
+    nothing = F.lit(None).cast("bigint")
+
+    def event(at, order, window, sign, n, gap, pairs, oldest, id_) -> Column:
+        gap = F.coalesce(gap, F.lit(0)) if gap is not None else F.lit(0).cast("bigint")
+        is_short = F.lit(0) if n == 0 else short(before if sign == 1 else after)
+        return F.struct(
+            at.alias("at"), F.lit(order).alias("order"), id_.alias("id"), F.lit(window).cast("int").alias("window"), F.lit(sign * n).cast("bigint").alias("n"),
+            (length * sign * n).alias("bytes"), (length * length * sign * n).cast("decimal(20,0)").alias("sumsq"),
+            (gap.cast("decimal(18,0)") * gap.cast("decimal(18,0)") * sign).cast("decimal(36,0)").alias("gap2"),
+            (is_short * sign).cast("bigint").alias("shorts"), F.when(is_short == 1, gap * sign).otherwise(F.lit(0)).cast("bigint").alias("short_us"),
+            (pairs * sign).cast("bigint").alias("pairs"), oldest.alias("oldest"),
+        )
+
+    no_id = F.lit(None).cast("bigint")
+    none = F.lit(0)
+    own = F.col("packet_id").cast("bigint")
+    out = [event(ts, 2, None, 1, 1, before, none, nothing, own)]
+    both = (short(before) == 1) & (short(after) == 1)
+    for w, size in enumerate(sizes):
+        out.append(event(ts + size + 1, 0, w, -1, 1, after, none, nxt, no_id))
+        holds = both & (prev + size >= nxt)
+        out += [
+            F.when(holds, event(nxt, 1, w, 1, 0, None, F.lit(1), nothing, F.col("next_id").cast("bigint"))),
+            F.when(holds, event(prev + size + 1, 0, w, -1, 0, None, F.lit(1), nothing, no_id)),
+        ]
+    return F.filter(F.array(*out), lambda e: e.isNotNull() & (e["at"] <= F.col("session_last")))
+
+
+def packet_windows(
+    packets: DataFrame, cfg: SessionConfig = SessionConfig(), windows: WindowConfig = WindowConfig()
+) -> DataFrame:
+    """The 28 temporal features as they stand after each packet of a session.
+
+    A window of a packet holds it and the earlier packets of its session (by time, then id) that are not
+    older than the window's size; packets of one time count by their ids. One sweep over entering and leaving
+    packets carries the state of all windows as running sums, cut into time slices: linear in the packets
+    for any size, and no window is read again. Ids must tell packets of one time apart.
+    """
+    sizes = windows.sizes()
+    swept = session_packets(packets, cfg).select(*KEY, "session_first", F.explode(_events(list(sizes.values()), windows.burst_gap_us)).alias("e")).select(
+        *KEY, "session_first", "e.*"
+    ).withColumn("slice", F.expr(f"(at - pmod(at, {cfg.chunk_us})) DIV {cfg.chunk_us}"))
+    kinds = ("n", "bytes", "sumsq", "gap2", "shorts", "short_us", "pairs")
+    here = lambda w, c: F.when(F.col("window").isNull() | (F.col("window") == w), F.col(c)).otherwise(0)
+    # An entering packet comes after the pair that it completes: same time and id, later order.
+    totals = running_totals(
+        swept, KEY, "slice", [F.col("at"), F.col("order") > 0, F.col("id"), F.col("order")],
+        {f"{name}_{c}": here(w, c) for w, name in enumerate(sizes) for c in kinds},
+        {f"{name}_oldest": F.when(F.col("window") == w, F.col("oldest")) for w, name in enumerate(sizes)},
+    ).where("order = 2")
+    measures: dict[str, Column] = {}
+    for name, size in sizes.items():
+        c = lambda s, name=name: F.col(f"{name}_{s}")
+        n, gaps = c("n"), c("n") - 1
+        span = F.col("at") - F.coalesce(c("oldest"), "session_first")
+        duration = F.when(n < 2, size / 1e6).otherwise(F.greatest(span / 1e6, F.lit(FLOOR_S)))
+        bursts = c("shorts") - c("pairs")
+        values = [
+            n / duration, c("bytes") / duration, c("bytes") / n, pop_std(n, c("bytes"), c("sumsq")),
+            F.when(gaps > 0, span / 1e6 / gaps).otherwise(0.0),
+            F.when(gaps > 1, pop_std(gaps, span, c("gap2")) / 1e6).otherwise(0.0),
+            bursts.cast("double"),
+            F.when(bursts > 0, c("short_us") / 1e6 / bursts).otherwise(0.0),
+        ]
+        measures |= {f"{name}_window_{m}": v for m, v in zip(WINDOW_MEASURES, values)}
+    wide = totals.select(*KEY, F.col("at").alias("ts_us"), F.col("id").alias("packet_id"), *[v.alias(k) for k, v in measures.items()])
+    return wide.withColumns(trends()).select(S.session_id().alias("session_id"), *KEY, "ts_us", "packet_id", *TEMPORAL_FEATURES)
+
+
 def sliding_features(
     packets: DataFrame, size_us: int, step_us: int, keys: Sequence[str] = ("src_ip",)
 ) -> DataFrame:

@@ -78,6 +78,47 @@ def _trailing(spark, d):
     return rounded(E.trailing_windows(packets(spark, d), DAY, CFG).drop("session_id"))
 
 
+def _packet_window_sql(name: str, size: int, burst: int) -> str:
+    """Plain reading of the window of each packet: its packets, their gaps, islands of short gaps."""
+    return f"""
+{name}_in AS (SELECT a.packet_id AS own, b.ts_us, b.packet_id, b.length FROM flow a JOIN flow b
+  ON a.session_key = b.session_key AND a.session_seq = b.session_seq AND b.ts_us >= a.ts_us - {size}
+  AND (b.ts_us < a.ts_us OR b.ts_us = a.ts_us AND b.packet_id <= a.packet_id)),
+{name}_gap AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY own ORDER BY ts_us, packet_id) AS gap FROM {name}_in),
+{name}_isl AS (SELECT *, sum(CASE WHEN gap <= {burst} THEN 0 ELSE 1 END) OVER (
+  PARTITION BY own ORDER BY ts_us, packet_id ROWS UNBOUNDED PRECEDING) AS island FROM {name}_gap),
+{name}_burst AS (SELECT own, count(*) AS bursts, avg(dur) AS dur FROM (
+  SELECT own, island, (max(ts_us) - min(ts_us)) / 1e6 AS dur FROM {name}_isl GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL),
+{name}_w AS (SELECT own,
+  CASE WHEN count(*) < 2 THEN {size / 1e6} ELSE greatest((max(ts_us) - min(ts_us)) / 1e6, 0.001) END AS dur,
+  count(*) / dur AS {name}_window_packet_rate, sum(length) / dur AS {name}_window_byte_rate,
+  avg(length) AS {name}_window_packet_size_mean, stddev_pop(length) AS {name}_window_packet_size_std,
+  coalesce(avg(gap / 1e6), 0) AS {name}_window_inter_arrival_mean,
+  coalesce(stddev_pop(gap / 1e6), 0) AS {name}_window_inter_arrival_std FROM {name}_gap GROUP BY ALL)"""
+
+
+def _packet_windows_sql() -> str:
+    names = list(WINDOWS.sizes())
+    parts = ",".join(_packet_window_sql(n, s, WINDOWS.burst_gap_us) for n, s in WINDOWS.sizes().items())
+    joins = "flow JOIN short_w ON packet_id = own" + "".join(f" JOIN {n}_w USING (own)" for n in names[1:])
+    joins += "".join(f" LEFT JOIN {n}_burst USING (own)" for n in names)
+    cols = ", ".join(f"{n}_window_{m}" for n in names for m in WINDOW_MEASURES[:6])
+    cols += "".join(
+        f", coalesce({n}_burst.bursts, 0) AS {n}_window_burst_count, coalesce({n}_burst.dur, 0) AS {n}_window_burst_duration_mean" for n in names
+    )
+    change = "CASE WHEN short_window_{x} > 0 THEN abs(medium_window_{x} - short_window_{x}) / short_window_{x} ELSE 0 END"
+    return f"""WITH {flow_sql()},{parts},
+x AS (SELECT session_key, session_seq, ts_us, packet_id, {cols} FROM {joins})
+SELECT session_key, session_seq, ts_us, packet_id, {', '.join(rd(f, f) for f in TEMPORAL_FEATURES)} FROM (SELECT *,
+  medium_window_packet_rate - short_window_packet_rate AS packet_rate_trend, medium_window_byte_rate - short_window_byte_rate AS byte_rate_trend,
+  {change.format(x='packet_size_mean')} AS packet_size_variation, {change.format(x='inter_arrival_mean')} AS inter_arrival_variation FROM x)"""
+
+
+@query("packet_temporal_features", _packet_windows_sql())
+def _packet_windows(spark, d):
+    return rounded(E.packet_windows(packets(spark, d), CFG, WINDOWS).drop("session_id"))
+
+
 @query("sliding_host_windows", f"""WITH {PACKETS_SQL},
 c AS (SELECT *, unnest(range(ts_us // {4 * HOUR} - 5, ts_us // {4 * HOUR} + 1)) AS w FROM packets),
 g AS (SELECT src_ip, w, count(*) AS n, sum(length) AS b, max(length) AS mx,
