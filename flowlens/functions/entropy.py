@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType
 BLOCK = 1 << 20  # bytes counted at a time, to bound the scratch memory
 
 
-def _blocks(values: Sequence[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def blocks_of_bytes(values: Sequence[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, lengths, bytes) of consecutive rows with about BLOCK bytes in all."""
     sizes = np.fromiter((0 if v is None else len(v) for v in values), dtype=np.int64, count=len(values))
     # Empty rows count too, because each row of a block has 256 counters.
@@ -32,7 +32,7 @@ def _blocks(values: Sequence[bytes | None]) -> Iterator[tuple[int, np.ndarray, n
 
 def _entropies(values: Sequence[bytes | None]) -> np.ndarray:
     out = np.zeros(len(values))
-    for lo, sizes, data in _blocks(values):
+    for lo, sizes, data in blocks_of_bytes(values):
         row = np.repeat(np.arange(len(sizes)), sizes)
         counts = np.bincount(row * 256 + data, minlength=len(sizes) * 256).reshape(-1, 256)
         share = counts / np.maximum(sizes, 1)[:, None]
@@ -71,7 +71,7 @@ def byte_counts(df: DataFrame, keys: Sequence[str], payload: str) -> DataFrame:
                 np.arange(len(groups)), np.diff(members.offsets.to_numpy())
             )
             first = groups["__i_min"].to_numpy()
-            for lo, sizes, data in _blocks(batch[payload].to_pylist()):
+            for lo, sizes, data in blocks_of_bytes(batch[payload].to_pylist()):
                 if len(data) == 0:
                     continue
                 cell, c = np.unique(np.repeat(code[lo : lo + len(sizes)], sizes) * 256 + data, return_counts=True)

@@ -147,6 +147,11 @@ def session_id() -> Column:
     return F.concat(F.col("session_key"), F.lit("#"), F.col("session_seq").cast("string"))
 
 
+def stable_id() -> Column:
+    """Id of a session from its key and start: the same in batches and streams, and whatever else was read with it."""
+    return F.concat(F.col("session_key"), F.lit("@"), F.col("start_us").cast("string"))
+
+
 def _key_ips() -> tuple[Column, Column]:
     """Addresses from the key; the port, if any, is what follows the last colon."""
     def ip(side: Column) -> Column:

@@ -222,7 +222,10 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as analyst feedback; signup events judge anomalies that do not exist."""
-    p = packets(spark, sf_dir)
+    return feedback_of(packets(spark, sf_dir))
+
+
+def feedback_of(p: DataFrame) -> DataFrame:
     known = F.concat(F.lit("f"), F.col("packet_id").cast("string"), F.lit("_"), F.expr("cast(ts_us DIV 1000000 AS string)"))
     return p.select(
         F.col("packet_id").alias("feedback_id"),

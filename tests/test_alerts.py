@@ -55,12 +55,27 @@ def test_stream_throttle_carries_state(spark, tmp_path):
     src = str(tmp_path / "in")
     for part in (times[:300], times[300:650], times[650:]):
         alerts(spark, {"x": part, "y": part[::3]}).coalesce(1).write.mode("append").parquet(src)
-    stream = M.packet_stream(spark, src, SCHEMA, max_files=1)
-    M.run_throttle(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 40)
-    got = sent(spark.read.parquet(str(tmp_path / "out/sent")))
+    stream = M.stream_throttle(M.packet_stream(spark, src, SCHEMA, max_files=1), 40)
+    M.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sent(spark.read.parquet(str(tmp_path / "out")))
     assert got["x"] == greedy(times, 40)
 
 
+def test_stream_throttle_over_many_batches_and_restarts(spark, tmp_path):
+    """One small file per batch, the query stopped and started again: state is one number per type."""
+    src, times = str(tmp_path / "in"), sorted(random.Random(3).sample(range(20_000), 600))
+    for run in range(3):
+        for i in range(8):
+            part = times[(run * 8 + i) * 25 : (run * 8 + i + 1) * 25]
+            alerts(spark, {"x": part, "quiet": part[:1]}).coalesce(1).write.mode("append").parquet(src)
+        stream = M.stream_throttle(M.packet_stream(spark, src, SCHEMA, max_files=1), 70)
+        M.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sent(spark.read.parquet(str(tmp_path / "out")))
+    assert got == {"x": greedy(times, 70), "quiet": greedy(times[::25], 70)}
+    state = spark.read.format("statestore").load(str(tmp_path / "cp"))
+    assert state.count() == 2  # one row per type after 24 batches
+
+
 def test_histogram_closes_last_bin(spark):
     df = spark.createDataFrame([(True, x / 10) for x in range(11)] + [(False, 0.5)] * 3, "is_anomaly boolean, anomaly_score double")
     rows = {(r.is_anomaly, r.bin): r.n for r in reports.score_histogram(df, 10).collect()}
