@@ -64,7 +64,7 @@ def test_read_pcapng_beside_pcap(spark, tmp_path, order, units):
     assert [(r.ts_us, bytes(r.frame)) for r in rows] == frames[:-1]
     assert len({r.packet_id for r in rows}) == len(rows)
     rejects = {r.path.rsplit("/", 1)[1]: r.reason for r in pcap.pcap_rejects(spark, str(tmp_path)).collect()}
-    assert rejects == {"d.txt": "unknown format"}
+    assert rejects == {"d.txt": "unknown format", "c.pcapng": "cut off"}
 
 
 def test_decode_tags_lengths_and_fragments(spark):
