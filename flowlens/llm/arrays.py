@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that it has an inverse modulo 2^64
-INVERSE = pow(BASE, -1, 1 << 64)
+PRIME = (1 << 61) - 1  # modulo a power of two, texts in the order of Thue and Morse would hash alike
+BASE = 0x9E3779B97F4A7C15 % PRIME
+INVERSE = pow(BASE, -1, PRIME)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -46,11 +47,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+LOW30, LOW31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo PRIME."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2^31 modulo PRIME, below 2^62, for x below 2^61: bits from 2^61 on count from 2^0 again."""
+    return (x >> np.uint64(30)) + ((x & LOW30) << np.uint64(31))
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME of numbers below it, from halves of 31 bits."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & LOW31, b >> np.uint64(31), b & LOW31
+    return reduced(a1 * b1 * np.uint64(2) + shifted(a1 * b0 + a0 * b1) + a0 * b0)
+
+
 @lru_cache(maxsize=4)
 def _powers(base: int, bits: int) -> np.ndarray:
-    out = np.full(1 << bits, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    out = np.ones(1 << bits, np.uint64)
+    for i in range(bits):
+        n = 1 << i
+        out[n : 2 * n] = product(out[:n], np.uint64(pow(base, n, PRIME)))
+    return out
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -58,15 +81,17 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Running polynomial sums; ``window`` takes the hash of any stretch from them."""
+    """Running polynomial sums modulo PRIME; ``window`` takes the hash of any stretch from them."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=out[1:])
+    value, power = data.astype(np.uint64) + np.uint64(1), powers(BASE, len(data))
+    low, high = np.cumsum(value * (power & LOW31)), np.cumsum(value * (power >> np.uint64(31)))
+    out[1:] = reduced(reduced(low) + shifted(reduced(high)))
     return out
 
 
 def window(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of ``data[start:end]``, equal for equal bytes wherever they stand; lengths are part of it."""
-    raw = (sums[ends] - sums[starts]) * powers(INVERSE, len(sums))[starts]
+    raw = product(reduced(sums[ends] + (np.uint64(PRIME) - sums[starts])), powers(INVERSE, len(sums))[starts])
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.arrays import flat, prefix_hashes, window
+from flowlens.llm.arrays import flat, mix, prefix_hashes, window
 from flowlens.llm.tables import saved, slices
 
 GRAM = 100
@@ -65,7 +65,8 @@ def anchors_of(data: np.ndarray, borders: np.ndarray, length: int) -> tuple[np.n
     new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (rows[1:] != rows[:-1])])) if len(x) else np.zeros(0, np.int64)
     last = np.concatenate([new[1:], [len(x)]])[: len(new)] - 1
     base = borders[rows[new]]
-    return rows[new], hashes[x[new]].view(np.int64), x[new] - base, starts[new] - base, starts[last] - base
+    # Anchors have small hashes: mixed once more, their grams spread evenly over the ranges.
+    return rows[new], mix(hashes[x[new]]).view(np.int64), x[new] - base, starts[new] - base, starts[last] - base
 
 
 def shared(a: bytes, b: bytes, start: int) -> int:
