@@ -4,13 +4,15 @@ A document is the set of its word 5-grams, as hashes. Two sets of similarity 0.7
 of the first quarter of their grams in any common order, so only those *prefixes* are compared to find
 candidates; grams that are frequent come last in that order, so that boilerplate seldom matters.
 
-1. Equal sets become one class. Classes that share a prefix gram are dealt into groups by minimum hashes,
-   and each is compared with one representative of its groups. That links most copies, however many,
-   with one comparison each.
-2. Classes that share a prefix gram but are not connected yet are compared through the matrix: they are
-   partitioned into groups of similar classes, each group stores the union of its grams, and a class
-   counts its grams in the union. Only if that bound reaches what similarity 0.75 needs is the group
-   opened and its members compared one by one. Nothing is capped: whatever may link is compared.
+All links come through a matrix of groups and grams: classes of similar documents form a group, which stores
+the union of its grams; a class counts its own grams in the union, and only if that bound reaches what
+similarity 0.75 needs is the group opened and its members compared one by one.
+
+1. Equal sets become one class. Classes that share a prefix gram are dealt to keys by minimum hashes; the
+   first classes of a key are its group, and all classes of the key ask it. That links most copies, however
+   many, with few comparisons each.
+2. Classes that share a prefix gram but are not connected yet ask the groups that hold it: now all classes
+   are partitioned into groups. Nothing is capped: whatever may link is compared.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.arrays import NOT_SPACE, flat, mix, word_hashes, words
@@ -33,7 +35,8 @@ CHUNK = 1_500_000  # prefix grams that a task holds at a time
 COUNTED = 4_000_000  # grams among which a task looks for frequent ones at a time
 BUCKET = 1_000_000  # prefix grams per bucket aimed at
 KEYS = 2  # groups that a class is dealt into in the first step
-GROUP = 64  # classes per group of the matrix
+HEADS = 8  # classes per group of a key, in the first step
+GROUP = 64  # classes per group of the matrix, in the second
 QUERIES = 256  # queries per task and group
 
 FACTORS = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -141,7 +144,8 @@ def prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) -
         owner = np.repeat(np.arange(len(grams), dtype=np.uint32), [len(g) for g in grams])
         g, h = np.concatenate(grams), np.array(names, np.int64)
         often = np.bitwise_and(hot[g >> np.uint64(64 - HOT_BITS + 3)], np.uint8(1) << ((g >> np.uint64(64 - HOT_BITS)) & np.uint64(7)).astype(np.uint8)) > 0
-        bucket = ((g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        # Prefixes hold the least grams of sorted sets: mixed, they spread evenly over the buckets.
+        bucket = ((mix(g) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         # Frequent grams need not meet to be known as shared: they are spread by class.
         bucket[often] = (mix(h.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[owner[often]]
         code = bucket * 2 + often
@@ -167,7 +171,7 @@ def prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) -
             often = np.bitwise_and(hot[s >> np.uint64(64 - HOT_BITS + 3)], np.uint8(1) << ((s >> np.uint64(64 - HOT_BITS)) & np.uint64(7)).astype(np.uint8)) > 0
             p = prefix_size(len(s))
             names.append(h)
-            grams.append(np.concatenate([s[~often], s[often]])[:p])
+            grams.append(np.concatenate([s[~often], s[often]])[:p].copy())  # a view would keep the whole set
             size += p
         if size >= CHUNK:
             yield flush()
@@ -195,8 +199,10 @@ def shared_grams(group: pa.Table) -> pa.Table:
         sure[0].append(g[keep])
         sure[1].append(h[keep])
     g, h = np.concatenate(sure[0]), np.concatenate(sure[1])
-    pairs = np.unique(np.stack([g.view(np.int64), h]), axis=1) if len(g) else np.zeros((2, 0), np.int64)
-    return pa.table({"gram": pa.array(pairs[0], pa.int64()), "h": pa.array(pairs[1], pa.int64())})
+    order = np.lexsort((h, g))
+    g, h = g[order], h[order]
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])])[: len(g)]
+    return pa.table({"gram": pa.array(g[new].view(np.int64)), "h": pa.array(h[new])})
 
 
 def full_sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -212,19 +218,6 @@ def full_sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator
             )
 
 
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) whose sets are similar."""
-    for batch in slices(batches, 1024):
-        left, right = batch.column("grams").to_pylist(), batch.column("other").to_pylist()
-        keep = []
-        for x, y in zip(left, right):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            keep.append(bool(similar(int((y[at] == x).sum()), len(x), len(y))))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def open_groups(members: pa.Table, queries: pa.Table) -> pa.Table:
     """Links of queries into a group: the union's bound first, the members only if it is reached."""
     out: tuple[list[int], list[int]] = ([], [])
@@ -347,6 +340,31 @@ def grams_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame, name: str)
     return saved(found.join(wanted, "h", "left_semi").groupBy("h").agg(F.max("n").alias("n"), F.max("grams").alias("grams")), name)
 
 
+def within_reach(common: Column, n: Column) -> Column:
+    """Whether a set of size n that shares so many prefix grams with a group's union may be similar to a set of ``least`` to ``most`` grams."""
+    low, high = F.greatest("least", F.ceil(3 * n / 4)), F.least("most", F.floor(4 * n / 3))
+    # What is needed grows with the partner's size up to n and then falls, but for steps of one: least at the ends.
+    reached = likely(common, n, low) | likely(common, n, high) | likely(common, n, F.greatest(low, high - 1))
+    return (low <= high) & reached
+
+
+def opened(texts: DataFrame, classes: DataFrame, queries: DataFrame, members: DataFrame, name: str) -> DataFrame:
+    """Links between the classes of ``queries`` and the groups that they ask, both with (h, part, into), by the union's bound and then the members.
+
+    Whole sets meet where a group's members and its queries do; queries of one group are salted.
+    """
+    salts = saved(queries.groupBy("into").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts")), f"{name}-salts")
+    asked = queries.join(salts, "into").withColumn("salt", F.pmod(F.xxhash64("h"), F.col("salts")).cast("int")).drop("salts")
+    answering = saved(members.join(salts, "into"), f"{name}-answering").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    sets = grams_of(texts, classes, queries.select("h").unionByName(answering.select("h")), name)
+    with_sets = lambda rows: rows.join(sets.select("h", "grams"), "h").select(
+        *[F.col(c).alias(c) for c in ("into", "salt", "h", "part", "grams")]  # new names, as the tables stand on both sides
+    )
+    return with_sets(answering).groupBy("into", "salt").cogroup(with_sets(asked).groupBy("into", "salt")).applyInArrow(
+        open_groups, "a long, b long"
+    )
+
+
 def linked(texts: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:
     """Links between classes that connect whatever is connected by similar sets (not all links)."""
     keys = saved(
@@ -355,29 +373,28 @@ def linked(texts: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFra
         ).join(classes, "h"),
         "gram-keys",
     )
-    # First step: everyone with one representative of like size for each of its keys.
+    # First step: everyone asks the groups of like size of its keys.
     sized = lambda i: F.floor(F.log("n") / math.log(4 / 3) + i / KEYS).cast("int")
-    dealt = saved(
-        keys.select("h", F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k"), sized(i).alias("size")) for i in range(KEYS)
-        ])).alias("g")).select("h", "g.*"),
-        "gram-dealt",
-    )
-    pivots = saved(dealt.groupBy("i", "k", "size").agg(F.min("h").alias("pivot")), "gram-pivots")
-    pairs = dealt.join(pivots, ["i", "k", "size"]).where("h <> pivot").select("h", "pivot").distinct()
-    one = keys.select("h", F.col("shared").alias("x"), F.col("n").alias("a"))
-    two = keys.select(F.col("h").alias("pivot"), F.col("shared").alias("y"), F.col("n").alias("b"))
-    near = saved(
-        pairs.join(one, "h").join(two, "pivot").where(likely(F.size(F.array_intersect("x", "y")), F.col("a"), F.col("b"))).select("h", "pivot"),
-        "gram-near",
-    )
-    sets = grams_of(texts, classes, near.select("h").unionByName(near.select(F.col("pivot").alias("h"))), "gram-sets")
-    other = sets.select(F.col("h").alias("pivot"), F.col("grams").alias("other"))
-    first = saved(
-        near.join(sets.select("h", "grams"), "h").join(other, "pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b"), "grams", "other")
-        .mapInArrow(compare, "a long, b long"),
-        "gram-links",
+    dealt = keys.withColumn("g", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k"), sized(i).alias("size")) for i in range(KEYS)
+    ]))).select("h", "n", "shared", "g.*")
+    into = F.xxhash64("i", "k", "size").alias("into")
+    # The group of a key: its first classes. Tasks keep so many of each before anything moves.
+    first_of = Window.partitionBy("i", "k", "size").orderBy("h")
+    chosen = dealt.select("h", "i", "k", "size").withColumn("rank", F.row_number().over(first_of))
+    heads = saved(chosen.where(F.col("rank") <= HEADS).join(keys, "h").select(into, "h", "n", "shared"), "gram-heads")
+    unions = saved(
+        heads.groupBy("into").agg(
+            F.array_distinct(F.flatten(F.collect_list("shared"))).alias("union"), F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("members"),
+        ).where("members > 1"),
+        "gram-unions",
     )
+    asking = dealt.select(into, "h", "n", "shared").join(unions, "into")
+    # Half of the bound needs no whole set: what a class shares with the union by its prefix.
+    common = F.size(F.array_intersect("shared", "union"))
+    own = F.col("h").alias("part")
+    asked_first = saved(asking.where(common > 0).where(within_reach(common, F.col("n"))).select("h", own, "into"), "gram-near")
+    first = saved(opened(texts, classes, asked_first, heads.select("into", "h", own), "gram-sets"), "gram-links")
     parts = components(first, "gram-first")
     # Second step: grams that still stand between components, with the groups of the matrix.
     placed = keys.select("h", "n", "k0").join(parts.select(F.col("id").alias("h"), "component_id"), "h", "left").withColumn(
@@ -414,26 +431,6 @@ def linked(texts: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFra
         .where((F.col("rank") < F.col("top")) & (4 * F.col("n") >= 3 * F.col("from")) & (4 * F.col("to") >= 3 * F.col("n")))
         .groupBy("h", "n", "part", "into").agg(F.count(F.lit(1)).alias("common"))
     )
-    n = F.col("n")
-    low, high = F.greatest("least", F.ceil(3 * n / 4)), F.least("most", F.floor(4 * n / 3))
-    # What is needed grows with the partner's size up to n and then falls, but for steps of one: least at the ends.
-    reached = likely(F.col("common"), n, low) | likely(F.col("common"), n, high) | likely(F.col("common"), n, F.greatest(low, high - 1))
-    queries = saved(
-        counted.join(sizes, "into").where((low <= high) & reached)
-        .select("h", "part", "into"),
-        "gram-queries",
-    )
-    salts = saved(queries.groupBy("into").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts")), "gram-salts")
-    asked = queries.join(salts, "into").withColumn("salt", F.pmod(F.xxhash64("h"), F.col("salts")).cast("int")).drop("salts")
-    answering = saved(members.join(salts.withColumnRenamed("into", "g"), "g"), "gram-answering").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-    ).select(F.col("g").alias("into"), "salt", "h", "part")
-    opened = grams_of(texts, classes, queries.select("h").unionByName(answering.select("h")), "gram-opened")
-    # The second bound, and the comparison, are made where a group's classes and its queries meet.
-    with_sets = lambda rows: rows.join(opened.select("h", "grams"), "h").select(
-        *[F.col(c).alias(c) for c in ("into", "salt", "h", "part", "grams")]  # new names, as the tables stand on both sides
-    )
-    second = with_sets(answering).groupBy("into", "salt").cogroup(with_sets(asked).groupBy("into", "salt")).applyInArrow(
-        open_groups, "a long, b long"
-    )
+    queries = saved(counted.join(sizes, "into").where(within_reach(F.col("common"), F.col("n"))).select("h", "part", "into"), "gram-queries")
+    second = opened(texts, classes, queries, members.select(F.col("g").alias("into"), "h", "part"), "gram-opened")
     return first.unionByName(second)
