@@ -1,14 +1,17 @@
-"""Benchmark decontamination by anchor words, with DataFrame functions only.
+"""Benchmark decontamination by spaced seeds, with DataFrame functions only.
 
-A copy that keeps 70 % of an item's words keeps five of some seven neighbouring words, wherever the others
-were replaced. So one of any three of those seven is kept: the three rarest words of every stretch of
-seven are anchors, joined with the words of the texts. Where enough words near a meeting are equal, item
-and text are compared word by word along the line on which they meet.
+A *mask* keeps some of the words under it and ignores the others; the hash of the kept ones is a *seed*. A
+copy that keeps 70 % of an item's words keeps five of some seven neighbouring words, wherever the others
+were replaced, and a fixed family of masks of four words is chosen such that one of them keeps equal words
+only in each of these cases, and in those of shorter items. So every such pair shares a seed: seeds of
+items and texts are joined, and item and text are compared word by word along the line on which they meet.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +21,10 @@ from flowlens.llm.tables import saved
 STRETCH = 12  # words: overlaps of at least so many are judged, and whole items below
 FLOOR = 4  # equal words asked of an item that has as many; shorter ones must be whole
 LEAST_ITEM = 2  # a single word is no passage
-REACH = 6  # words on either side of an anchor that are compared first
+WEIGHT = 4  # words that a mask keeps
+WIDEST = 7  # words in a row that a mask is laid on in a long item
 NOT_WORD = "[^\\p{L}\\p{N}]+"
-BROADCAST_ANCHORS = 500_000  # more anchors than this are joined by shuffling
+BROADCAST_SEEDS = 500_000  # more seeds than this are joined by shuffling
 
 
 def words_of(text: Column) -> Column:
@@ -28,7 +32,7 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_WORD), "")
 
 
-def window(agreement: float, shortest: int = STRETCH, widest: int = REACH + 1) -> tuple[int, int]:
+def window(agreement: float, shortest: int = STRETCH, widest: int = WIDEST) -> tuple[int, int]:
     """Sizes (w, k): any ``shortest`` words or more of which a share of ``agreement`` is equal have k equal ones in some w in a row.
 
     Were there k - 1 at most in each, q stretches of w words and r words more had at most q * (k - 1) + min(r, k - 1).
@@ -46,32 +50,51 @@ def needed(n: int, agreement: float) -> int:
     return max(math.ceil(agreement * n - 1e-9), min(n, FLOOR))
 
 
-def anchors(benchmark: DataFrame, agreement: float = 0.7, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row per item and place of an anchor: the words of the item, the place ``at``, its ``word`` and the other words to be equal nearby.
+def cover(needs: list[tuple[int, int]], weight: int = WEIGHT) -> list[tuple[int, ...]]:
+    """Fixed masks, as the places they keep: whichever k of n words are equal, for each (n, k) of ``needs`` some mask keeps equal ones only.
 
-    Anchors of an item under STRETCH words are taken from the whole item. Items under LEAST_ITEM words give none.
+    Greedy: the mask that serves most of what is left comes next.
     """
-    items = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("item")).where(F.size("item") >= LEAST_ITEM)
-    placed = items.select("item_id", "item", F.posexplode("item").alias("at", "word"))
-    rare = placed.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
-    w, k = window(agreement)
-    asked = F.element_at(F.array(*[F.lit(needed(n, agreement)) for n in range(1, STRETCH)]), F.least(F.size("item"), F.lit(STRETCH - 1)))
-    short = F.size("item") < STRETCH
-    ranked = (
-        placed.join(rare, "word")
-        .groupBy("item_id", "item").agg(F.array_sort(F.collect_list(F.struct("at", "uses", (-F.length("word")).alias("len"), "word"))).alias("places"))
-        .withColumn("w", F.when(short, F.size("item")).otherwise(F.lit(w))).withColumn("k", F.when(short, asked).otherwise(F.lit(k)))
-    )
-    # Repeated items with one id are grouped into one with repeated places; their order by place is that of the words.
-    places = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda i: F.element_at(F.filter("places", lambda x: x["at"] == i), 1))
-    taken = F.flatten(F.transform(F.sequence(F.lit(0), F.size("item") - F.col("w")), lambda s: F.slice(
-        F.array_sort(F.transform(F.slice("places", s + 1, F.col("w")), lambda x: F.struct(x["uses"], x["len"], x["at"], x["word"]))), F.lit(1), F.col("w") - F.col("k") + 1,
-    )))
-    # An item of up to STRETCH - 1 words may reach further than the words compared first.
-    nearby = F.col("k") - 1 - F.greatest(F.lit(0), F.col("w") - REACH - 1)
-    return ranked.withColumn("places", places).select("item_id", "item", nearby.alias("nearby"), F.explode(F.array_distinct(taken)).alias("a")).select(
-        "item_id", "item", "nearby", F.col("a.at").alias("at"), F.col("a.word").alias("word")
-    )
+    left = [(set(equal), n) for n, k in needs for equal in itertools.combinations(range(n), k)]
+    fits = lambda mask, equal, n: any(all(o + s in equal for o in mask) for s in range(n - mask[-1]))
+    widest = max((n for n, _ in needs), default=0)
+    known = [(0, *rest) for rest in itertools.combinations(range(1, widest), weight - 1)]
+    chosen: list[tuple[int, ...]] = []
+    while left:
+        served = {m: sum(fits(m, *x) for x in left) for m in known}
+        best = min(known, key=lambda m: (-served[m], m[-1], m))
+        chosen.append(best)
+        left = [x for x in left if not fits(best, *x)]
+    return chosen
+
+
+@lru_cache(maxsize=8)
+def masks(agreement: float) -> dict[tuple[int, ...], tuple[int, int]]:
+    """The masks, each with the least and largest number of words of items that it is laid on.
+
+    Together they meet every pair that may count. Items of fewer than WEIGHT words have one mask that keeps them whole.
+    """
+    short = [(n, needed(n, agreement)) for n in range(LEAST_ITEM, STRETCH)]
+    out: dict[tuple[int, ...], tuple[int, int]] = {}
+    for weight in sorted({min(k, WEIGHT) for _, k in [*short, window(agreement)]}):
+        needs = [x for x in [*short, window(agreement)] if min(x[1], WEIGHT) == weight]
+        long = window(agreement) in needs
+        for mask in cover(needs, weight):
+            out[mask] = (max(min(n for n, _ in needs), mask[-1] + 1), 1 << 30 if long else max(n for n, _ in needs))
+    return out
+
+
+def seeds(words: Column, at: Column, used: list[tuple[int, ...]], agreement: float, items: bool = False) -> Column:
+    """Hashes of the words that each mask keeps when it begins at a place; null where it does not fit."""
+    known = masks(agreement)
+    out = []
+    for number, mask in enumerate(known):
+        if mask in used:
+            fits = at + mask[-1] < F.size(words)
+            if items:
+                fits &= F.size(words).between(*known[mask])
+            out.append(F.when(fits, F.xxhash64(F.lit(number), *[F.get(words, at + o) for o in mask])))
+    return F.array(*out)
 
 
 def contaminated(
@@ -88,15 +111,23 @@ def contaminated(
     for. The line with most equal words is reported. Texts without a match, null or empty ones, and null ids
     have no row; rows that share an id are judged together. Every position of every text is looked up.
     """
-    found = saved(anchors(benchmark, agreement, item_id, item_text), "anchors")
-    if found.count() <= BROADCAST_ANCHORS:
-        found = F.broadcast(found)
-    placed = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")).where("id IS NOT NULL").select(
-        "id", "words", F.posexplode_outer("words").alias("p", "word")  # outer: else the words are split twice, for a filter on their number
+    items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("item")).where(F.size("item") >= LEAST_ITEM)
+    sizes = [r[0] for r in items.select(F.least(F.size("item"), F.lit(STRETCH))).distinct().collect()]  # at most STRETCH numbers
+    used = [m for m, (low, high) in masks(agreement).items() if any(low <= n <= high for n in sizes)] or [*masks(agreement)][:1]
+    found = saved(
+        items.select("item_id", "item", F.posexplode("item").alias("at", "word"))
+        .select("item_id", "item", "at", F.explode(seeds(F.col("item"), F.col("at"), used, agreement, items=True)).alias("seed")).where("seed IS NOT NULL"),
+        "seeds",
     )
-    # Spelt out place by place, it stays inside generated code, so no row is built before a hit is found.
-    same = lambda d: F.coalesce((F.get("item", F.col("at") + d) == F.get("words", F.col("p") + d)).cast("int"), F.lit(0))
-    hits = placed.join(found, "word").where(sum([same(d) for d in range(-REACH, REACH + 1) if d], F.lit(0)) >= F.col("nearby"))
+    texts = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")).where("id IS NOT NULL")
+    placed = texts.select(
+        "id", "words", F.posexplode_outer("words").alias("p", "word")  # outer: else the words are split twice, for a filter on their number
+    ).select("id", "words", "p", F.explode(seeds(F.col("words"), F.col("p"), used, agreement)).alias("seed"))
+    if found.count() <= BROADCAST_SEEDS:
+        hits = placed.join(F.broadcast(found), "seed")
+    else:  # only hashes and places travel; words are fetched for what met
+        met = placed.select("id", "p", "seed").join(found.select("seed", "item_id", "at"), "seed").select("id", "item_id", (F.col("p") - F.col("at")).alias("p")).distinct()
+        hits = met.withColumn("at", F.lit(0)).join(items, "item_id").join(texts, "id")
     hits = hits.withColumn("shift", F.col("p") - F.col("at"))
     agree = lambda low, high: F.aggregate(
         F.sequence(low, high - 1), F.lit(0),
