@@ -80,7 +80,8 @@ def numbered(leaves: DataFrame) -> DataFrame:
     Rows that are equal in every column are interchangeable: the last sort key spreads them.
     """
     order = ["tree", "at", "leaf", "salt"]
-    ranged = leaves.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    # Written first: finding the ranges reads the rows twice, and texts should be hashed once.
+    ranged = saved(leaves.withColumn("salt", F.xxhash64(F.monotonically_increasing_id())), "manifest-hashed")
     run = saved(
         ranged.repartitionByRange(*order).sortWithinPartitions(*order).drop("at", "salt")
         .withColumn("mid", F.monotonically_increasing_id()).withColumn("range", F.shiftright("mid", 33)),
