@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -202,6 +203,20 @@ def centred(x: np.ndarray, n: int, sums: list[int]) -> np.ndarray:
     return (x - base) - rest
 
 
+def totals(df: DataFrame, width: int) -> tuple[int, list[int]]:
+    """Number of rows and the sum of each entry, exactly: tasks add whole numbers, Spark adds the tasks' sums."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = 0, [0] * width
+        for _, x in blocks(batches, width):
+            n += len(x)
+            sums = [s + int(v) for s, v in zip(sums, x.sum(axis=0))]  # of ROWS numbers below 2^41
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, width), pa.int32()), pa.array([Decimal(v) for v in (n, *sums)], pa.decimal128(28, 0))], names=["i", "s"])
+
+    told = {r["i"]: int(r["s"]) for r in df.select("x").mapInArrow(partial, "i int, s decimal(28,0)").groupBy("i").agg(F.sum("s").alias("s")).collect()}
+    return told.get(-1, 0), [told.get(i, 0) for i in range(width)]
+
+
 def squares(df: DataFrame, n: int, sums: list[int], project: np.ndarray | None = None) -> np.ndarray:
     """Sum over the rows of the products of all pairs of centred entries, or of those of their projections; /n is the covariance.
 
@@ -253,8 +268,7 @@ class Whitening:
 def fit(rows: DataFrame, width: int, components: int = COMPONENTS) -> Whitening:
     """Fits on the distinct vectors ``x`` of ``rows``, all of length ``width``."""
     distinct = saved(rows.select("x").distinct(), "whitening-fit")
-    told = distinct.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("x")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(width)]).first()
-    n, sums = told["n"], [int(told[f"s{i}"]) for i in range(width)] if told["n"] else [0] * width
+    n, sums = totals(distinct, width)
     v = squares(distinct, n, sums) / n if n else np.zeros((width, width))
     spectrum = leading(v, components)
     found = Whitening(n, sums, spectrum, float(np.trace(v)), 0.0)
