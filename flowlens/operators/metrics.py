@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.scale import chunk_totals, score_cell
+from flowlens.operators.scale import chunk_totals, ordered_bits, radix_cells
 
 # The swept thresholds, 0.10 to 0.85 in steps of 0.05.
 THRESHOLDS = [round(0.10 + 0.05 * i, 2) for i in range(16)]
@@ -88,47 +88,46 @@ def classification_report(df: DataFrame) -> DataFrame:
     )
 
 
-def score_counts(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives per distinct score, with the cell of the score."""
+def score_counts(df: DataFrame, keys: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """Positives and negatives per distinct score, with the coarse and the middle cell of the score."""
+    coarse, middle = radix_cells(ordered_bits(-F.col("score") if descending else F.col("score")))
     return (
         df.groupBy(*keys, "score")
         .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-        .withColumn("cell", score_cell("score"))
+        .withColumns({"coarse": coarse, "middle": middle})
     )
 
 
 def auc(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Exact ROC AUC with ties counted half; 0 if only one class is present.
 
-    Pairs inside a score cell are counted there; pairs across cells need only cell totals.
+    Pairs of distinct scores are counted inside the middle cells, then between the middle cells of a coarse
+    one, then between the coarse ones. Scores may have any range and any distribution.
     """
-    counts = score_counts(df, keys)
-    lower = Window.partitionBy(*keys, "cell").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(lower), F.lit(0))
-    won = F.col("pos").cast("double") * (below + F.col("neg") / 2)
-    cells = counts.withColumn("won", won).groupBy(*keys, "cell").agg(
-        F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-    )
-    before = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    across = F.col("pos").cast("double") * F.coalesce(F.sum("neg").over(before), F.lit(0))
-    total = cells.withColumn("across", across).groupBy(*keys).agg(
-        (F.sum("won") + F.sum("across")).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-    )
+    counts = score_counts(df, keys).withColumn("won", F.col("pos").cast("double") * F.col("neg") / 2)
+    for cells, order in ((["coarse", "middle"], "score"), (["coarse"], "middle"), ([], "coarse")):
+        lower = Window.partitionBy(*keys, *cells).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        below = F.col("pos").cast("double") * F.coalesce(F.sum("neg").over(lower), F.lit(0))
+        counts = counts.withColumn("won", F.col("won") + below).groupBy(*keys, *cells).agg(
+            *[F.sum(c).alias(c) for c in ("won", "pos", "neg")]
+        )
     pairs = F.col("pos").cast("double") * F.col("neg")
-    return total.select(*keys, F.when(pairs > 0, F.col("won") / pairs).otherwise(0.0).alias("auc"))
+    return counts.select(*keys, F.when(pairs > 0, F.col("won") / pairs).otherwise(0.0).alias("auc"))
 
 
 def curve_counts(df: DataFrame) -> DataFrame:
     """Per distinct score: positives and negatives scored at least as high, and the totals."""
-    counts = score_counts(df).withColumn("down", -F.col("cell"))
-    inside = Window.partitionBy("down").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    carried = chunk_totals(counts, [], "down", {"pos_before": F.col("pos"), "neg_before": F.col("neg")})
+    counts = score_counts(df, descending=True)
+    inside = Window.partitionBy("coarse", "middle").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"pos": F.col("pos"), "neg": F.col("neg")}
+    of_middle = chunk_totals(counts, ["coarse"], "middle", {f"{n}_middle": c for n, c in sums.items()})
+    of_coarse = chunk_totals(counts, [], "coarse", {f"{n}_coarse": c for n, c in sums.items()})
     local = counts.withColumns({"tp_in": F.sum("pos").over(inside), "fp_in": F.sum("neg").over(inside)})
     total = counts.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
-    return local.join(carried, "down").select(
+    return local.join(of_middle, ["coarse", "middle"]).join(of_coarse, "coarse").select(
         "score", "pos", "neg",
-        (F.col("tp_in") + F.col("pos_before")).alias("tp"),
-        (F.col("fp_in") + F.col("neg_before")).alias("fp"),
+        (F.col("tp_in") + F.col("pos_middle") + F.col("pos_coarse")).alias("tp"),
+        (F.col("fp_in") + F.col("neg_middle") + F.col("neg_coarse")).alias("fp"),
         total.alias("total"),
     ).select("score", "pos", "neg", "tp", "fp", "total.*")
 

@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.operators.scale import (
-    hashed_head, hashed_row_number, join_small, value_cell,
-)
+from flowlens.operators.scale import RADIX, hashed_head, hashed_row_number, join_small, ordered_bits
 from flowlens.schemas import ADDRESS_COLUMNS, MODEL_FEATURES, NON_NEGATIVE
 
 SEED = 42
@@ -64,35 +62,45 @@ def require_label(df: DataFrame) -> DataFrame:
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact medians (feature, median), nulls ignored.
 
-    Values are first counted per cell of a signed log scale. The cell counts tell which
-    cells hold the middle values; only those cells are read again, value by value.
+    The two middle values are found digit by digit in the ordered images of the values: each pass counts
+    the next digit among the rows that agree in all digits before, so a task holds at most the cells of
+    one digit and no value list is ever sorted, whatever the distribution. Between passes at most two
+    cells per feature reach the driver.
     """
+    spark = df.sparkSession
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
     )
-    values = df.select(pairs.alias("p")).select("p.feature", "p.v").where("v IS NOT NULL").withColumn(
-        "cell", value_cell("v", 1 << 14)
-    )
-    upto = Window.partitionBy("feature").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("feature")
-    cells = values.groupBy("feature", "cell").agg(F.count(F.lit(1)).alias("n")).select(
-        "feature", "cell", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("total")
-    )
-    # The two middle ranks, 1-based; equal for an odd count.
-    lo, hi = F.expr("(total + 1) DIV 2"), F.expr("total DIV 2 + 1")
-    before = F.col("upto") - F.col("n")
-    wanted = cells.withColumns({"before": before, "lo": lo, "hi": hi}).where(
-        ((F.col("before") < F.col("lo")) & (F.col("lo") <= F.col("upto")))
-        | ((F.col("before") < F.col("hi")) & (F.col("hi") <= F.col("upto")))
-    ).select("feature", "cell", "before", "lo", "hi")
-    near = join_small(values, wanted.select("feature", "cell"), ["feature", "cell"], "left_semi")
-    counted = near.groupBy("feature", "cell", "v").agg(F.count(F.lit(1)).alias("n"))
-    inside = Window.partitionBy("feature", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("in_cell", F.sum("n").over(inside)).join(wanted, ["feature", "cell"])
-    last = F.col("before") + F.col("in_cell")
-    first = last - F.col("n")
-    hits = lambda r: F.when((first < F.col(r)) & (F.col(r) <= last), F.col("v"))
-    return ranked.groupBy("feature").agg(((F.max(hits("lo")) + F.max(hits("hi"))) / 2).alias("median"))
+    values = df.select(pairs.alias("p")).select("p.feature", "p.v").where("v IS NOT NULL").withColumn("bits", ordered_bits("v"))
+    wanted, left = None, sum(RADIX)
+    whole = Window.partitionBy("feature", "prefix")
+    upto = whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    for digit in RADIX:
+        above, left = left, left - digit
+        cell = F.shiftright("bits", left)
+        if wanted is None:
+            near = values.select("feature", F.lit(0).cast("bigint").alias("prefix"), cell.alias("cell"), "v")
+        else:
+            # Two cells per feature at most.
+            cells = F.broadcast(wanted.select("feature", "prefix").distinct())
+            near = values.withColumn("prefix", F.shiftright("bits", above)).join(cells, ["feature", "prefix"]).select(
+                "feature", "prefix", cell.alias("cell"), "v"
+            )
+        # In the last pass a cell is one value.
+        counted = near.groupBy("feature", "prefix", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).select(
+            "*", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("total")
+        )
+        if wanted is None:
+            # The two middle ranks, 1-based; equal for an odd count.
+            ranked = counted.withColumn("rank", F.explode(F.array(F.expr("(total + 1) DIV 2"), F.expr("total DIV 2 + 1"))))
+        else:
+            ranked = counted.join(F.broadcast(wanted), ["feature", "prefix"])
+        hit = ranked.where((F.col("upto") - F.col("n") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
+        if left:
+            rows = hit.select("feature", F.col("cell").alias("prefix"), (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")).collect()
+            wanted = spark.createDataFrame(rows, "feature string, prefix bigint, rank bigint")
+    # Both ranks may fall on one value: two rows then.
+    return hit.groupBy("feature").agg(F.avg("v").alias("median"))
 
 
 def _as_row(long: DataFrame, columns: Sequence[str], value: str) -> Column:

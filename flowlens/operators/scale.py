@@ -159,16 +159,31 @@ def salted_join(
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
-def score_cell(score: str | Column, cells: int = 1 << 20) -> Column:
-    """Monotone cell of a score; out-of-range scores fall into the outer cells."""
-    s = F.col(score) if isinstance(score, str) else score
-    return F.floor(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)) * cells).cast("int")
+def ordered_bits(value: str | Column) -> Column:
+    """64-bit image of a double in the same order; equal only for equal values. NaN comes last, null stays null."""
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    size = F.abs(v)
+    power = lambda e: F.pow(F.lit(2.0), e)
+    low = F.lit(-1022).cast("bigint")
+    guess = F.greatest(F.coalesce(F.floor(F.log2(size)), low), low)
+    # The logarithm may miss by one beside a power of two.
+    exponent = F.greatest(F.when(power(guess) > size, guess - 1).when(power(guess + 1) <= size, guess + 1).otherwise(guess), low)
+    fraction = (size / power(exponent) * float(1 << 52)).cast("bigint")
+    image = F.when(size == float("inf"), F.lit(2047 << 52)).otherwise((exponent + 1022) * F.lit(1 << 52) + fraction)
+    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v < 0, -image).when(v.isNotNull(), image)
 
 
-def value_cell(value: str | Column, resolution: int = 1 << 20) -> Column:
-    """Monotone cell of any double on a signed logarithmic scale."""
-    v = F.col(value) if isinstance(value, str) else value
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * resolution).cast("bigint")
+RADIX = (22, 21, 21)  # bits of the coarse, middle and fine digit of an ordered image
+
+
+def radix_cells(bits: Column) -> tuple[Column, Column]:
+    """Coarse and middle digit of an image.
+
+    A middle cell holds at most 2^21 distinct values, a coarse one 2^21 middle cells, and there are 2^22
+    coarse ones, so a window over any of them is bounded whatever the distribution.
+    """
+    middle = F.shiftright(bits, RADIX[2]).bitwiseAND(F.lit((1 << RADIX[1]) - 1))
+    return F.shiftright(bits, RADIX[1] + RADIX[2]), middle
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
