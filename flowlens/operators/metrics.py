@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.scale import chunk_totals, ordered_bits, radix_cells
+from flowlens.operators.scale import chunk_totals, radix_cells, with_ordered_bits
 
 # The swept thresholds, 0.10 to 0.85 in steps of 0.05.
 THRESHOLDS = [round(0.10 + 0.05 * i, 2) for i in range(16)]
@@ -90,12 +90,12 @@ def classification_report(df: DataFrame) -> DataFrame:
 
 def score_counts(df: DataFrame, keys: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Positives and negatives per distinct score, with the coarse and the middle cell of the score."""
-    coarse, middle = radix_cells(ordered_bits(-F.col("score") if descending else F.col("score")))
-    return (
-        df.groupBy(*keys, "score")
-        .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-        .withColumns({"coarse": coarse, "middle": middle})
+    counts = df.groupBy(*keys, "score").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
+    coarse, middle = radix_cells(F.col("bits"))
+    imaged = with_ordered_bits(counts, -F.col("score") if descending else F.col("score"))
+    return imaged.withColumns({"coarse": coarse, "middle": middle}).drop("bits")
 
 
 def auc(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -120,11 +120,13 @@ def curve_counts(df: DataFrame) -> DataFrame:
     counts = score_counts(df, descending=True)
     inside = Window.partitionBy("coarse", "middle").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     sums = {"pos": F.col("pos"), "neg": F.col("neg")}
-    of_middle = chunk_totals(counts, ["coarse"], "middle", {f"{n}_middle": c for n, c in sums.items()})
-    of_coarse = chunk_totals(counts, [], "coarse", {f"{n}_coarse": c for n, c in sums.items()})
+    cells = counts.groupBy("coarse", "middle").agg(*[F.sum(n).alias(n) for n in sums])
+    of_middle = chunk_totals(cells, ["coarse"], "middle", {f"{n}_middle": c for n, c in sums.items()})
+    of_coarse = chunk_totals(cells, [], "coarse", {f"{n}_coarse": c for n, c in sums.items()})
+    carried = of_middle.join(of_coarse, "coarse")
     local = counts.withColumns({"tp_in": F.sum("pos").over(inside), "fp_in": F.sum("neg").over(inside)})
     total = counts.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
-    return local.join(of_middle, ["coarse", "middle"]).join(of_coarse, "coarse").select(
+    return local.join(carried, ["coarse", "middle"]).select(
         "score", "pos", "neg",
         (F.col("tp_in") + F.col("pos_middle") + F.col("pos_coarse")).alias("tp"),
         (F.col("fp_in") + F.col("neg_middle") + F.col("neg_coarse")).alias("fp"),

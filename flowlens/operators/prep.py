@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.operators.scale import RADIX, hashed_head, hashed_row_number, join_small, ordered_bits
+from flowlens.operators.scale import RADIX, hashed_head, hashed_row_number, join_small, with_ordered_bits
 from flowlens.schemas import ADDRESS_COLUMNS, MODEL_FEATURES, NON_NEGATIVE
 
 SEED = 42
@@ -71,12 +71,14 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
     )
-    values = df.select(pairs.alias("p")).select("p.feature", "p.v").where("v IS NOT NULL").withColumn("bits", ordered_bits("v"))
-    wanted, left = None, sum(RADIX)
+    values = with_ordered_bits(df.select(pairs.alias("p")).select("p.feature", "p.v").where("v IS NOT NULL"), "v")
+    wanted, left, digits = None, sum(RADIX), iter(RADIX)
     whole = Window.partitionBy("feature", "prefix")
     upto = whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    for digit in RADIX:
-        above, left = left, left - digit
+    while left:
+        above = left
+        few = wanted is not None and max((r["n"] for r in rows), default=0) <= 1 << min(RADIX)
+        left = 0 if few else left - next(digits)
         cell = F.shiftright("bits", left)
         if wanted is None:
             near = values.select("feature", F.lit(0).cast("bigint").alias("prefix"), cell.alias("cell"), "v")
@@ -97,8 +99,8 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             ranked = counted.join(F.broadcast(wanted), ["feature", "prefix"])
         hit = ranked.where((F.col("upto") - F.col("n") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
         if left:
-            rows = hit.select("feature", F.col("cell").alias("prefix"), (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")).collect()
-            wanted = spark.createDataFrame(rows, "feature string, prefix bigint, rank bigint")
+            rows = hit.select("feature", F.col("cell").alias("prefix"), (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "n").collect()
+            wanted = spark.createDataFrame([r[:3] for r in rows], "feature string, prefix bigint, rank bigint")
     # Both ranks may fall on one value: two rows then.
     return hit.groupBy("feature").agg(F.avg("v").alias("median"))
 

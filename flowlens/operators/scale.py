@@ -159,18 +159,29 @@ def salted_join(
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
-def ordered_bits(value: str | Column) -> Column:
-    """64-bit image of a double in the same order; equal only for equal values. NaN comes last, null stays null."""
+def with_ordered_bits(df: DataFrame, value: str | Column, name: str = "bits") -> DataFrame:
+    """Adds the 64-bit image of a double in the same order; equal only for equal values. NaN comes last, null stays null.
+
+    Three projections, because each step is used several times by the next: one logarithm and one power a row.
+    """
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    size = F.abs(v)
-    power = lambda e: F.pow(F.lit(2.0), e)
+    size, guess, ratio = F.abs("__v"), F.col("__guess"), F.col("__ratio")
     low = F.lit(-1022).cast("bigint")
-    guess = F.greatest(F.coalesce(F.floor(F.log2(size)), low), low)
-    # The logarithm may miss by one beside a power of two.
-    exponent = F.greatest(F.when(power(guess) > size, guess - 1).when(power(guess + 1) <= size, guess + 1).otherwise(guess), low)
-    fraction = (size / power(exponent) * float(1 << 52)).cast("bigint")
-    image = F.when(size == float("inf"), F.lit(2047 << 52)).otherwise((exponent + 1022) * F.lit(1 << 52) + fraction)
-    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v < 0, -image).when(v.isNotNull(), image)
+    unit = float(1 << 52)
+    # The logarithm may miss by one beside a power of two; the quotient by a power of two is exact.
+    fraction = (
+        F.when(ratio >= 2, (ratio * (unit / 2)).cast("bigint") + (1 << 52))
+        .when((ratio < 1) & (guess > low), (ratio * (unit * 2)).cast("bigint") - (1 << 52))
+        .otherwise((ratio * unit).cast("bigint"))
+    )
+    image = F.when(size == float("inf"), F.lit(2047 << 52)).otherwise((guess + 1022) * F.lit(1 << 52) + fraction)
+    return (
+        df.withColumn("__v", v)
+        .withColumn("__guess", F.least(F.greatest(F.coalesce(F.floor(F.log2(size)), low), low), F.lit(1023).cast("bigint")))
+        .withColumn("__ratio", size / F.pow(F.lit(2.0), guess))
+        .withColumn(name, F.when(F.isnan("__v"), F.lit((1 << 63) - 1)).when(F.col("__v").isNotNull(), image * F.signum("__v").cast("bigint")))
+        .drop("__v", "__guess", "__ratio")
+    )
 
 
 RADIX = (22, 21, 21)  # bits of the coarse, middle and fine digit of an ordered image
