@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowlens.config import DetectionConfig, FilterRuleConfig, RuleConfig
 from flowlens.functions.scalars import case_of, has_flag
 from flowlens.functions.specs import ACK, PROTOCOL_SPECS, RULE_REASONS, SYN
+from flowlens.schemas import ALL_FEATURES, MODEL_FEATURES
 
 
 def _or0(name: str) -> Column:
@@ -235,34 +236,55 @@ def detect_batch(features: DataFrame, cfg: DetectionConfig = DetectionConfig())
     return detect(features.withColumn("threshold_protocol", most), cfg, threshold_by="threshold_protocol")
 
 
+def model_columns(features: DataFrame) -> DataFrame:
+    """Identity columns and the 15 columns of the model vector, in its order; a missing one is 0 and TCP is the missing protocol."""
+    identity = [c for c in features.columns if c not in ALL_FEATURES and c != "protocol"]
+    protocol = F.col("protocol") if "protocol" in features.columns else F.lit(6)
+    numbers = [
+        (F.col(c).cast("double") if c in features.columns else F.lit(0.0)).alias(c) for c in MODEL_FEATURES
+    ]
+    return features.select(*identity, protocol.alias("protocol"), *numbers)
+
+
 def detect_file(
     spark: SparkSession, path: str, out: str, cfg: DetectionConfig = DetectionConfig(), fmt: str = "parquet",
     models: Mapping[int, object] | None = None, fallback=None,
 ) -> DataFrame:
-    """Reads a feature file, scores it with the models of its protocols if there are any, decides, and writes the rows."""
+    """Reads a feature file, scores it with the models of its protocols if there are any, decides, and writes the rows.
+
+    Models see the 15 model columns: those the file lacks are 0, statistics it has beyond them are left out.
+    """
     features = (spark.read.option("header", "true").option("inferSchema", "true") if fmt == "csv" else spark.read).format(fmt).load(path)
-    scored = route(features, models or {}, fallback) if models or fallback else features
+    scored = route(model_columns(features), models or {}, fallback) if models or fallback else features
     detect_batch(scored, cfg).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
+def model_score(transformed: DataFrame) -> Column:
+    """Anomaly score of a model's output: the probability, else the sigmoid of the decision value, else the 0/1 prediction."""
+    from pyspark.ml.functions import vector_to_array
+
+    if "probability" in transformed.columns:
+        return vector_to_array("probability")[1]
+    if "rawPrediction" in transformed.columns:
+        return sigmoid(vector_to_array("rawPrediction")[1])
+    return F.col("prediction").cast("double")
+
+
 def route(features: DataFrame, models: Mapping[int, object], fallback=None) -> DataFrame:
-    """Scores each row with the model of its protocol; rows without one take the fallback.
+    """Scores each row with the model of its protocol; rows without one take the fallback, or NULL.
 
-    ``models`` maps a protocol to a fitted pipeline that yields a ``probability`` vector.
-    There are few protocols, so this is a handful of narrow branches over one scan.
+    ``models`` maps a protocol to a fitted pipeline. The models follow each other over one scan; a model's
+    score stands behind a test of the protocol.
     """
-    from pyspark.ml.functions import vector_to_array
-
-    def scored(rows: DataFrame, model) -> DataFrame:
-        if model is None:
-            return rows.withColumn("model_score", F.lit(None).cast("double"))
-        out = model.transform(rows).withColumn("model_score", vector_to_array("probability")[1])
-        return out.select(*rows.columns, "model_score")
-
-    known = list(models)
-    rest = features.where(~F.col("protocol").isin(known) | F.col("protocol").isNull())
-    result = scored(rest, fallback)
-    for protocol, model in models.items():
-        result = result.unionByName(scored(features.where(F.col("protocol") == protocol), model))
-    return result
+    protocol = F.col("protocol")
+    listed = [(protocol == p, model) for p, model in models.items()]
+    if fallback is not None:
+        listed.append((~F.coalesce(protocol.isin(list(models)), F.lit(False)), fallback))
+    rows, scores = features, []
+    for i, (applies, model) in enumerate(listed):
+        out = model.transform(rows)
+        scores.append(f"__score_{i}")
+        rows = out.select(*rows.columns, F.when(applies, model_score(out)).alias(scores[-1]))
+    score = F.coalesce(*scores) if scores else F.lit(None).cast("double")
+    return rows.withColumn("model_score", score).select(*features.columns, "model_score")

@@ -82,6 +82,19 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFr
     return out.select(*df.columns, "score").withColumn("pred", decide("score", threshold))
 
 
+def logistic_column(model: PipelineModel, features: Sequence[str] = MODEL_FEATURES) -> Column:
+    """The probability of a fitted logistic regression written out as a column over its input columns."""
+    imputer, _, scaler, product, learner = model.stages
+    fill = imputer.surrogateDF.first()
+    parts = zip(features, scaler.mean.toArray(), scaler.std.toArray(), product.getScalingVec().toArray(), learner.coefficients.toArray())
+    terms = []
+    for name, mean, std, factor, weight in parts:
+        value = F.col(name).cast("double")
+        known = F.when(value.isNull() | F.isnan(value), float(fill[name])).otherwise(value)
+        terms.append((known - float(mean)) * (float(factor * weight / std) if std > 0 else 0.0))
+    return 1 / (1 + F.exp(-(sum(terms, F.lit(float(learner.intercept))))))
+
+
 def decide(score_col: str | Column, threshold: float = 0.5) -> Column:
     s = F.col(score_col) if isinstance(score_col, str) else score_col
     return (s >= threshold).cast("int")

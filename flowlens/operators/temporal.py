@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.config import SessionConfig, WindowConfig
+from flowlens.functions.entropy import byte_entropy
 from flowlens.functions.scalars import enabled_features
 from flowlens.operators import sessions as S
 from flowlens.operators.scale import running_totals
@@ -378,7 +379,7 @@ def fan_out(
 
 
 def spec_features(packets: DataFrame, cfg: SessionConfig = SessionConfig()) -> DataFrame:
-    """Features named by the protocol specs: window sizes, retransmissions, segments, ports, echoes."""
+    """Features named by the protocol specs: window sizes, retransmissions, segments, ports, echoes, mean entropy of payloads."""
     win, length = F.col("winsize").cast("bigint"), F.col("length").cast("bigint")
     tcp = F.col("protocol") == 6
     payload = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint")
@@ -391,10 +392,11 @@ def spec_features(packets: DataFrame, cfg: SessionConfig = SessionConfig()) -> D
         "segments": one(data), "segment_bytes": F.sum(F.when(data, payload)),
         "min_port": F.min("dst_port"), "max_port": F.max("dst_port"), "max_len": F.max(length),
         "echo_request": one(F.col("icmp_type") == 8), "echo_reply": one(F.col("icmp_type") == 0),
+        "entropy": F.sum("__entropy"),
     }
-    chunks = S.session_chunks(packets, cfg, measures)
+    chunks = S.session_chunks(packets.withColumn("__entropy", byte_entropy("payload")), cfg, measures)
     merged = chunks.groupBy(*KEY).agg(
-        *[F.sum(c).alias(c) for c in ("n", "win_n", "win", "segments", "segment_bytes", "echo_request", "echo_reply")],
+        *[F.sum(c).alias(c) for c in ("n", "win_n", "win", "segments", "segment_bytes", "echo_request", "echo_reply", "entropy")],
         F.sum(F.col("win_sq").cast("decimal(20,0)")).alias("win_sq"),
         F.min("min_port").alias("min_port"), F.max("max_port").alias("max_port"),
         F.max("max_len").alias("max_len"),
@@ -419,6 +421,7 @@ def spec_features(packets: DataFrame, cfg: SessionConfig = SessionConfig()) -> D
         F.col("echo_request").alias("echo_request_count"),
         F.col("echo_reply").alias("echo_reply_count"),
         ratio("echo_request", "echo_reply").alias("request_response_ratio"),
+        ratio("entropy", "n").alias("payload_entropy_mean"),
     )
 
 

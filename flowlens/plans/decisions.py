@@ -131,6 +131,23 @@ def _recommend(spark, d):
         "protocol", "model_type", "ts_us", "change_model_to", "new_threshold", "balance", "complexity"))
 
 
+@query("feature_advice", f"""WITH {PACKETS_SQL}, i AS (SELECT protocol, 'f' || (k % 12) AS feature, max(k % 12) * protocol / 1300.0::DOUBLE AS importance FROM packets GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY protocol ORDER BY importance DESC, feature) AS rn FROM i),
+g AS (SELECT protocol, count(*) FILTER (WHERE importance < 0.01) > count(*) * 0.5 AS many,
+  string_agg(feature, ',' ORDER BY rn) FILTER (WHERE rn <= 5) AS top, string_agg(feature, ',' ORDER BY rn) FILTER (WHERE importance < 0.01) AS low FROM r GROUP BY 1)
+SELECT protocol, CASE WHEN many THEN top END AS keep_features, CASE WHEN many THEN low END AS remove_features FROM g""")
+def _feature_advice(spark, d):
+    weights = packets(spark, d).groupBy("protocol", F.concat(F.lit("f"), (F.col("k") % 12).cast("string")).alias("feature")).agg(
+        (F.max(F.col("k") % 12) * F.col("protocol") / F.lit(1300.0)).alias("importance")
+    )
+    judged = K.importance_summary(weights, ["protocol"]).withColumns({
+        "model_type": F.lit("random_forest"), "better_model": F.lit("random_forest"), "threshold": F.lit(0.5),
+        "f1": F.lit(0.5), "precision": F.lit(0.5), "recall": F.lit(0.5),
+    })
+    return K.recommendations(judged).select(
+        "protocol", F.array_join("keep_features", ",").alias("keep_features"), F.array_join("remove_features", ",").alias("remove_features"))
+
+
 @query("low_metrics", f"""WITH {_RUNS} SELECT protocol, model_type, ts_us, metric, {rd('value', 'value')}, value < 0.7 * 0.7 AS very_low FROM (
   UNPIVOT (SELECT protocol, model_type, ts_us, f1, precision, recall FROM runs) ON f1, precision, recall INTO NAME metric VALUE value) u
 WHERE u.value < 0.7""")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowlens.config import DetectionConfig
 from flowlens.functions.scalars import raw_to_features
+from flowlens.operators import detect as D
 from flowlens.operators import models as J
-from flowlens.plans.registry import DAY, query, rd, rounded
+from flowlens.plans.registry import DAY, query, rd, rounded, scratch
 from flowlens.sources.adapters import PACKETS_SQL, PREDICTIONS_SQL, RAW_SQL, packets, predictions, raw_samples
 from flowlens.schemas import MODEL_FEATURES
 
@@ -62,6 +64,25 @@ def _per_protocol(spark, d):
     )
 
 
+@query("batch_model_detection", f"""WITH {RAW_SQL}, m AS (SELECT protocol AS p FROM packets GROUP BY protocol ORDER BY count(*) DESC, protocol LIMIT 1)
+SELECT id, protocol, p AS threshold_protocol, CASE p WHEN 6 THEN 0.6 WHEN 17 THEN 0.8 WHEN 1 THEN 0.9 ELSE 0.7 END::DOUBLE AS threshold_used,
+  true AS scored_by_formula, true AS decided_by_score FROM raw, m""")
+def _batch_model(spark, d):
+    """A file through the models of its protocols; every score is computed again from coefficients, as plain columns."""
+    path = scratch(spark, "batch")
+    training_rows(spark, d).write.parquet(f"{path}/in")
+    stored = spark.read.parquet(f"{path}/in")
+    models = J.train_per_protocol(stored, "logistic_regression")
+    general = models.pop(None)
+    rows = D.detect_file(spark, f"{path}/in", f"{path}/out", DetectionConfig(mode="model_only"), models=models, fallback=general)
+    expected = F.coalesce(*[F.when(F.col("protocol") == p, J.logistic_column(m)) for p, m in models.items()], J.logistic_column(general))
+    return rows.select(
+        "id", "protocol", "threshold_protocol", "threshold_used",
+        (F.abs(F.col("model_score") - expected) < 1e-9).alias("scored_by_formula"),
+        (F.col("is_anomaly") == (expected >= F.col("threshold_used"))).alias("decided_by_score"),
+    )
+
+
 @query("native_importance", f"""WITH {RAW_SQL} SELECT {len(MODEL_FEATURES)}::BIGINT AS features, 1.0::DOUBLE AS total, 0::BIGINT AS negative,
   count(*) > 0 AS trained FROM raw""")
 def _native(spark, d):

@@ -40,6 +40,20 @@ def _csv(spark, d):
     return back.groupBy("protocol").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
 
 
+@query("training_directory", f"""WITH {PACKETS_SQL} SELECT packet_id::DOUBLE AS id, protocol::DOUBLE AS protocol_num, greatest(length - 100, 0)::DOUBLE AS byte_count,
+  CASE WHEN k < 8 THEN 1 ELSE 0 END AS label, protocol AS protocol_label FROM packets""")
+def _training_directory(spark, d):
+    path = scratch(spark, "training")
+    rows = packets(spark, d).select(
+        F.col("packet_id").alias("id"), "src_ip", F.col("protocol").alias("protocol_num"), (F.col("length") - 100).alias("byte_count"),
+        F.lit("seen").alias("note"), (F.col("k") < 8).cast("int").alias("label"),
+    )
+    for label in (0, 1):
+        rows.where(F.col("label") == label).write.option("header", "true").csv(f"{path}/label{label}")
+    texts = "id STRING, src_ip STRING, protocol_num STRING, byte_count STRING, note STRING, label STRING"
+    return A.training_directory(spark, path, texts)[0]
+
+
 @query("new_rows_since", f"WITH {PACKETS_SQL} SELECT count(*) AS n FROM packets WHERE ts_us > 1705000000000000 AND protocol = 17")
 def _since(spark, d):
     return A.count_since(packets(spark, d), 1_705_000_000_000_000, 17)

@@ -157,7 +157,10 @@ def _fan_out_approx(spark, d):
     )
 
 
-@query("protocol_spec_features", f"""WITH {flow_sql()}
+@query("protocol_spec_features", f"""WITH {flow_sql()},
+spec_bytes AS (SELECT packet_id, substr(payload, i, 1) AS b, count(*) AS c
+  FROM (SELECT packet_id, payload, unnest(range(1, length(payload) + 1)) AS i FROM packets) GROUP BY ALL),
+packet_h AS (SELECT packet_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS h FROM spec_bytes GROUP BY packet_id)
 SELECT session_key || '#' || session_seq AS session_id, max(length)::BIGINT AS packet_size_max,
   {rd('coalesce(avg(winsize) FILTER (WHERE protocol = 6), 0)', 'window_size_mean')},
   {rd('coalesce(stddev_pop(winsize) FILTER (WHERE protocol = 6), 0)', 'window_size_std')},
@@ -165,8 +168,9 @@ SELECT session_key || '#' || session_seq AS session_id, max(length)::BIGINT AS p
   {rd('coalesce(avg(length(payload)) FILTER (WHERE protocol = 6), 0)', 'segment_size_mean')},
   coalesce(max(dst_port) - min(dst_port), 0) AS port_range,
   count(*) FILTER (WHERE icmp_type = 8) AS echo_request_count, count(*) FILTER (WHERE icmp_type = 0) AS echo_reply_count,
-  {rd('coalesce(count(*) FILTER (WHERE icmp_type = 8) / nullif(count(*) FILTER (WHERE icmp_type = 0), 0), 0)', 'request_response_ratio')}
-FROM flow GROUP BY session_key, session_seq""")
+  {rd('coalesce(count(*) FILTER (WHERE icmp_type = 8) / nullif(count(*) FILTER (WHERE icmp_type = 0), 0), 0)', 'request_response_ratio')},
+  {rd('avg(coalesce(h, 0))', 'payload_entropy_mean')}
+FROM flow LEFT JOIN packet_h USING (packet_id) GROUP BY session_key, session_seq""")
 def _spec_features(spark, d):
     return rounded(E.spec_features(packets(spark, d), CFG))
 

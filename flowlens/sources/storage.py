@@ -10,6 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 from flowlens.functions.scalars import timestamp_text
 from flowlens.operators.alerts import with_anomaly_id
+from flowlens.operators.prep import clean
 
 DAY_US = 86_400_000_000
 
@@ -30,6 +31,22 @@ def read_csv_directory(spark: SparkSession, path: str, schema: str) -> DataFrame
     )
 
 
+def training_directory(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, list[str]]:
+    """All CSV files of a directory as cleaned numbers with ``label`` and ``protocol_label``, and the names of the features.
+
+    Columns that are no numbers are dropped, a value that is none becomes NULL. The protocol comes from
+    ``protocol``, else from ``protocol_num``, else it is NULL.
+    """
+    rows = clean(read_csv_directory(spark, path, schema))
+    if "label" not in rows.columns:
+        raise ValueError("training data needs a label column")
+    names = [c for c in rows.columns if c != "label"]
+    source = next((c for c in ("protocol", "protocol_num") if c in names), None)
+    protocol = F.col(source).cast("int") if source else F.lit(None).cast("int")
+    numbers = [F.col(c).cast("double").alias(c) for c in names]
+    return rows.select(*numbers, "label", protocol.alias("protocol_label")), names
+
+
 def month_of(ts_us: str | Column) -> Column:
     return timestamp_text(ts_us, "yyyyMM")
 

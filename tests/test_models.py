@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import decisions as K
 from flowlens.operators import models as J
-from flowlens.operators.detect import route
+from flowlens.operators.detect import model_score, route
 from flowlens.sources import storage as A
 
 
@@ -35,6 +35,32 @@ def test_routing_keeps_every_row(rows):
     assert out.where("model_score IS NULL").select("protocol").distinct().first()[0] == 17
 
 
+def test_routing_scans_once_whatever_the_number_of_models(spark, rows, tmp_path):
+    rows.write.parquet(str(tmp_path / "in"))
+    stored = spark.read.parquet(str(tmp_path / "in"))
+    models = {p: J.fit(rows.where(f"protocol = {p}"), "logistic_regression", ["a", "b"], maxIter=5) for p in (6, 17)}
+    general = J.fit(rows, "logistic_regression", ["a", "b"], maxIter=5)
+    rest = stored.withColumn("protocol", F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 7 == 1, 1).otherwise(F.col("protocol")))
+    out = route(rest, models, general)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "Union" not in text and "Exchange" not in text
+    expected = F.when(F.col("protocol") == 6, J.logistic_column(models[6], ["a", "b"])).when(
+        F.col("protocol") == 17, J.logistic_column(models[17], ["a", "b"])
+    ).otherwise(J.logistic_column(general, ["a", "b"]))
+    assert out.where(F.abs(F.col("model_score") - expected) < 1e-9).count() == 240
+
+
+def test_scores_without_probability(spark):
+    """A margin goes through the sigmoid; a bare prediction is the score."""
+    from pyspark.ml.functions import array_to_vector
+
+    df = spark.createDataFrame([(0.0, [2.0, -2.0]), (1.0, [-1.0, 1.0])], "prediction double, m array<double>")
+    margins = df.withColumn("rawPrediction", array_to_vector("m"))
+    got = [r.s for r in margins.select(model_score(margins).alias("s")).collect()]
+    assert got == pytest.approx([0.11920292202211755, 0.7310585786300049])
+    assert [r.s for r in df.select(model_score(df).alias("s")).collect()] == [0.0, 1.0]
+
+
 def test_selection_needs_samples(spark):
     protocols = spark.createDataFrame([(6,), (17,), (1,), (99,)], "protocol int")
     history = [("tcp", "xgboost", 0.85), ("tcp", "lstm", 0.89), ("udp", "xgboost", 0.78), ("udp", "random_forest", 0.82)]
