@@ -106,7 +106,8 @@ FIRST_MERGE = {"src_port", "dst_port"}
 WIDE_SUM = {"sumsq", "pl_sumsq"}
 
 
-def _merge(name: str) -> Column:
+def merge(name: str) -> Column:
+    """A session's measure from those of its chunks."""
     if name in MIN_MERGE:
         return F.min(name)
     if name in MAX_MERGE:
@@ -139,7 +140,7 @@ def session_aggregates(packets: DataFrame, cfg: SessionConfig = SessionConfig())
     """One row per session with the merged measures; the third grouping reuses the key shuffle."""
     measures = packet_measures()
     return session_chunks(packets, cfg, measures).groupBy("session_key", "session_seq").agg(
-        *[_merge(n).alias(n) for n in measures]
+        *[merge(n).alias(n) for n in measures]
     )
 
 

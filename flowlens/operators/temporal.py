@@ -18,8 +18,9 @@ from flowlens.config import SessionConfig, WindowConfig
 from flowlens.functions.entropy import byte_entropy
 from flowlens.functions.scalars import enabled_features
 from flowlens.operators import sessions as S
+from flowlens.operators.folds import BYTE, CHUNK, DST_PORT, INSTANT, SRC_PORT, fold_packets
 from flowlens.operators.scale import running_totals
-from flowlens.operators.stat import KEY, pop_std, stat_features
+from flowlens.operators.stat import ENTROPIES, KEY, aggregate_features, pop_std
 from flowlens.schemas import ALL_FEATURES, TEMPORAL_FEATURES, WINDOW_MEASURES
 
 FLOOR_S = 0.001
@@ -68,6 +69,7 @@ def session_instants(packets: DataFrame, cfg: SessionConfig) -> DataFrame:
 
 
 def _window_aggregates(name: str, size_us: int, burst_gap_us: int) -> list[Column]:
+    """Exact sums and extremes, so that parts of a session can be merged."""
     ts, prev, nxt = F.col("ts_us"), F.col("prev_ts"), F.col("next_ts")
     cut = F.col("session_last") - F.lit(size_us)
     inside = ts >= cut
@@ -75,7 +77,7 @@ def _window_aggregates(name: str, size_us: int, burst_gap_us: int) -> list[Colum
     gap = ts - prev
     opens = inside & (~linked | (gap > burst_gap_us))
     burst = opens & ((F.col("n") > 1) | F.coalesce(nxt - ts <= burst_gap_us, F.lit(False)))
-    gap_s = F.when(linked, gap / 1e6)
+    wide_gap = gap.cast("decimal(18,0)")
     pick = lambda c: F.sum(F.when(inside, F.col(c)).otherwise(0))
     return [
         pick("n").alias(f"{name}_n"),
@@ -83,9 +85,7 @@ def _window_aggregates(name: str, size_us: int, burst_gap_us: int) -> list[Colum
         F.sum(F.when(inside, F.col("sumsq")).otherwise(0).cast("decimal(20,0)")).alias(f"{name}_sumsq"),
         F.min(F.when(inside, ts)).alias(f"{name}_start"),
         F.max(F.when(inside, ts)).alias(f"{name}_end"),
-        F.count(gap_s).alias(f"{name}_gaps"),
-        F.avg(gap_s).alias(f"{name}_gap_mean"),
-        F.var_pop(gap_s).alias(f"{name}_gap_var"),
+        F.sum(F.when(linked, wide_gap * wide_gap)).alias(f"{name}_gapsq"),
         F.sum(F.when(burst, 1).otherwise(0)).alias(f"{name}_bursts"),
         F.sum(F.when(linked & (gap <= burst_gap_us), gap).otherwise(0)).alias(f"{name}_burst_us"),
     ]
@@ -96,17 +96,14 @@ def _window_measures(name: str, size_us: int) -> dict[str, Column]:
     n = c("n")
     span = (c("end") - c("start")) / 1e6
     duration = F.when(n < 2, size_us / 1e6).otherwise(F.greatest(span, F.lit(FLOOR_S)))
-    gaps = n - 1
-    # Instants with several packets add zero gaps to the measured ones.
-    zeros = gaps - c("gaps")
-    squares = c("gap_var") * c("gaps") + c("gap_mean") * c("gap_mean") * c("gaps") * zeros / gaps
+    gaps = n - 1  # those inside an instant are 0 and add nothing to the sums
     values = [
         n / duration,
         c("bytes") / duration,
         c("bytes") / n,
         pop_std(n, c("bytes"), c("sumsq")),
         F.when(gaps > 0, span / gaps).otherwise(0.0),
-        F.when((gaps > 1) & (c("gaps") > 0), F.sqrt(squares / gaps)).otherwise(0.0),
+        F.when(c("gapsq").isNotNull(), pop_std(gaps, c("end") - c("start"), c("gapsq")) / 1e6).otherwise(0.0),
         c("bursts").cast("double"),
         F.when(c("bursts") > 0, c("burst_us") / 1e6 / c("bursts")).otherwise(0.0),
     ]
@@ -142,17 +139,75 @@ def temporal_features(
     return wide.select(S.session_id().alias("session_id"), *KEY, *names)
 
 
+def session_parts(packets: DataFrame, cfg: SessionConfig, aggs: Sequence[Column], measures: dict[str, Column]) -> DataFrame:
+    """Parts of sessions: per chunk a row with measures and window aggregates, and rows with symbols only.
+
+    The measures are taken in one scan of the packets and give the sessions; times and symbols are folded in a second
+    one. All packets of a chunk belong to one session.
+    """
+    chunks = S.session_chunks(packets, cfg, measures)
+    seq, whole = Window.partitionBy(*KEY).orderBy("chunk"), Window.partitionBy(*KEY)
+    borders = chunks.select(
+        *CHUNK, "session_seq", F.struct(*measures).alias("measures"),
+        F.min("first_ts").over(whole).alias("session_first"), F.max("last_ts").over(whole).alias("session_last"),
+        F.lag("last_ts").over(seq).alias("__prev_chunk"), F.lead("first_ts").over(seq).alias("__next_chunk"),
+    )
+    inside = Window.partitionBy(*CHUNK, "batch").orderBy("ts_us")
+    rows = fold_packets(packets, cfg).withColumns({"__prev": F.lag("ts_us").over(inside), "__next": F.lead("ts_us").over(inside)})
+    placed = rows.join(borders, CHUNK).withColumns(
+        {"prev_ts": F.coalesce("__prev", "__prev_chunk"), "next_ts": F.coalesce("__next", "__next_chunk")}
+    )
+    return placed.groupBy(*CHUNK, "batch").agg(
+        F.first("session_seq").alias("session_seq"), F.first("measures").alias("measures"), F.first("symbols").alias("symbols"), *aggs,
+    )
+
+
+# How the parts of a window's aggregates merge.
+_EXTREMES = {"start": F.min, "end": F.max}
+
+
 def flow_features(
     packets: DataFrame,
     cfg: SessionConfig = SessionConfig(),
     windows: WindowConfig = WindowConfig(),
 ) -> DataFrame:
-    """Statistical and temporal features in one row per session."""
-    temporal = temporal_features(packets, cfg, windows).drop("session_id")
-    joined = stat_features(packets, cfg).join(temporal, KEY, "left")
-    return joined.select("session_id", *KEY, "protocol", "first_ts", "last_ts", *ALL_FEATURES).fillna(
-        0.0, ALL_FEATURES
+    """Statistical and temporal features in one row per session, from two scans of the packets.
+
+    Parts meet once more by session, where symbols are added up. The aggregates of a chunk are one row beside them, told
+    apart by the chunk.
+    """
+    sizes = windows.sizes()
+    measures = {k: v for k, v in S.packet_measures().items() if k not in S.FIRST_MERGE}
+    aggs = [a for n, size in sizes.items() for a in _window_aggregates(n, size, windows.burst_gap_us)]
+    parts = session_parts(packets, cfg, aggs, measures)
+    of_windows = [c for c in parts.columns if c.partition("_")[0] in sizes]
+    own = F.array(F.struct(F.lit(INSTANT).alias("kind"), F.col("chunk").alias("at"), F.lit(0).cast("bigint").alias("n")))
+    part = F.when(F.col("batch").isNull(), F.struct("measures.*", *of_windows))
+    rows = (
+        parts.select(*KEY, part.alias("part"), F.when(F.col("batch").isNull(), own).otherwise(F.col("symbols")).alias("symbols"))
+        .repartition(*KEY)
+        .select(*KEY, "part", F.inline("symbols"))
+    )
+    counted = rows.groupBy(*KEY, "kind", "at").agg(F.sum("n").alias("c"), F.first("part", ignorenulls=True).alias("part"))
+    c = F.col("c")
+
+    def entropy(kind: int) -> Column:
+        mine = F.col("kind") == kind
+        total = F.sum(F.when(mine, c))
+        return F.when(F.count(F.when(mine, c)) > 1, F.log2(total) - F.sum(F.when(mine, c * F.log2(c))) / total).otherwise(0.0)
+
+    def merged(name: str) -> Column:
+        return _EXTREMES.get(name.rpartition("_")[2], F.sum)(name)
+
+    sessions = counted.select(*KEY, "kind", "c", "part.*").groupBy(*KEY).agg(
+        *[S.merge(n).alias(n) for n in measures], *[merged(n).alias(n) for n in of_windows],
+        *[entropy(kind).alias(n) for n, kind in zip(ENTROPIES, (BYTE, SRC_PORT, DST_PORT))],
     )
+    columns = aggregate_features() | {k: v for n, size in sizes.items() for k, v in _window_measures(n, size).items()}
+    wide = sessions.select(
+        *KEY, "protocol", "first_ts", "last_ts", *ENTROPIES, *[v.alias(k) for k, v in columns.items()]
+    ).withColumns(trends())
+    return wide.select(S.session_id().alias("session_id"), *KEY, "protocol", "first_ts", "last_ts", *ALL_FEATURES).fillna(0.0, ALL_FEATURES)
 
 
 def trailing_windows(

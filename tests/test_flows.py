@@ -120,6 +120,32 @@ def test_skewed_feed_matches_plain_reading(spark, seed):
     assert sum(r.packet_count for r in got.values()) == len(rows)
 
 
+def test_parts_of_a_chunk_from_many_batches_are_merged(spark):
+    rows = skewed(5)
+    whole = {(r.session_key, r.session_seq): r.asDict() for r in E.flow_features(frame(spark, rows)).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        parts = E.flow_features(frame(spark, rows).repartition(5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(parts) == len(whole)
+    for r in parts:
+        for f in ALL_FEATURES:
+            assert r[f] == pytest.approx(whole[(r.session_key, r.session_seq)][f], abs=1e-9), f
+
+
+def test_flow_features_are_those_of_the_single_operators(spark):
+    df = frame(spark, skewed(6))
+    stat = {(r.session_key, r.session_seq): r.asDict() for r in D.stat_features(df).collect()}
+    times = {(r.session_key, r.session_seq): r.asDict() for r in E.temporal_features(df).collect()}
+    flows = E.flow_features(df).collect()
+    assert len(flows) == len(stat) == len(times)
+    for r in flows:
+        key = (r.session_key, r.session_seq)
+        for f, v in (stat[key] | times[key]).items():
+            assert r[f] == (pytest.approx(v, abs=1e-9) if isinstance(v, float) else v), f
+
+
 def test_features_stay_in_bounds(spark):
     out = E.flow_features(frame(spark, skewed(3)))
     for c in [f for f in ALL_FEATURES if f.endswith("_ratio")]:

@@ -53,3 +53,15 @@ def test_split_does_not_shuffle_rows(spark, sf):
     # One exchange: the ranked rows of the border prefix. The class cut-offs were fetched first.
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 1
     assert "BroadcastHashJoin" in text
+
+
+def test_flow_features_scan_packets_twice(feed):
+    spark = feed.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(E.flow_features(feed, CFG))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"FileScan parquet", text)) == 2
+    assert len(re.findall(r"Exchange hashpartitioning", text)) <= 6
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
