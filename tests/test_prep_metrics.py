@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import metrics as M
 from flowlens.operators import prep as H
-from flowlens.operators.scale import join_small, running_totals, salted_join
+from flowlens.operators.scale import join_small, running_totals, salted_join, salts_of
 
 
 def order(i, seed=42):
@@ -133,3 +133,21 @@ def test_best_threshold_default(spark):
     assert M.best_threshold(none).first()[0] == 0.5
     some = spark.createDataFrame([(0, 0.3), (1, 0.62), (1, 0.9)], "label int, score double")
     assert M.best_threshold(some).first()[0] == 0.35
+
+
+def test_hot_keys_are_measured_and_spread(spark):
+    """A key with 40 % of the facts, some warm ones, null keys and many cold ones."""
+    facts = spark.range(20_000).select(
+        "id", F.when(F.col("id") % 5 < 2, "hot").when(F.col("id") % 50 == 3, "warm").when(F.col("id") % 50 == 4, None)
+        .otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"),
+    )
+    dim = facts.select("k").distinct().withColumn("v", F.length("k")).where("k IS NULL OR k <> 'k9'")
+    salts = {r.k: r.salts for r in facts.withColumn("salts", salts_of(facts, ["k"])).select("k", "salts").distinct().collect()}
+    assert 102 <= salts["hot"] <= 105 and 5 <= salts["warm"] <= 7 and 5 <= salts[None] <= 7
+    assert set(v for k, v in salts.items() if k not in ("hot", "warm", None)) == {1}
+    pieces = facts.where("k = 'hot'").groupBy(F.pmod(F.xxhash64("id"), F.lit(salts["hot"]))).count()
+    assert pieces.agg(F.max("count")).first()[0] < 150
+    for how in ("inner", "left"):
+        want = sorted(map(str, facts.join(dim, ["k"], how).select("id", "k", "v").collect()))
+        assert sorted(map(str, salted_join(facts, dim, ["k"], "id", how).select("id", "k", "v").collect())) == want
+    assert salted_join(facts.limit(0), dim, ["k"], "id", "left").count() == 0
