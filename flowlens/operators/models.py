@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -213,27 +214,57 @@ def combined_importance(importances: DataFrame, weights: Mapping[str, float] | N
     return importances.groupBy("feature").agg((F.sum(F.col("importance") * w) / F.sum(w)).alias("importance"))
 
 
+ROUNDS = 12
+
+
+def round_keys(seed: int, repeat: int) -> list[int]:
+    """Key of each round of a shuffle: 52 bits of an md5."""
+    return [int(hashlib.md5(f"{seed}:{repeat}:{r}".encode()).hexdigest()[:13], 16) for r in range(ROUNDS)]
+
+
+def shuffled_place(place: Column, n: Column, seed: int, repeats: int) -> Column:
+    """Where each repeat's shuffle of 0 … n - 1 puts a place: an array with one bijection per repeat.
+
+    In each round a place and its mirror image about the round's key either swap or stay, as one bit of an md5 of
+    the greater of both tells; this undoes itself, so no two places ever meet, whatever n is.
+    """
+    def swap(at: Column, key: Column) -> Column:
+        other = F.pmod(key["key"] + n - at, n)
+        return F.when(F.md5(F.concat_ws(":", key["name"], F.greatest(at, other))) < "8", other).otherwise(at)
+
+    def keys(repeat: int) -> Column:
+        named = enumerate(round_keys(seed, repeat))
+        return F.array(*[F.struct(F.lit(k).cast("bigint").alias("key"), F.lit(f"{seed}:{repeat}:{r}").alias("name")) for r, k in named])
+
+    return F.array(*[F.aggregate(keys(r), place, swap) for r in range(repeats)])
+
+
 def permutation_importance(
     df: DataFrame, id_col: str, features: Sequence[str], predict: Callable[[DataFrame], DataFrame], seed: int = SEED,
     repeats: int = 1,
 ) -> DataFrame:
     """Accuracy lost when a feature's values are shuffled among the rows; shares sum to 1.
 
-    A shuffle pairs two md5 orders of the ids by row number, so it is a join, not a collect.
+    Rows are numbered once, in md5 order of the ids. Each repeat has one keyed bijection of the numbers, which all
+    features share, so one join hands every row its donors. Each row is then scored once as it is and once
+    per feature and repeat, in one pass. ``predict`` must keep the columns it does not know.
     """
-    correct = F.avg((F.col("label") == F.col("pred")).cast("double"))
-    base = predict(df).agg(correct).scalar()
-    target = hashed_row_number(df, [], id_col, seed, "__rn")
-    rows = None
-    for i, f in enumerate(features):
-        for r in range(repeats):
-            order = seed + 1 + i * repeats + r
-            source = hashed_row_number(df.select(id_col, f), [], id_col, order, "__rn")
-            mixed = target.drop(f).join(source.select("__rn", f), "__rn").drop("__rn")
-            one = predict(mixed.select(*df.columns)).agg(correct.alias("accuracy")).withColumn("feature", F.lit(f))
-            rows = one if rows is None else rows.unionByName(one)
-    drop = F.abs(base - F.col("accuracy"))
-    drops = rows.select("feature", drop.alias("drop")).groupBy("feature").agg(F.avg("drop").alias("drop"))
+    numbered = hashed_row_number(df, [], id_col, seed, "__rn").withColumn("__at", F.col("__rn") - 1)
+    donors = numbered.withColumn("__n", df.agg(F.count(F.lit(1))).scalar()).select(
+        F.struct(*features).alias("__donor"), F.posexplode(shuffled_place(F.col("__at"), F.col("__n"), seed, repeats)).alias("__repeat", "__at"),
+    )
+    which = F.explode(F.sequence(F.when(F.col("__repeat") == 0, -1).otherwise(0), F.lit(len(features) - 1)))
+    variants = numbered.join(donors, "__at").withColumn("__feature", which)
+    changed = {
+        f: F.when(F.col("__feature") == i, F.col(f"__donor.{f}")).otherwise(F.col(f)) for i, f in enumerate(features)
+    }
+    scored = predict(variants.withColumns(changed).select(*df.columns, "__feature", "__repeat"))
+    accuracy = scored.groupBy("__feature", "__repeat").agg(F.avg((F.col("label") == F.col("pred")).cast("double")).alias("__accuracy"))
+    base = F.max(F.when(F.col("__feature") < 0, F.col("__accuracy"))).over(_all_rows())
+    drops = (
+        accuracy.withColumn("__drop", F.abs(base - F.col("__accuracy"))).where("__feature >= 0")
+        .groupBy(F.element_at(F.array(*[F.lit(f) for f in features]), F.col("__feature") + 1).alias("feature")).agg(F.avg("__drop").alias("drop"))
+    )
     total = F.sum("drop").over(_all_rows())
     return drops.select("feature", "drop", F.when(total > 0, F.col("drop") / total).otherwise(0.0).alias("importance"))
 
@@ -241,7 +272,7 @@ def permutation_importance(
 def _all_rows():
     from pyspark.sql import Window
 
-    return Window.partitionBy()  # one row per feature
+    return Window.partitionBy()  # one row per feature and repeat
 
 
 def join_labels(predictions: DataFrame, labels: DataFrame, id_col: str, salt_by: str) -> DataFrame:

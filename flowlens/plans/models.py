@@ -171,25 +171,38 @@ def _combined(spark, d):
     return rounded(J.combined_importance(rows.agg(F.avg("length").alias("importance")), _WEIGHTS))
 
 
-def _shuffled_sql(seed: int, feature: str) -> str:
-    other = "length" if feature == "k" else "k"
-    return f"""SELECT '{feature}' AS feature, avg(CASE WHEN label = CASE WHEN k * 2 + length > 150 THEN 1 ELSE 0 END THEN 1.0 ELSE 0 END) AS acc
-  FROM (SELECT label, {other}, row_number() OVER (ORDER BY md5('42:' || id), id) AS rn FROM p) a
-  JOIN (SELECT {feature}, row_number() OVER (ORDER BY md5('{seed}:' || id), id) AS rn FROM p) b USING (rn)"""
+REPEATS = 2
+
+
+def _places_sql(repeat: int) -> str:
+    """Rows with the place to which the shuffle of a repeat takes them, a round at a time."""
+    out = "SELECT id, spot AS x, n FROM numbered"
+    for r, key in enumerate(J.round_keys(J.SEED, repeat)):
+        out = f"""SELECT id, n, CASE WHEN md5('{J.SEED}:{repeat}:{r}:' || greatest(x, y)) < '8' THEN y ELSE x END AS x
+          FROM (SELECT *, ({key} + n - x) % n AS y FROM ({out}))"""
+    return f"SELECT {repeat} AS rep, id, x FROM ({out})"
+
+
+def _accuracy_sql(k: str, length: str) -> str:
+    return f"avg(CASE WHEN a.label = CASE WHEN {k} * 2 + {length} > 150 THEN 1 ELSE 0 END THEN 1.0 ELSE 0 END)"
 
 
 @query("permutation_importance", f"""WITH {PACKETS_SQL},
 p AS (SELECT packet_id AS id, k, length, CASE WHEN k + length > 130 THEN 1 ELSE 0 END AS label FROM packets),
-base AS (SELECT avg(CASE WHEN label = CASE WHEN k * 2 + length > 150 THEN 1 ELSE 0 END THEN 1.0 ELSE 0 END) AS acc FROM p),
-s AS ({_shuffled_sql(43, 'k')} UNION ALL {_shuffled_sql(44, 'length')}),
-x AS (SELECT feature, abs((SELECT acc FROM base) - acc) AS drop FROM s)
+numbered AS (SELECT *, row_number() OVER (ORDER BY md5('{J.SEED}:' || id), id) - 1 AS spot, count(*) OVER () AS n FROM p),
+places AS ({" UNION ALL ".join(_places_sql(r) for r in range(REPEATS))}),
+base AS (SELECT {_accuracy_sql("a.k", "a.length")} AS acc FROM p a),
+pairs AS (SELECT rep, a.label, a.k, a.length, d.k AS k2, d.length AS length2 FROM places JOIN p d USING (id) JOIN numbered a ON a.spot = places.x),
+s AS (SELECT rep, 'k' AS feature, {_accuracy_sql("a.k2", "a.length")} AS acc FROM pairs a GROUP BY rep
+  UNION ALL SELECT rep, 'length', {_accuracy_sql("a.k", "a.length2")} FROM pairs a GROUP BY rep),
+x AS (SELECT feature, avg(abs((SELECT acc FROM base) - acc)) AS drop FROM s GROUP BY feature)
 SELECT feature, {rd('drop', 'drop')}, {rd('drop / sum(drop) OVER ()', 'importance')} FROM x""")
 def _permutation(spark, d):
     rows = packets(spark, d).select(
         F.col("packet_id").alias("id"), "k", "length", (F.col("k") + F.col("length") > 130).cast("int").alias("label")
     )
     predict = lambda df: df.withColumn("pred", (F.col("k") * 2 + F.col("length") > 150).cast("int"))
-    return rounded(J.permutation_importance(rows, "id", ["k", "length"], predict))
+    return rounded(J.permutation_importance(rows, "id", ["k", "length"], predict, repeats=REPEATS))
 
 
 @query("predictions_with_labels", f"""WITH {PREDICTIONS_SQL}, l AS (SELECT user_id, max(label) AS truth FROM predictions GROUP BY 1)

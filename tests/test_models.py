@@ -76,3 +76,29 @@ def test_importance_summary(spark):
     r = K.importance_summary(df, ["m"]).first()
     assert (r.low_features, r.high_features) == (["f5", "f4", "f2", "f6"], ["f0", "f1"])
     assert r.top_features == ["f0", "f1", "f3", "f5", "f4"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
+def test_shuffles_are_bijections_that_differ(spark, n):
+    rows = spark.range(n).select(J.shuffled_place(F.col("id"), F.lit(n).cast("bigint"), 3, 3).alias("to")).collect()
+    places = list(zip(*[r["to"] for r in rows]))
+    assert all(sorted(p) == list(range(n)) for p in places)
+    if n == 1000:
+        assert len(set(places)) == 3
+        for p in places:  # few stay where they are or beside their neighbour, and halves mix
+            assert sum(i == x for i, x in enumerate(p)) < 15
+            assert sum(abs(a - b) == 1 for a, b in zip(p, p[1:])) < 30
+            assert 200 < sum(x < 500 for x in p[:500]) < 300
+
+
+def test_permutation_importance_scans_alike_for_any_number_of_shuffles(spark, rows, tmp_path):
+    rows.write.parquet(str(tmp_path / "in"))
+    stored = spark.read.parquet(str(tmp_path / "in"))
+    predict = lambda df: df.withColumn("pred", (F.col("a") >= 18).cast("int"))
+    few = J.permutation_importance(stored, "id", ["a"], predict)
+    many = J.permutation_importance(stored, "id", ["a", "b"], predict, repeats=5)
+    scans = [df._jdf.queryExecution().executedPlan().toString().count("FileScan") for df in (few, many)]
+    assert scans[0] == scans[1]
+    got = {r.feature: (r["drop"], r.importance) for r in many.collect()}
+    assert got["b"] == (0.0, 0.0) and got["a"][1] == 1.0 and 0.2 < got["a"][0] < 0.6
+    assert J.permutation_importance(stored.limit(0), "id", ["a"], predict).count() == 0
