@@ -35,16 +35,19 @@ DROPPED = frozenset("head nav footer aside form menu dialog select button iframe
 RAW = "script|style|noscript|template|textarea|xmp|noframes|iframe"
 # Words of class and id names that mark what is not the article.
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie "
+    "ad adbox ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup "
     "promo promoted promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar "
     "widget".split()
 )
 # Names with one of these are off topic whatever they hold; other names, headers and forms may wrap an article.
-SURELY = frozenset("ad ads advert adverts advertisement advertising adsense comment comments disqus replies reply".split())
+SURELY = frozenset("ad adbox ads advert adverts advertisement advertising adsense comment comments disqus replies reply".split())
 STATES = frozenset("has no not with without hide hides show shows is".split())  # has-sidebar tells of another element
 # What may follow the word that counts, as in ad-box.
-GENERIC = frozenset("area bar block body box column container content inner item items list outer panel section slot unit wrap wrapper".split())
+GENERIC = frozenset(
+    "area bar block body box button buttons column container content dialog icons inner item items links list outer panel posts section slot unit "
+    "wrap wrapper".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 TOKEN = re.compile(
@@ -227,7 +230,7 @@ def main_blocks(page: str) -> list[str]:
     Where no block has the stop words of a known language, length and links decide alone.
     Open blocks take the label of the nearest decided block of the same region (article or not); at
     equal distance main text wins. In a region without a decided block they count as main text
-    inside an article, and as anything else outside.
+    inside an article, and outside only if the page has no decided block at all.
     """
     found = blocks(page)
     if any(b.inside and not b.outside and not b.wrapped for b in found):  # teasers in a side bar are articles, too
@@ -244,6 +247,7 @@ def main_blocks(page: str) -> list[str]:
     if not known and not any(b.label for b in found):  # no long block: the longer ones among the short
         for b in plain:
             b.label = True
+    undecided = all(b.label is None for b in found)
     n = len(found)
     before: list[tuple[int, bool] | None] = [None] * n
     after: list[tuple[int, bool] | None] = [None] * n
@@ -257,7 +261,7 @@ def main_blocks(page: str) -> list[str]:
         if b.label is None:
             told = [s for s in sides if s]
             nearest = min((s[0] for s in told), default=0)
-            keep = any(s[1] for s in told if s[0] == nearest) if told else b.inside
+            keep = any(s[1] for s in told if s[0] == nearest) if told else b.inside or undecided
         else:
             keep = b.label
         if keep:

@@ -416,6 +416,24 @@ def test_other_languages_without_an_article(prose, times):
     assert html_text.main_blocks(page) == [text, text]
 
 
+@pytest.mark.parametrize("name", ['class="share-buttons"', 'class="related-posts"', 'class="adbox"', 'id="gdpr-consent-dialog"', 'class="social-links"'])
+def test_names_of_several_words(name):
+    text = "This is the text of the article, and it is as long as it has to be for the rules to see what it is. " * 3
+    extra = "Read more of what is on the other pages of this site, as it is said by all of the readers that we have. " * 2
+    inside = f"<article><p>{text}</p><div {name}><p>{extra}</p></div><p>{text}</p></article>"
+    assert html_text.main_blocks(inside) == [text.strip(), text.strip()]
+    assert html_text.main_blocks(f"<body><div {name}><p>{extra}</p></div><p>{text}</p></body>") == [text.strip()]
+
+
+def test_pages_with_nothing_but_short_text():
+    assert html_text.main_blocks("<html><body><p>Back soon.</p></body></html>") == ["Back soon."]
+    assert html_text.main_blocks("just a word") == ["just a word"]
+    assert html_text.main_blocks("<nav><a href='/'>Home</a></nav><p>Back soon.</p>") == ["Back soon."]
+    assert html_text.main_blocks("<p><a href='/'>Home</a></p>") == []
+    assert html_text.main_blocks("<nav>Home</nav>") == []
+
+
+
 def test_blocks_without_an_article():
     prose = "It was the best of the times and it was the worst of the times, and this is how the story of the city begins for all of us. " * 3
     page = f"<div><a href=x>One</a> <a href=y>Two</a></div><div><p>{prose}</p><p>So it is.</p><p>{prose}</p></div><div>Copyright</div><div><a href=z>{prose}</a></div>"
