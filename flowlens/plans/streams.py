@@ -131,3 +131,32 @@ def _counts(spark, d):
     base = scratch(spark, "counters")
     M.run_counters(M.stream_feedback_counts(twice), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").select("protocol", "tp", "fp", "tn", "fn")
+
+
+_PATIENCE = 5 * DAY
+
+
+@query("streamed_late_rows", f"""WITH {PACKETS_SQL},
+cut AS (SELECT (min(ts_us) + max(ts_us)) // 2 AS middle, (max(ts_us) // 1000 - {_PATIENCE // 1000}) * 1000 AS mark FROM packets),
+told AS (SELECT ts_us < middle AND ts_us <= mark AS late FROM packets, cut)
+SELECT count(*) FILTER (WHERE NOT late) AS kept, count(*) FILTER (WHERE late) AS late FROM told""")
+def _late(spark, d):
+    """The newer half of the feed arrives first; of the older half, what lies behind the watermark is dropped and counted."""
+    rows, base = packets(spark, d).select("packet_id", "ts_us"), scratch(spark, "late")
+    middle = rows.agg(F.expr("(min(ts_us) + max(ts_us)) DIV 2")).first()[0]
+    counter = M.LateRows()
+    spark.streams.addListener(counter)
+    try:
+        for half in (rows.where(F.col("ts_us") >= middle), rows.where(F.col("ts_us") < middle)):
+            half.write.mode("append").parquet(f"{base}/in")
+            stream = M.with_event_time(M.packet_stream(spark, f"{base}/in", rows.schema, max_files=1_000_000))
+            seen = stream.withWatermark("event_time", f"{_PATIENCE // HOUR} hours").dropDuplicates(["packet_id", "event_time"])
+            run = (
+                seen.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+                .trigger(availableNow=True).start()
+            )
+            run.awaitTermination()
+            late = counter.count(run)
+    finally:
+        spark.streams.removeListener(counter)
+    return spark.read.schema(seen.schema).parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("kept")).withColumn("late", F.lit(late).cast("bigint"))

@@ -262,6 +262,9 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
 class LateRows(StreamingQueryListener):
     """Counts rows that arrived behind the watermark, per query and over all of its batches.
 
+    What an aggregation drops is counted after its rows were combined, so late rows of one group and batch
+    count once there; a query that drops duplicates counts each row.
+
     Add it with ``spark.streams.addListener`` before the query starts. A query itself remembers only its
     last batches. ``count`` waits until the end of the query has been reported.
     """
