@@ -55,11 +55,36 @@ def weighted(df: DataFrame, model_type: str, positive_weight: float | None = Non
     return H.class_weights(df)
 
 
+TASK_ROWS = (10_000, 250_000)  # rows that are worth a task, and the most that one task of a learner's pass holds
+
+
+def spread(df: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows dealt out evenly, in as many partitions as there are cores or a multiple of that.
+
+    A learner passes hundreds of times over its rows and keeps their layout: as scanned, a file of one row group
+    is one task however many cores there are, and beside it a shuffle's nearly empty partitions each cost a task.
+    """
+    least, most = TASK_ROWS
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(cores, -(-n // least)) * -(-n // (cores * most))))
+
+
 def fit(df: DataFrame, model_type: str, features: Sequence[str] = MODEL_FEATURES, **params) -> PipelineModel:
     """Median imputation, scaling by the population deviation, then the learner; unlabelled rows are left out.
 
-    The type named ``xgboost`` is MLlib's boosted trees with the same settings.
+    The type named ``xgboost`` is MLlib's boosted trees with the same settings. The rows are cached, evenly
+    spread, for the passes of the learner and released before returning.
     """
+    known = df.where(F.col("label").isNotNull()).select(*features, "label")
+    rows = spread(known, known.count()).cache()
+    try:
+        return fit_spread(rows, model_type, features, **params)
+    finally:
+        rows.unpersist()
+
+
+def fit_spread(df: DataFrame, model_type: str, features: Sequence[str] = MODEL_FEATURES, **params) -> PipelineModel:
+    """``fit`` for rows that are cached and evenly spread already."""
     known = df.where(F.col("label").isNotNull())
     filled = [f"filled_{f}" for f in features]
     n = known.count()
@@ -115,21 +140,22 @@ def train(
     """Split, optional cross-validation, fit, and test metrics.
 
     Returns the model, one metric row for the test part, and one metric row per fold. The
-    input is cached for the passes of the learner and released before returning.
+    input is cached, evenly spread, for the passes of the learner and released before returning.
     """
     spark = df.sparkSession
-    parts = H.stratified_split(df, id_col, test_percent=test_percent).cache()
+    n = df.count()
+    parts = spread(H.stratified_split(df, id_col, test_percent=test_percent), n).cache()
     training = parts.where("is_train").drop("is_train")
     fold_rows = []
     if folds:
-        assigned = H.stratified_folds(training, id_col, folds=folds).cache()
+        assigned = spread(H.stratified_folds(training, id_col, folds=folds), n).cache()
         for k in range(folds):
-            model = fit(assigned.where(F.col("fold") != k), model_type, features, **params)
+            model = fit_spread(assigned.where(F.col("fold") != k), model_type, features, **params)
             scored = score(model, assigned.where(F.col("fold") == k).drop("fold"))
             row = evaluate(scored).withColumn("fold", F.lit(k))
             fold_rows += row.collect()  # one row
         assigned.unpersist()
-    model = fit(training, model_type, features, **params)
+    model = fit_spread(training, model_type, features, **params)
     tested = evaluate(score(model, parts.where("NOT is_train").drop("is_train")))
     metrics = spark.createDataFrame(tested.collect(), tested.schema)
     parts.unpersist()

@@ -28,6 +28,29 @@ def test_train_scores_well_and_reloads(spark, rows, tmp_path):
         A.load_latest_model(spark, str(tmp_path / "reg"), "mlp")
 
 
+def test_learners_get_their_rows_evenly_spread(spark, monkeypatch):
+    """A file of one row group is one partition; learners pass over it hundreds of times, so its rows are dealt out first."""
+    seen = []
+
+    class Watched(J.Pipeline):
+        def fit(self, df):
+            seen.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()])
+            return super().fit(df)
+
+    monkeypatch.setattr(J, "Pipeline", Watched)
+    one = spark.range(40_000).coalesce(1).select("id", (F.col("id") % 24).cast("double").alias("a"), (F.col("id") % 24 >= 18).cast("int").alias("label"))
+    J.train(one, "id", "logistic_regression", ["a"], folds=2, maxIter=3)
+    J.fit(one, "logistic_regression", ["a"], maxIter=3)
+    assert [sum(sizes) for sizes in seen] == [15_999, 16_000, 31_999, 40_000]
+    assert all(len(sizes) == 4 and max(sizes) < 1.1 * min(sizes) for sizes in seen)
+
+
+def test_number_of_partitions_follows_cores_and_rows(spark):
+    cores, most = spark.sparkContext.defaultParallelism, J.TASK_ROWS[1]
+    parts = lambda n: J.spread(spark.range(1), n).rdd.getNumPartitions()
+    assert [parts(n) for n in (0, 1, cores * most, cores * most + 1, 5 * cores * most)] == [1, 1, cores, 2 * cores, 5 * cores]
+
+
 def test_routing_keeps_every_row(rows):
     models = {6: J.fit(rows.where("protocol = 6"), "logistic_regression", ["a", "b"], maxIter=5)}
     out = route(rows, models)
