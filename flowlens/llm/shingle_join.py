@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.arrays import NOT_SPACE, flat, mix, word_hashes, words
-from flowlens.llm.tables import components, saved, slices
+from flowlens.llm.tables import components, lean, saved, slices
 
 WORDS = 5
 HOT_BITS = 23  # frequent grams are kept in a bit map of fixed size; clashes only change the order
@@ -271,7 +271,7 @@ def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = df.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("key")
     )
-    told = saved(texts.mapInArrow(signed, SIGNED), "grams-signed")
+    told = saved(texts.mapInArrow(lean(signed), SIGNED), "grams-signed")
     documents = told.where("n IS NOT NULL").select("id", "key", "n", "h")
     classes = saved(documents.where("n > 0").groupBy("h").agg(F.min("id").alias("id"), F.max("n").alias("n")), "gram-classes")
     slot = F.shiftrightunsigned("gram", 64 - HOT_BITS).cast("int")
@@ -283,7 +283,7 @@ def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     total = classes.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET))
     postings = saved(
-        texts.mapInArrow(lambda b: prefixes(b, hot.value, buckets), PREFIXES)
+        texts.mapInArrow(lean(lambda b: prefixes(b, hot.value, buckets)), PREFIXES)
         .groupBy("bucket").applyInArrow(shared_grams, "gram long, h long").distinct(),
         "gram-postings",
     )
@@ -336,7 +336,7 @@ def grams_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame, name: str)
     # At most 2^HOT_BITS small numbers, whatever the input.
     slots = classes.join(wanted, "h").select(slot).distinct().toArrow().column("slot").to_pylist()
     bits = texts.sparkSession.sparkContext.broadcast(hot_map(slots))
-    found = texts.select(slot, "text").mapInArrow(lambda b: full_sets(b, bits.value), "h long, n int, grams binary")
+    found = texts.select(slot, "text").mapInArrow(lean(lambda b: full_sets(b, bits.value)), "h long, n int, grams binary")
     return saved(found.join(wanted, "h", "left_semi").groupBy("h").agg(F.max("n").alias("n"), F.max("grams").alias("grams")), name)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.arrays import LETTERS, LOWER, flat, word_hashes, words
-from flowlens.llm.tables import slices
+from flowlens.llm.tables import lean, slices
 
 SLOT_BITS = 20
 SAMPLE = 10_000  # bound on the labelled documents that a model is fitted on
@@ -135,7 +135,7 @@ def fit_on(
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # The chosen ids are bounded by SAMPLE, so they may be sent to all tasks.
     sample = texts.join(F.broadcast(chosen), "id").select(F.col("id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"), "text")
-    found = sample.mapInArrow(features, FEATURES).orderBy(F.xxhash64("id", "slots")).limit(SAMPLE)
+    found = sample.mapInArrow(lean(features), FEATURES).orderBy(F.xxhash64("id", "slots")).limit(SAMPLE)
     return fit(found.select("toxic", "slots", "sizes").toArrow())
 
 
@@ -176,4 +176,4 @@ def score_documents(
 
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
     row = f", row {kinds['row']}" if whole_row else ""
-    return kept.mapInArrow(run, f"id {kinds['id']}, {SCHEMA}{row}").withColumnRenamed("id", id_col)
+    return kept.mapInArrow(lean(run), f"id {kinds['id']}, {SCHEMA}{row}").withColumnRenamed("id", id_col)

@@ -78,3 +78,35 @@ def test_library_without_the_subpackage(tmp_path):
     assert out.returncode == 0, out.stderr
     n, ops, pipeline = out.stdout.split()
     assert int(n) > 100 and ops == "False" and pipeline == "False"
+
+
+def test_tasks_hand_back_what_they_have_freed(monkeypatch):
+    """Idle Python processes stay beside the stages that follow; after a task they should hold little."""
+    from flowlens.llm import tables
+
+    calls = []
+    monkeypatch.setattr(tables, "give_back", lambda: calls.append(1))
+    task = tables.lean(lambda batches: (2 * x for x in batches))
+    assert list(task(iter([1, 2, 3]))) == [2, 4, 6] and calls == [1]
+    begun = task(iter([1, 2, 3]))
+    assert next(begun) == 2 and calls == [1]
+    begun.close()  # a limit may end a task early
+    assert calls == [1, 1]
+
+
+def test_freed_memory_goes_back_to_the_system():
+    code = """
+import numpy as np
+from flowlens.llm.tables import lean
+held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+def task(batches):
+    some = [np.ones(500) for _ in range(60_000)]  # some 230 MB in small pieces
+    pin.append(np.ones(500))  # what is above the freed pieces and stays
+    yield len(some)
+pin = []
+start = held()
+list(lean(task)(iter([])))
+print(held() - start)
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT)
+    assert int(run.stdout) < 60
