@@ -51,11 +51,12 @@ def gram_sets(column: pa.Array) -> list[np.ndarray]:
     first = np.cumsum(n) - n
     grams, owners = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(w) >= WORDS:
-        whole = np.flatnonzero(rows[WORDS - 1 :] == rows[: len(rows) - WORDS + 1])
-        total = np.zeros(len(whole), np.uint64)
-        for j in range(WORDS):
-            total += w[whole + j] * FACTORS[j]
-        grams, owners = mix(total), rows[whole]
+        m = len(w) - WORDS + 1
+        total = w[:m] * FACTORS[0]
+        for j in range(1, WORDS):
+            total += w[j : m + j] * FACTORS[j]
+        whole = rows[WORDS - 1 :] == rows[:m]
+        grams, owners = mix(total[whole]), rows[:m][whole]
     few = np.flatnonzero((n > 0) & (n < WORDS))
     if len(few):
         total = n[few].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -66,14 +67,28 @@ def gram_sets(column: pa.Array) -> list[np.ndarray]:
         order = np.argsort(owners, kind="stable")
         grams, owners = grams[order], owners[order]
     cuts = np.searchsorted(owners, np.arange(len(column) + 1))
-    return [np.unique(grams[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return [distinct(grams[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def class_of(grams: np.ndarray) -> int:
-    """64-bit name of a set, the same for equal sets."""
-    a = mix(grams ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64)
-    b = mix(grams + np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
-    return int(mix(np.array([a ^ (b << np.uint64(29)) ^ (b >> np.uint64(35)) ^ np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values: by one sort, where ``np.unique`` of numbers goes through a hash table first."""
+    found = np.sort(values)
+    new = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return found if new.all() else found[new]
+
+
+def class_names(sets: list[np.ndarray]) -> list[int | None]:
+    """64-bit name of each set, the same for equal sets; none for empty ones."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    some = sizes > 0
+    if not some.any():
+        return [None] * len(sets)
+    grams, first = np.concatenate(sets), (np.cumsum(sizes) - sizes)[some]
+    a = np.add.reduceat(mix(grams ^ np.uint64(0x94D049BB133111EB)), first)
+    b = np.add.reduceat(mix(grams + np.uint64(0xD6E8FEB86659FD93)), first)
+    names = iter(mix(a ^ (b << np.uint64(29)) ^ (b >> np.uint64(35)) ^ sizes[some].astype(np.uint64)).view(np.int64).tolist())
+    return [next(names) if x else None for x in some]
 
 
 def similar(common, a, b):
@@ -116,7 +131,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in slices(batches, 2048, 1 << 19):
         sets = gram_sets(batch.column("text"))
-        names = [class_of(s) if len(s) else None for s in sets]
+        names = class_names(sets)
         for s, h in zip(sets, names):
             if len(s) and h not in seen:
                 seen.add(h)
@@ -164,8 +179,9 @@ def prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) -
         )
 
     for batch in slices(batches, 2048, 1 << 19):
-        for s in gram_sets(batch.column("text")):
-            if not len(s) or (h := class_of(s)) in seen:
+        sets = gram_sets(batch.column("text"))
+        for s, h in zip(sets, class_names(sets)):
+            if h is None or h in seen:
                 continue
             seen.add(h)
             often = np.bitwise_and(hot[s >> np.uint64(64 - HOT_BITS + 3)], np.uint8(1) << ((s >> np.uint64(64 - HOT_BITS)) & np.uint64(7)).astype(np.uint8)) > 0
@@ -211,7 +227,8 @@ def full_sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator
         slot = whole.column("slot").to_numpy()
         kept = whole.filter(pa.array((wanted[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0))
         for batch in slices(iter([kept]), 2048, 1 << 19):
-            told = [(class_of(s), len(s), s.tobytes()) for s in gram_sets(batch.column("text")) if len(s)]
+            sets = gram_sets(batch.column("text"))
+            told = [(h, len(s), s.tobytes()) for s, h in zip(sets, class_names(sets)) if h is not None]
             columns = [*zip(*told)] or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["h", "n", "grams"]

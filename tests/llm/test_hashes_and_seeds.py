@@ -29,6 +29,35 @@ def test_hashes_modulo_a_prime():
     assert [int(x) for x in arrays.product(a, b)] == [int(x) * int(y) % arrays.PRIME for x, y in zip(a, b)]
 
 
+def test_words_are_hashed_without_sums_over_whole_texts(monkeypatch):
+    """Short words go by tables of what a byte adds at its place; sums are taken over the bytes of long words alone."""
+    r = random.Random(3)
+    words = ["".join(r.choices("abcXYZ\u00e9\u4e2d", k=r.randint(1, 12))) for _ in range(2000)]
+    long = ["A" * 33, "b" * 32 + "C", "q" * 5000, "\u00fc" * 17]  # of 33, 33, 5000 and 34 bytes
+    texts = pa.array([" ".join(words[:900]), None, "", " ".join([*long, "a" * 32, "A" * 31, *words[900:]]), "Ab", " "])
+    data, borders = arrays.flat(texts)
+    starts, ends, _ = arrays.words(data, borders, arrays.NOT_SPACE)
+    want = arrays.window(arrays.prefix_hashes(arrays.LOWER[data]), starts, ends)
+    summed = []
+    plain = arrays.prefix_hashes
+    monkeypatch.setattr(arrays, "prefix_hashes", lambda x: summed.append(len(x)) or plain(x))
+    assert (arrays.word_hashes(data, starts, ends) == want).all()
+    assert summed == [33 + 33 + 5000 + 34]
+    none = np.zeros(0, np.int64)
+    assert len(arrays.word_hashes(data, none, none)) == 0
+
+
+def test_sets_are_sorted_distinct_and_named_alike():
+    """A set is the same whatever else its batch holds, and equal sets have one name."""
+    texts = ["a b c d e a b c d e a b c d e", "", "x y", "A B C D E A B C D E", None, "a b c d e a b c d e"]
+    sets = shingle_join.gram_sets(pa.array(texts))
+    assert [len(s) for s in sets] == [5, 0, 1, 5, 0, 5]
+    assert all((np.unique(s) == s).all() for s in sets)
+    names = shingle_join.class_names(sets)
+    assert names[1] is None and names[4] is None and names[0] == names[3] == names[5] != names[2]
+    assert [shingle_join.class_names([s])[0] for s in sets] == names and shingle_join.class_names([]) == []
+
+
 @pytest.mark.parametrize("bits", [8, 9, 10, 11, 12])
 def test_texts_in_the_order_of_thue_and_morse(bits):
     pair = [thue_morse(bits), thue_morse(bits, "b", "a")]
