@@ -125,3 +125,48 @@ def test_permutation_importance_scans_alike_for_any_number_of_shuffles(spark, ro
     got = {r.feature: (r["drop"], r.importance) for r in many.collect()}
     assert got["b"] == (0.0, 0.0) and got["a"][1] == 1.0 and 0.2 < got["a"][0] < 0.6
     assert J.permutation_importance(stored.limit(0), "id", ["a"], predict).count() == 0
+
+
+def test_features_in_one_step_are_those_of_the_stages(spark):
+    rows = spark.range(501).select(
+        (F.col("id") % 24 / 7.0).alias("a"), F.when(F.col("id") % 9 > 0, F.col("id") % 5).cast("int").alias("b"), F.lit(3.0).alias("c"),
+        F.when(F.col("id") % 4 == 0, float("nan")).otherwise(F.col("id") / 3.0).alias("d"), (F.col("id") % 24 >= 18).cast("int").alias("label"),
+    )
+    names = ["a", "b", "c", "d"]
+    model = J.fit(rows, "logistic_regression", names, maxIter=5)
+    got = J.with_features(model, rows).select(F.col("features").alias("x"), *names)
+    want = model.transform(rows).select(F.col("features").alias("x"), *names)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert len(model.stages) == 5 and model.stages[2].std[2] == 0
+
+
+@pytest.mark.parametrize("rows_of", [1, 8])
+def test_medians_take_one_sketch_per_core(spark, monkeypatch, rows_of):
+    """Sketches are merged by a few tasks: their number may not follow the number of partitions."""
+    seen = []
+
+    class Watched(J.Pipeline):
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return super().fit(df)
+
+    monkeypatch.setattr(J, "Pipeline", Watched)
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(2_000).repartition(rows_of * cores).select((F.col("id") % 24).cast("double").alias("a"), (F.col("id") % 24 >= 18).cast("int").alias("label"))
+    J.fit_spread(df.cache(), "logistic_regression", ["a"], maxIter=3)
+    df.unpersist()
+    assert seen == [cores]
+
+
+def test_test_rows_are_scored_once(spark, rows, monkeypatch):
+    model = J.fit(rows, "logistic_regression", ["a", "b"], maxIter=5)
+    scored = spark.sparkContext.accumulator(0)
+
+    def count(n):
+        scored.add(1)
+        return n
+
+    seen = F.udf(count, "long").asNondeterministic()
+    plain = J.evaluate(J.score(model, rows)).collect()
+    assert J.judged(model, rows.withColumn("label", seen("id") * 0 + F.col("label"))).collect() == plain
+    assert scored.value == 240
