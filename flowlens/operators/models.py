@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import metrics as M
 from flowlens.operators import prep as H
+from flowlens.operators.boost import boosted_trees
 from flowlens.operators.scale import hashed_row_number, salted_join
 from flowlens.schemas import MODEL_FEATURES
 
@@ -101,7 +102,8 @@ def fit_spread(df: DataFrame, model_type: str, features: Sequence[str] = MODEL_F
     ]
     prepared = Pipeline(stages=stages).fit(known.coalesce(df.sparkSession.sparkContext.defaultParallelism))
     rows = with_features(prepared, weighted(known, model_type, params.get("positive_weight"))).select("features", "label", "weight")
-    learner = classifier(model_type, len(features), **params).fit(rows)
+    settings = classifier(model_type, len(features), **params)
+    learner = boosted_trees(rows, settings) if isinstance(settings, GBTClassifier) else settings.fit(rows)
     return PipelineModel([*prepared.stages, learner])
 
 
@@ -159,8 +161,12 @@ def train(
     input is cached, evenly spread, for the passes of the learner and released before returning.
     """
     spark = df.sparkSession
-    n = df.count()
-    parts = spread(H.stratified_split(df, id_col, test_percent=test_percent), n).cache()
+    # The split reads its rows four times: they are made once.
+    made = df.select("*").cache()
+    n = made.count()
+    parts = spread(H.stratified_split(made, id_col, test_percent=test_percent), n).cache()
+    parts.count()
+    made.unpersist()
     training = parts.where("is_train").drop("is_train")
     fold_rows = []
     if folds:
