@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.llm import arrays, decontaminate, shingle_join, suffixes
 
@@ -158,3 +159,44 @@ def test_links_come_from_opened_groups(spark, monkeypatch):
         assert got == want
         joined = len(want) - len({c for _, _, c in want})
         assert links[0] > joined / 2 and sum(links) >= joined - sum(t == u for (_, t), (_, u) in zip(rows, rows[1:]))
+
+
+def test_pieces_of_a_text_share_its_positions_out(spark, monkeypatch):
+    """Each position belongs to one piece, which has the words within reach of it and no more than that."""
+    monkeypatch.setattr(decontaminate, "PIECE", (3, 7))
+    sizes = [0, 1, 6, 7, 8, 50]
+    df = spark.createDataFrame([(n, [f"w{i}" for i in range(n)]) for n in sizes] + [(None, None)], "n int, words array<string>")
+    for reach, step in ((5, 7), (1 << 15, 3)):
+        got = {r["n"]: r["cut"] or [] for r in df.select("n", decontaminate.pieces(F.col("words"), reach).alias("cut")).collect()}
+        assert got.pop(None) == []
+        for n, cut in got.items():
+            assert [w for p in cut for w in p["words"][p["first"] : p["end"]]] == [f"w{i}" for i in range(n)]
+            for p in cut:
+                own = int(p["words"][p["first"]][1:]), int(p["words"][p["end"] - 1][1:]) + 1
+                assert own[1] - own[0] <= step
+                assert p["words"] == [f"w{i}" for i in range(max(0, own[0] - reach), min(n, own[0] + step + reach))]
+
+
+def test_seed_join_holds_a_piece_and_no_item(spark, monkeypatch):
+    """Hits of a text are not gathered with all its words each, nor is an item sent along with each of its seeds; parts and pieces change no row."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    items = [(i % 9, " ".join(word() for _ in range(r.choice([2, 3, 5, 9, 12, 30, 70])))) for i in range(12)] + [(None, " ".join(word() for _ in range(20))), (50, "one"), (51, None)]
+    known = [t for _, t in items if t and len(t.split()) > 1]
+    docs = [(j, " ".join(" ".join(r.choice(known).split()[r.choice([0, 0, 4]):]) + " " + word() for _ in range(40))) for j in range(4)]
+    docs += [(10 + j, " ".join(w if r.random() < 0.85 else word() for w in t.split())) for j, t in enumerate(known)] + [(30, None), (31, ""), (32, word())]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(df, bench)
+    whole = sorted(map(str, found.collect()))
+    assert len(whole) > 40 and any("item_id=None" in x for x in whole)
+    lines = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    inside = lambda line: line.split("Generate")[0].rstrip().endswith(")")  # noqa: E731 - marked *(n): part of generated code
+    opened = [line for line in lines if "Generate" in line]
+    assert [inside(line) for line in opened] == [False, True, True, False], opened  # places, seeds, positions, pieces
+    sent = [i for i, line in enumerate(lines) if "BroadcastExchange" in line]
+    assert "places" in lines[sent[0] + 1] and "item#" not in lines[sent[0] + 1]
+    monkeypatch.setattr(decontaminate, "PIECE", (3, 3))
+    assert sorted(map(str, decontaminate.contaminated(df, bench).collect())) == whole
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(decontaminate, "PART_SEEDS", 400)
+    assert sorted(map(str, decontaminate.contaminated(df, bench).collect())) == whole
