@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+
 from pyspark.sql import functions as F
 
 from flowlens.functions import frames as X
@@ -97,8 +100,10 @@ def _stats(spark, d):
   WHEN s < 1073741824 THEN printf('%.2f MB', s / 1048576) ELSE printf('%.2f GB', s / 1073741824) END AS size
 FROM (SELECT event_id, CAST(user_id * user_id * event_id * 8 AS DOUBLE) AS s FROM events)""")
 def _sizes(spark, d):
-    e = table(spark, d, "events")
-    return e.select("event_id", A.format_size(F.col("user_id") * F.col("user_id") * F.col("event_id") * 8).alias("size"))
+    factors = [F.col("user_id"), F.col("user_id"), F.col("event_id"), F.lit(8)]
+    # As doubles where the product takes more than 64 bits.
+    size = F.coalesce(reduce(F.try_multiply, factors).cast("double"), reduce(mul, [f.cast("double") for f in factors]))
+    return table(spark, d, "events").select("event_id", A.format_size(size).alias("size"))
 
 
 @query("latest_detections", f"""WITH {SCORED_SQL} SELECT session_id, ts_us, {rd('anomaly_score', 'anomaly_score')}, is_anomaly

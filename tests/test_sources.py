@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.functions import frames as X
 from flowlens.functions import scalars as C
 from flowlens.functions.entropy import byte_entropy
+from flowlens.plans import REGISTRY
 from flowlens.schemas import FEEDBACK
 from flowlens.sources import pcap
 from flowlens.sources import storage as A
@@ -159,3 +160,17 @@ def test_flag_map_and_sizes(spark):
     assert [r[0] for r in df.select(X.flags_from_map("m")).collect()] == [2, None]
     sizes = spark.createDataFrame([(512,), (3200,), (1 << 41,)], "s long")
     assert [r[0] for r in sizes.select(A.format_size("s")).collect()] == ["512.00 B", "3.12 KB", "2.00 TB"]
+
+
+def test_readable_sizes_beyond_64_bits(spark, tmp_path):
+    """Products that 64 bits hold are exact whole numbers; larger ones have a size too."""
+    rows = [(3, 5), (90_000, 6_000_000), (540_000, 36_000_000), (4_000_000_000, 0), (4_000_000_000, 7), (3_037_000_499, 1)]
+    spark.createDataFrame(rows, "user_id long, event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(REGISTRY["readable_sizes"].build(spark, str(tmp_path)).collect(), key=str)
+
+    def text(u, e):
+        s, units = u * u * e * 8, ["B", "KB", "MB", "GB", "TB"]
+        k = next((k for k in range(4) if s < 1024 ** (k + 1)), 4)
+        return f"{s / 1024**k:.2f} {units[k]}"
+
+    assert got == sorted(((e, text(u, e)) for u, e in rows), key=str)
