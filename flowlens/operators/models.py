@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from flowlens.operators import metrics as M
 from flowlens.operators import prep as H
 from flowlens.operators.boost import boosted_trees
+from flowlens.operators.perceptron import perceptron
 from flowlens.operators.scale import hashed_row_number, salted_join
 from flowlens.schemas import MODEL_FEATURES
 
@@ -103,7 +104,8 @@ def fit_spread(df: DataFrame, model_type: str, features: Sequence[str] = MODEL_F
     prepared = Pipeline(stages=stages).fit(known.coalesce(df.sparkSession.sparkContext.defaultParallelism))
     rows = with_features(prepared, weighted(known, model_type, params.get("positive_weight"))).select("features", "label", "weight")
     settings = classifier(model_type, len(features), **params)
-    learner = boosted_trees(rows, settings) if isinstance(settings, GBTClassifier) else settings.fit(rows)
+    own = {GBTClassifier: boosted_trees, MultilayerPerceptronClassifier: perceptron}.get(type(settings))
+    learner = own(rows, settings) if own else settings.fit(rows)
     return PipelineModel([*prepared.stages, learner])
 
 
