@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 
-from flowlens.llm import queries  # noqa: E402
+from flowlens.llm import decontaminate, queries  # noqa: E402
 from flowlens.llm.tables import saved, table  # noqa: E402
 
 
@@ -110,3 +110,16 @@ print(held() - start)
 """
     run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT)
     assert int(run.stdout) < 60
+
+
+def test_long_texts_are_judged_piece_by_piece(spark, tmp_path, monkeypatch):
+    """The stage drops a text for a passage that lies across the borders of its pieces, wherever that is, and keeps all others."""
+    monkeypatch.setattr(decontaminate, "PIECE", (16, 16))
+    seen, plain = [], decontaminate.best_lines
+    monkeypatch.setattr(decontaminate, "best_lines", lambda *x: seen.append(x[4]) or plain(*x))
+    item, other = [f"w{i}" for i in range(30)], [f"x{i}" for i in range(400)]
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [other[:at] + item + other[at:] for at in (0, 1, 15, 16, 17, 100, 399, 400)] + [other, item[:8] + other, item * 60]
+    docs = spark.createDataFrame([(i, " ".join(t), 1) for i, t in enumerate(texts)] + [(None, " ".join(item), 2), (None, "y", 2)], "doc_id long, text string, n_chars int")
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, (r["doc_id"] for r in left))) == ["8", "9", "None"] and seen == [30]
